@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .media import media_round_trip
+from .mixing import mix_sources
+from .packing import pack_documents
 from .tokencount import count_tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -18,12 +20,22 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op9_token_counts": op9_token_counts,
+    "op10_source_mixing": op10_source_mixing,
 }
 ORACLES: dict[str, str] = {}
