@@ -12,6 +12,7 @@ from .langid import identify_languages
 from .media import media_round_trip
 from .mixing import mix_sources
 from .packing import pack_documents
+from .secrets import digest, scan_secrets
 from .tokencount import count_tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -29,6 +30,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -41,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op8_secret_scans": op8_secret_scans,
     "op9_token_counts": op9_token_counts,
     "op10_source_mixing": op10_source_mixing,
 }
