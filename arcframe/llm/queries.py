@@ -12,10 +12,13 @@ from .langid import identify_languages
 from .media import media_round_trip
 from .mixing import mix_sources
 from .packing import pack_documents
+from .pii import pseudonymize_documents
 from .secrets import digest, scan_secrets
 from .tokencount import count_tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
+#: The query's key is public, for repeatable results; a deployment passes its own.
+PII_KEY = b"op6"
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +33,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize_documents(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -46,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op8_secret_scans": op8_secret_scans,
     "op9_token_counts": op9_token_counts,
     "op10_source_mixing": op10_source_mixing,
