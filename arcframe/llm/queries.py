@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .html_layout import extract_text
 from .langid import identify_languages
 from .media import media_round_trip
 from .mixing import mix_sources
@@ -33,6 +34,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize_documents(table(spark, sf_dir, "documents"), PII_KEY)
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_html_text": op5_html_text,
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op8_secret_scans": op8_secret_scans,
     "op9_token_counts": op9_token_counts,
