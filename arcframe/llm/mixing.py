@@ -111,9 +111,7 @@ def mix_sources(
     sized = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.expr(f"regexp_count(coalesce(cast(`{text_col}` as string), ''), r'{WORD}')").cast("long").alias("size")
     )
-    # a source is a number from here on: null isn't equal to itself
     sized = checkpointed(sized)
-    n_rows = sized.count()
     totals = sized.groupBy("source").agg(F.sum("size").alias("total"))
     ranked = totals.orderBy(F.col("source").asc_nulls_last()).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
     numbered = spark.createDataFrame(ranked, StructType([*totals.schema, StructField("number", LongType())]))
@@ -122,8 +120,9 @@ def mix_sources(
     passes = F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(0)
     sources = sources.withColumn("passes", passes.cast("long")).withColumn("budget", F.round(F.col("target") - F.col("passes") * F.col("total")).cast("long"))
 
+    # null isn't equal to itself, a key is
     key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source")).alias("key")
-    keyed = with_slice(sized.select("id", key, "size"), [F.col("id"), F.col("size")], n_rows, seed)
+    keyed = with_slice(sized.select("id", key, "size"), [F.col("id"), F.col("size")], seed)
     slices = checkpointed(slice_starts(keyed, ["key", "size"]))
     lengths = slices.groupBy("key", "size").agg(F.sum("n").alias("n"))
     budgets = sources.select(key, F.col("total").alias("source_size"), "target", "passes", "budget")

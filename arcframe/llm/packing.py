@@ -279,7 +279,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col:
     counts = {r.length: r.n for r in histogram}
     plan, _ = bin_completion(counts, capacity)
     order = [F.col("id"), F.col("piece"), F.col("ids_crc32")]
-    sliced = with_slice(cut, order, sum(counts.values()))
+    sliced = with_slice(cut, order)
     starts = slice_starts(sliced, ["length"])
     ranked = rank_in_slice(sliced, ["length"], order).join(starts.select("length", "slice", F.col("start").alias("before")), ["length", "slice"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))

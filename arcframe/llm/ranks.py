@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows that one slice of a group is to hold, on average.
-SLICE_ROWS = 20_000
+from .common import shuffle_partitions
 
+#: Slices of a group for each shuffle partition: a group of all rows still spreads over all tasks.
+SLICES_A_PARTITION = 2
 
-def with_slice(rows: DataFrame, order: list[Column], n_rows: int, seed: int = 0) -> DataFrame:
-    """rows with a column slice: a seeded hash of order, over as many slices as n_rows calls for."""
-    return rows.withColumn("slice", F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(1 + n_rows // SLICE_ROWS)).cast("int"))
+
+def with_slice(rows: DataFrame, order: list[Column], seed: int = 0) -> DataFrame:
+    """rows with a column slice: a seeded hash of order, over a fixed number of slices for each shuffle partition."""
+    slices = SLICES_A_PARTITION * shuffle_partitions(rows.sparkSession)
+    return rows.withColumn("slice", F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(slices)).cast("int"))
 
 
 def slice_starts(rows: DataFrame, keys: list[str]) -> DataFrame:
