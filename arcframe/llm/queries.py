@@ -13,6 +13,7 @@ from .jaccard import jaccard_groups
 from .langid import identify_languages
 from .media import media_round_trip
 from .mixing import mix_sources
+from .near_vectors import near_vectors
 from .packing import pack_documents
 from .pii import pseudonymize_documents
 from .secrets import digest, scan_secrets
@@ -47,6 +48,10 @@ def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize_documents(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_html_text": op5_html_text,
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
+    "op7_near_vectors": op7_near_vectors,
     "op8_secret_scans": op8_secret_scans,
     "op9_token_counts": op9_token_counts,
     "op10_source_mixing": op10_source_mixing,
