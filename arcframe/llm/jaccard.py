@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import checkpointed, map_batches, shuffle_partitions
 from .components import components
@@ -451,6 +452,22 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stand for their group of near duplicates: those of the smallest id. Columns are kept.
+
+    Texts without words stand for themselves, and so do rows without an id. Of several rows with a standing
+    id one stays, the first by its columns.
+    """
+    groups = checkpointed(jaccard_groups(docs, words, percent, id_col, text_col).select(F.col(id_col).alias("id"), "component_id"))
+    standing = groups.where("id = component_id").groupBy("id").agg(F.count("*").alias("rows"))
+    key = F.col(f"`{id_col}`")
+    kept = docs.join(standing.select(F.col("id").alias(id_col)), id_col, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if standing.where("rows > 1").limit(1).count():
+        order = [F.col(f"`{c}`") for c in docs.columns]
+        kept = kept.withColumn("first row", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("first row") == 1).drop("first row")
+    return kept.union(docs.where(key.isNull()))
+
+
 def _packed_sizes(sets: DataFrame, buckets: int) -> DataFrame:
     """bucket, known (keys), sizes: the sizes of all sets, packed by bucket of keys."""
 

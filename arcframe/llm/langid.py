@@ -184,3 +184,26 @@ def classify(rows: DataFrame, model: Model) -> DataFrame:
 
     kind = rows.schema["id"].dataType.simpleString()
     return map_batches(rows.select("id", "text", "held_out"), make, f"id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose text has a language that isn't in doubt; columns are kept.
+
+    Rejected are texts that are null or have no letter, and those that lie between two codewords. One map:
+    rows never move, so that repeated rows and null ids are judged one by one.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    model = train(rows.where(~held_out("id")))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                found = [features(str(t) if (t := v.as_py()) is not None else "") for v in part.column(place)]
+                at = [i for i, x in enumerate(found) if x is not None]
+                if at and model.languages:
+                    _, scores = model.predict(np.array([found[i] for i in at]))
+                    yield part.take(pa.array([i for i, s in zip(at, scores, strict=True) if s >= AMBIGUOUS], pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -139,3 +139,20 @@ def mix_sources(
     ranked = rank_in_slice(keyed, ["key", "size"], [order, F.col("id")])
     taken = F.col("size") * (F.col("passes") + (F.col("rank") < F.col("quota")).cast("long"))
     return ranked.join(quotas.drop("n", "start"), ["key", "size", "slice"]).select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, 0 to repeats times. Columns are kept.
+
+    A text without words is taken as often as its source is passed over as a whole. Rows that are the same
+    in all columns share what they are taken equally, a remainder is left out.
+    """
+    row = F.concat_ws(":", F.col(f"`{id_col}`").cast("string"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).cast("string"))
+    named = docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"))
+    taken = mix_sources(named, id_col="row", text_col="text", source_col="source", **options)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(whole)
+    per_row = taken.groupBy("row").agg(F.floor(F.avg(copies)).cast("int").alias("copies")).where("copies > 0")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row.alias("row"))
+    again = keyed.join(per_row, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return again.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -152,15 +152,21 @@ def redact(text: Column, items: Column, mask: str = "[secret]") -> Column:
     return F.when(F.size(live) > 0, F.concat(F.array_join(F.transform(live, piece), ""), tail)).otherwise(text)
 
 
+ANY = "(?:" + "|".join(STARTS.get(k, "") + p for k, p in KINDS.items()) + ")"
+
+
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", live_owners: int = LIVE_OWNERS) -> DataFrame:
     """docs with the live-looking secrets of each text masked; copied examples stay. Columns are kept.
 
-    A null text stays null. The spans travel as a column of the documents' own rows, numbered and written
-    before they are joined, so that repeated rows and ids can't be confused.
+    A null text stays null, an empty table empty. Rows without a candidate pass straight through. The others
+    are numbered and written before their spans are joined to them, so that repeated rows and ids can't be
+    confused and only their texts are shuffled.
     """
-    numbered = checkpointed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
-    rows = numbered.select("row", F.col(f"doc.`{text_col}`").alias("text"), F.col(f"doc.`{repo_col}`").alias("repo"), F.col(f"doc.`{owner_col}`").alias("owner"))
-    live = scan_secrets(rows, "row", "text", "repo", "owner", live_owners).where("n_live > 0").select("row", "found")
-    masked = redact(F.col(f"doc.`{text_col}`").cast("string"), F.coalesce("found", F.expr("cast(array() as array<struct<start:bigint, rank:int, `end`:bigint, kind:string, live:boolean>>)")))
-    joined = numbered.join(live, "row", "left").withColumn("masked", masked)
-    return joined.select(*[F.col("masked").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+    text = F.col(f"`{text_col}`").cast("string")
+    suspicious = F.coalesce(text.rlike(ANY), F.lit(False))
+    numbered = checkpointed(docs.where(suspicious).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("number")))
+    rows = numbered.select("number", F.col(f"doc.`{text_col}`").alias("text"), F.col(f"doc.`{repo_col}`").alias("repo"), F.col(f"doc.`{owner_col}`").alias("owner"))
+    found = scan_secrets(rows, "number", "text", "repo", "owner", live_owners)
+    masked = redact(F.col(f"doc.`{text_col}`").cast("string"), F.col("found"))
+    joined = numbered.join(found.select("number", "found"), "number").withColumn("masked", masked)
+    return docs.where(~suspicious).union(joined.select(*[F.col("masked").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]))
