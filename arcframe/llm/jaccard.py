@@ -1,16 +1,18 @@
 """Jaccard self-join of documents on word n-grams, by adaptive multi-match prefixes.
 
-A document is its set of n-grams, each hashed and put in the order of the hashes. Two sets of which each
+A document is its set of n-grams, each hashed. Put all n-grams in any one order: two sets of which each
 shares at least the share t of its n-grams with the other have, for every k, at least k n-grams in common
 among the first n - t + k of either. So each document may pick its own k: k = 1 is the usual prefix
-filter, a longer prefix costs more postings but asks for more matches before anything is verified. Every
-document picks the k with the least estimated cost from the document frequencies in its prefix; a pair
-has to share the smaller k of the two.
-
-Documents that keep too few shared n-grams for any k are out: most of a corpus never gets any further.
-The others are grouped by the first shared n-gram of their prefix, which most copies of a text have in
-common, so that a large group of near copies meets as a group. Pairs of groups, not of documents, are
-counted for matches; verification runs inside groups and returns a spanning forest of the links.
+filter, a longer prefix costs more postings but asks for more matches before anything is verified, and a
+pair has to share the smaller k of the two.
+
+First, in the order of the hashes, every document tries several k over its longest prefix: it is out if
+for any k it has fewer than k n-grams that another document's prefix has too. Most of a corpus is out
+here. The others are counted again, whole, and put in the order of document frequency, rarest first; each
+picks the k with the least estimated cost, the postings in its prefix and the verifications that they can
+lead to. They are grouped by their least shared n-gram, which most copies of a text have in common, so that
+a large group of near copies meets as a group. Matches are counted for pairs of groups, not of documents;
+verification runs inside groups and returns a spanning forest of the links.
 """
 
 from __future__ import annotations
@@ -19,16 +21,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from pyspark.sql.window import Window
 
 from .common import checkpointed, map_batches, shuffle_partitions
 from .components import components
 
 #: The longest prefix reaches this share of a set beyond the usual one; documents of a block in verification.
-LONGEST, BLOCK = 1 / 16, 4096
+LONGEST, BLOCK = 1 / 16, 1024
 #: Cost of verifying a candidate, in postings looked at.
 VERIFY = 40
 #: Words whose hashes a worker keeps.
@@ -117,17 +122,19 @@ def _split(bucket: np.ndarray, columns: dict[str, np.ndarray], packers: dict[str
     return out
 
 
-def _whole_partition(df: DataFrame, work: Callable[[dict[str, bytes]], Iterator[dict]], schema: str) -> DataFrame:
-    """work on all packed rows of a partition joined column by column."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
+def _whole_partition(df: DataFrame, work: Callable[[dict[str, bytes]], Iterator[dict]], schema: str, passing: str | None = None) -> DataFrame:
+    """work on all packed rows of a partition, joined column by column. Rows whose column passing isn't null go on as they are."""
     struct = _parse_datatype_string(schema)
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[str, list] = {}
         for batch in batches:
+            if passing:
+                plain = batch.column(passing).is_valid()
+                if (rows := batch.filter(plain)).num_rows:
+                    yield rows.select(arrow.names).cast(arrow)
+                batch = batch.filter(pc.invert(plain))
             for name, column in zip(batch.schema.names, batch.columns, strict=True):
                 if pa.types.is_binary(column.type):
                     parts.setdefault(name, []).extend(v for v in column.to_pylist() if v)
@@ -139,6 +146,10 @@ def _whole_partition(df: DataFrame, work: Callable[[dict[str, bytes]], Iterator[
     return df.mapInArrow(run, struct)
 
 
+def _u1(values: np.ndarray) -> bytes:
+    return values.astype(np.uint8).tobytes()
+
+
 def _u8(values: np.ndarray) -> bytes:
     return values.astype("<u8").tobytes()
 
@@ -154,40 +165,43 @@ def _40(values: np.ndarray) -> bytes:
 # --- the steps ------------------------------------------------------------------------------------------
 
 
+def trials(n: int, percent: int) -> list[int]:
+    """The k that a set of n tries in the order of the hashes: powers of two and the largest."""
+    most = int(longest(np.int64(n), percent))
+    return sorted({*(1 << i for i in range(most.bit_length()) if 1 << i <= most), most})
+
+
 def signatures(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
-    """One pass over the texts. Rows with an id: id, n, key (of the set). Rows with a bucket: the entries of
-    the longest prefixes, as packed n-grams, keys and levels (the least k whose prefix holds the n-gram)."""
+    """One pass over the texts. Rows with an id: id, n, key (of the set). The others: the entries of the
+    longest prefixes, as packed n-grams, keys and trials (the first whose prefix holds the n-gram)."""
 
     def make() -> Callable[[pa.RecordBatch], Iterator[dict]]:
         shingles = shingler(words)
 
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
-            ids = batch.column(0)
-            ns, keys, tokens, levels, lengths, owners = [], [], [], [], [], []
+            ns, keys, tokens, first, lengths, owners = [], [], [], [], [], []
             seen = set()
             for text in batch.column(1):
                 s = shingles(text.as_py() or b"")
-                n = len(s)
-                key = set_key(s)
+                n, key = len(s), set_key(s)
                 ns.append(n)
                 keys.append(key)
                 if n and key not in seen:
                     seen.add(key)
-                    usual = n - int(least_shared(n, percent))
-                    most = usual + int(longest(np.int64(n), percent))
-                    tokens.append(s[:most])
-                    levels.append(np.maximum(1, np.arange(1 - usual, most + 1 - usual)))
-                    lengths.append(most)
+                    tries = np.array(trials(n, percent))
+                    ends = n - int(least_shared(n, percent)) + tries
+                    tokens.append(s[: ends[-1]])
+                    first.append(np.searchsorted(ends, np.arange(ends[-1]), "right").astype(np.uint8))
+                    lengths.append(ends[-1])
                     owners.append(key)
-            rows = len(ns)
-            none = [None] * rows
-            yield {"id": ids, "n": ns, "key": keys, "bucket": none, "tokens": none, "keys": none, "levels": none}
+            none = [None] * len(ns)
+            yield {"id": batch.column(0), "n": ns, "key": keys, "bucket": _bucket(np.array(keys, np.uint64), buckets), "tokens": none, "keys": none, "trials": none}
             if tokens:
                 token = np.concatenate(tokens)
                 parts = _split(
                     _bucket(token >> np.uint64(24), buckets),
-                    {"tokens": token, "keys": np.repeat(np.array(owners, np.uint64), lengths), "levels": np.concatenate(levels)},
-                    {"tokens": pack5, "keys": _u8, "levels": _u4},
+                    {"tokens": token, "keys": np.repeat(np.array(owners, np.uint64), lengths), "trials": np.concatenate(first)},
+                    {"tokens": pack5, "keys": _u8, "trials": _u1},
                 )
                 none = [None] * len(parts["bucket"])
                 yield {"id": none, "n": none, "key": none} | parts
@@ -195,7 +209,7 @@ def signatures(docs: DataFrame, words: int, percent: int, buckets: int) -> DataF
         return each
 
     kind = docs.schema["id"].dataType.simpleString()
-    return map_batches(docs, make, f"id {kind}, n long, key long, bucket int, tokens binary, keys binary, levels binary")
+    return map_batches(docs, make, f"id {kind}, n long, key long, bucket int, tokens binary, keys binary, trials binary")
 
 
 def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
@@ -209,77 +223,114 @@ def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
+def shared_entries(signed: DataFrame, buckets: int) -> DataFrame:
+    """By bucket of n-grams to by bucket of keys: key and trial of each entry whose n-gram another set's
+    prefix has too. Rows with an id pass through."""
+
+    def work(got: dict[str, bytes]) -> Iterator[dict]:
+        token, key, trial = unpack5(got["tokens"]), np.frombuffer(got["keys"], "<u8"), np.frombuffer(got["trials"], np.uint8)
+        order = np.lexsort((key, token))
+        token, key, trial = token[order], key[order], trial[order]
+        once = _runs(token, key)  # copies of a set in other tasks
+        token, key, trial = token[once], key[once], trial[once]
+        first = _runs(token)
+        df = np.diff(np.r_[first, len(token)])
+        many = np.repeat(df, df) > 1
+        key, trial = key[many], trial[many]
+        order = np.argsort(key, kind="stable")
+        parts = _split(_bucket(key[order], buckets), {"keys": key[order], "trials": trial[order]}, {"keys": _u8, "trials": _u1})
+        none = [None] * len(parts["bucket"])
+        yield {"id": none, "n": none, "key": none} | parts
+
+    kind = signed.schema["id"].dataType.simpleString()
+    return _whole_partition(signed, work, f"id {kind}, n long, key long, bucket int, keys binary, trials binary", "n")
+
+
+def screen(entries: DataFrame, percent: int) -> DataFrame:
+    """key of each set that may have a partner: for every k tried, k n-grams of its prefix are shared."""
+
+    def work(got: dict[str, bytes]) -> Iterator[dict]:
+        if not got.get("keys"):
+            return
+        known, sizes = np.frombuffer(got["known"], "<u8"), np.frombuffer(got["sizes"], "<u4")
+        key, trial = np.frombuffer(got["keys"], "<u8"), np.frombuffer(got["trials"], np.uint8)
+        by = np.argsort(known, kind="stable")
+        names, group = np.unique(key, return_inverse=True)
+        n = sizes[by][np.searchsorted(known[by], names)].tolist()
+        counts = np.zeros((len(names), 64), np.int64)
+        np.add.at(counts, (group, trial), 1)
+        matches = counts.cumsum(1)
+        alive = [all(matches[i, j] >= k for j, k in enumerate(trials(n[i], percent))) for i in range(len(names))]
+        yield {"key": names[alive].astype(np.int64)}
+
+    return _whole_partition(entries, work, "key long")
+
+
 def frequencies(entries: DataFrame, buckets: int) -> DataFrame:
     """By bucket of n-grams to by bucket of keys: each entry whose n-gram more than one set has, with how many."""
 
     def work(got: dict[str, bytes]) -> Iterator[dict]:
-        token, key, level = unpack5(got["tokens"]), np.frombuffer(got["keys"], "<u8"), np.frombuffer(got["levels"], "<u4")
+        token, key = unpack5(got["tokens"]), np.frombuffer(got["keys"], "<u8")
         order = np.lexsort((key, token))
-        token, key, level = token[order], key[order], level[order]
-        once = _runs(token, key)  # copies of a set in other tasks
-        token, key, level = token[once], key[once], level[once]
+        token, key = token[order], key[order]
+        once = _runs(token, key)
+        token, key = token[once], key[once]
         first = _runs(token)
         df = np.diff(np.r_[first, len(token)])
         df = np.repeat(df, df)
         many = df > 1
-        key = key[many]
-        columns = {"tokens": token[many], "keys": key, "levels": level[many], "dfs": df[many]}
-        yield _split(_bucket(key, buckets), columns, {"tokens": _40, "keys": _u8, "levels": _u4, "dfs": _u4})
+        token, key, df = token[many], key[many], df[many]
+        order = np.argsort(key, kind="stable")  # runs of a key shrink well
+        yield _split(_bucket(key[order], buckets), {"tokens": token[order], "keys": key[order], "dfs": df[order]}, {"tokens": _40, "keys": _u8, "dfs": _u4})
 
-    return _whole_partition(entries, work, "bucket int, tokens binary, keys binary, levels binary, dfs binary")
+    return _whole_partition(entries, work, "bucket int, tokens binary, keys binary, dfs binary")
 
 
 def choose(entries: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """By bucket of keys: each set that may have a partner picks its k.
+    """By bucket of keys: each set picks its k, in the order of document frequency.
 
-    Rows with a key: the set, its group and k. Rows with a bucket of n-grams: its postings up to k, packed.
+    Rows with a key: a set that may still have a partner, and its group. The others: its postings, packed.
     """
 
     def work(got: dict[str, bytes]) -> Iterator[dict]:
-        known, sizes = np.frombuffer(got["known"], "<u8"), np.frombuffer(got["sizes"], "<u4")
         if not got.get("keys"):
             return
-        token, key = unpack5(got["tokens"]), np.frombuffer(got["keys"], "<u8")
-        level, df = np.frombuffer(got["levels"], "<u4").astype(np.int64), np.frombuffer(got["dfs"], "<u4").astype(np.int64)
-        order = np.lexsort((level, key))
-        token, key, level, df = token[order], key[order], level[order], df[order]
+        known, sizes = np.frombuffer(got["known"], "<u8"), np.frombuffer(got["sizes"], "<u4")
+        token, key, df = unpack5(got["tokens"]), np.frombuffer(got["keys"], "<u8"), np.frombuffer(got["dfs"], "<u4").astype(np.int64)
+        order = np.lexsort((token, df, key))
+        token, key, df = token[order], key[order], df[order]
         first = _runs(key)
-        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))
+        counts = np.diff(np.r_[first, len(key)])
+        group = np.repeat(np.arange(len(first)), counts)
         by = np.argsort(known, kind="stable")
         n = sizes[by][np.searchsorted(known[by], key[first])].astype(np.int64)
-        most = longest(n, percent)
+        spare = n - least_shared(n, percent)
+        # n-grams that no other set has come first, all others in order
+        level = np.maximum(1, (n - counts)[group] + np.arange(len(key)) - first[group] + 1 - spare[group])
+        most = np.maximum(1, least_shared(n, percent) // 2)
         alive, best, best_cost = np.ones(len(first), bool), np.ones(len(first), np.int64), np.full(len(first), np.inf)
         k = 1
         while k <= most.max(initial=0):
-            # the powers of two up to the largest k of each set, and that one itself
-            mine = np.minimum(k, most)
-            inside = level <= mine[group]
-            matches = np.bincount(group, inside, len(first))
-            postings = np.bincount(group, inside * (df - 1), len(first))
-            alive &= matches >= mine
-            # sets that share k or more of the postings: their sum over k at most
-            cost = postings + VERIFY * postings / mine
-            better = (cost < best_cost) & ((mine == k) | (k // 2 < most))
-            best[better], best_cost[better] = mine[better], cost[better]
+            fits = k <= most
+            inside = level <= k
+            matches, postings = np.bincount(group, inside, len(first)), np.bincount(group, inside * (df - 1), len(first))
+            alive &= ~fits | (matches >= k)
+            # no more sets than postings / k can share k of the postings
+            cost = postings + VERIFY * postings / k
+            better = fits & (cost < best_cost)
+            best[better], best_cost[better] = k, cost[better]
             k *= 2
-        mine = np.minimum(k, most)
-        inside = level <= mine[group]
-        alive &= np.bincount(group, inside, len(first)) >= mine
+        lead = np.minimum.reduceat(token, first) if len(first) else token
         inside = (level <= best[group]) & alive[group]
-        token, key, group = token[inside], key[inside], group[inside]
-        # the first shared n-gram stands for the group
-        order = np.lexsort((token, group))
-        token, key, group = token[order], key[order], group[order]
-        start = _runs(group)
-        lead = np.repeat(token[start], np.diff(np.r_[start, len(group)])) if len(start) else token
-        none = [None] * len(start)
-        yield {"key": key[start].astype(np.int64), "lead": lead[start].astype(np.int64), "k": best[group[start]] if len(start) else [], "bucket": none, "tokens": none, "leads": none, "ks": none}
-        if len(start):
-            parts = _split(_bucket(token, buckets), {"tokens": token, "leads": lead, "ks": best[group]}, {"tokens": _40, "leads": _u8, "ks": _u4})
+        token, group = token[inside], group[inside]
+        none = [None] * int(alive.sum())
+        yield {"key": key[first][alive].astype(np.int64), "lead": lead[alive].astype(np.int64), "bucket": none, "tokens": none, "leads": none, "ks": none}
+        if len(token):
+            parts = _split(_bucket(token, buckets), {"tokens": token, "leads": lead[group], "ks": best[group]}, {"tokens": _40, "leads": _u8, "ks": _u4})
             none = [None] * len(parts["bucket"])
-            yield {"key": none, "lead": none, "k": none} | parts
+            yield {"key": none, "lead": none} | parts
 
-    return _whole_partition(entries, work, "key long, lead long, k long, bucket int, tokens binary, leads binary, ks binary")
+    return _whole_partition(entries, work, "key long, lead long, bucket int, tokens binary, leads binary, ks binary")
 
 
 def group_pairs(postings: DataFrame) -> DataFrame:
@@ -380,9 +431,6 @@ def spanning_links(member: np.ndarray, ids: np.ndarray, sets: list[np.ndarray],
 
 def verify(rows: DataFrame, percent: int) -> DataFrame:
     """a, b: spanning links of each (lead, block), from rows lead, block, member, key, id, tokens sorted by lead and block."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructField, StructType
-
     kind = rows.schema["id"].dataType
     struct = StructType([StructField("a", kind), StructField("b", kind)])
     arrow = to_arrow_schema(struct)
@@ -424,26 +472,21 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    signed = checkpointed(signatures(rows, words, percent, buckets))
-    every = signed.where("bucket is null").select("id", "n", "key")
+    signed = checkpointed(shared_entries(signatures(rows, words, percent, buckets).repartitionById(buckets, "bucket"), buckets))
+    every = signed.where("n is not null").select("id", "n", "key")
     sets = checkpointed(every.where("id is not null and n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n")))
-
-    entries = signed.where("bucket is not null").select("bucket", "tokens", "keys", "levels")
-    shared = frequencies(entries.repartitionById(buckets, "bucket"), buckets)
     sized = _packed_sizes(sets, buckets)
-    empty = F.lit(None).cast("binary")
-    mixed = shared.select("bucket", "tokens", "keys", "levels", "dfs", empty.alias("known"), empty.alias("sizes")).union(
-        sized.select("bucket", *[empty.alias(c) for c in ("tokens", "keys", "levels", "dfs")], "known", "sizes")
-    )
-    chosen = checkpointed(choose(mixed.repartitionById(buckets, "bucket"), percent, buckets))
-    survivors = chosen.where("key is not null").select("key", "lead")
-    postings = chosen.where("bucket is not null").select("bucket", "tokens", "leads", "ks")
-    counted = group_pairs(postings.repartitionById(buckets, "bucket")).groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.min("k").alias("k"))
-    pairs = counted.where("matches >= k").select("a", "b")
-
-    places = _places(survivors, pairs)
-    texts = rows.where("id is not null").join(places.join(sets.select("key", "rep"), "key").groupBy(F.col("rep").alias("id")).agg(F.collect_list(F.struct("key", "lead", "block", "member")).alias("places")), "id")
-    placed = _expand(texts, words)
+    passed = signed.where("n is null").select("bucket", "keys", "trials")
+    survivors = screen(_together(passed, sized).repartitionById(buckets, "bucket"), percent)
+
+    whole = checkpointed(_sets(rows.where("id is not null").join(survivors.join(sets, "key").groupBy(F.col("rep").alias("id")).agg(F.collect_list("key").alias("wanted")), "id"), words))
+    counted = frequencies(_entries(whole, buckets).repartitionById(buckets, "bucket"), buckets)
+    chosen = checkpointed(choose(_together(counted, _packed_sizes(whole, buckets)).repartitionById(buckets, "bucket"), percent, buckets))
+    members = chosen.where("key is not null").select("key", "lead")
+    postings = chosen.where("key is null").select("bucket", "tokens", "leads", "ks")
+    matched = group_pairs(postings.repartitionById(buckets, "bucket")).groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.min("k").alias("k"))
+    pairs = matched.where("matches >= k").select("a", "b")
+    placed = _places(members, pairs).join(whole.select("key", "id", "tokens"), "key").select("lead", "block", "member", "key", "id", "tokens")
     found = verify(placed.repartition(buckets, "lead", "block").sortWithinPartitions("lead", "block"), percent)
     reached = components(found)
     named = sets.join(reached, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
@@ -499,27 +542,42 @@ def _places(survivors: DataFrame, pairs: DataFrame) -> DataFrame:
     return inside.union(visitors)
 
 
-def _expand(texts: DataFrame, words: int) -> DataFrame:
-    """lead, block, member, key, id, tokens (packed) for each place of each text."""
+def _together(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Packed rows of two kinds, each with nulls for the other's columns."""
+    return one.unionByName(other, allowMissingColumns=True)
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """key, id, n, tokens (packed, sorted) of each text whose set is among those wanted of its id."""
 
     def make() -> Callable[[pa.RecordBatch], Iterator[dict]]:
         shingles = shingler(words)
 
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
-            out: dict[str, list] = {k: [] for k in ("lead", "block", "member", "key", "id", "tokens")}
-            for i, text, places in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
+            out: dict[str, list] = {k: [] for k in ("key", "id", "n", "tokens")}
+            for i, text, wanted in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
                 found = shingles(text.as_py() or b"")
-                tokens, key = pack5(found), set_key(found)
-                for place in places.as_py():
-                    if place["key"] != key:  # of another text with this id
-                        continue
-                    for k in ("lead", "block", "member", "key"):
-                        out[k].append(place[k])
-                    out["id"].append(i)
-                    out["tokens"].append(tokens)
+                if (key := set_key(found)) in wanted:
+                    for name, value in (("key", key), ("id", i), ("n", len(found)), ("tokens", pack5(found))):
+                        out[name].append(value)
             yield out
 
         return each
 
     kind = texts.schema["id"].dataType.simpleString()
-    return map_batches(texts.select("id", "text", "places"), make, f"lead long, block int, member boolean, key long, id {kind}, tokens binary")
+    return map_batches(texts.select("id", "text", "wanted"), make, f"key long, id {kind}, n long, tokens binary")
+
+
+def _entries(whole: DataFrame, buckets: int) -> DataFrame:
+    """bucket, tokens, keys: all n-grams of the sets, packed by bucket."""
+
+    def make() -> Callable[[pa.RecordBatch], Iterator[dict]]:
+        def each(batch: pa.RecordBatch) -> Iterator[dict]:
+            tokens = [unpack5(t) for t in batch.column("tokens").to_pylist()]
+            token = np.concatenate(tokens)
+            key = np.repeat(batch.column("key").to_numpy(zero_copy_only=False).astype(np.uint64), [len(t) for t in tokens])
+            yield _split(_bucket(token, buckets), {"tokens": token, "keys": key}, {"tokens": _40, "keys": _u8})
+
+        return each
+
+    return map_batches(whole.select("key", "tokens"), make, "bucket int, tokens binary, keys binary")
