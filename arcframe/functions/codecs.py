@@ -9,9 +9,11 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType, _parse_datatype_string
 
 from .text import xxh32
 
@@ -260,13 +262,9 @@ def transform_blocks(blocks: DataFrame, codec: Codec, tails_alone: bool = True)
     A block of zeros is stored as nothing; one that the codec makes smaller is compressed; others, and tails,
     which wait for their fragment block, stay as they are. One map over Arrow batches.
     """
-    keep = [c for c in blocks.columns]
-    new = "sparse boolean, checksum long, compressed boolean, stored binary, stored_size long"
-    schema = blocks.schema
-    for f in new.split(", "):
-        name, kind = f.split()
-        schema = schema.add(name, {"boolean": "boolean", "long": "bigint", "binary": "binary"}[kind])
-    has_tail = "tail" in keep and tails_alone
+    added_fields = _parse_datatype_string("sparse boolean, checksum long, compressed boolean, stored binary, stored_size long")
+    schema = StructType(list(blocks.schema.fields) + list(added_fields.fields))
+    has_tail = "tail" in blocks.columns and tails_alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,9 +284,6 @@ def transform_blocks(blocks: DataFrame, codec: Codec, tails_alone: bool = True)
 
 def block_function(work: Callable[[bytes], bytes]):
     """A function of binary columns from one of bytes, in Arrow batches."""
-    import pandas as pd
-    from pyspark.sql.types import BinaryType
-
     @F.pandas_udf(BinaryType())
     def apply(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else work(bytes(v)))

@@ -84,6 +84,6 @@ def labels(entries: DataFrame, rules: DataFrame, default: str | None = None) ->
     The rules are a file read on the driver, thousands at most, so that they are broadcast.
     """
     full = F.concat(F.lit("/"), F.col("path"))
-    fits = full.rlike(F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$"))) & (F.col("type").isNull() | (F.col("mode").bitwiseAND(0o170000) == F.col("type")))
+    fits = F.rlike(full, F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$"))) & (F.col("type").isNull() | (F.col("mode").bitwiseAND(0o170000) == F.col("type")))
     hit = entries.select("path", "mode").join(F.broadcast(rules), fits, "left")
     return hit.groupBy("path").agg(F.coalesce(F.max_by("label", "rule"), F.lit(default)).alias("label"))

@@ -195,12 +195,12 @@ def pack_statistics(files: DataFrame, block_size: int, content: str = "content")
     a = files.agg(F.coalesce(F.sum(F.octet_length(content)), F.lit(0)).cast("long").alias("bytes_read"))
     b = whole.agg(
         F.coalesce(F.sum(F.when(~F.col("copy") & ~F.col("sparse"), F.col("size"))), F.lit(0)).cast("long").alias("block_bytes"),
-        F.count_if("not sparse").alias("data_blocks"),
-        F.count_if("not sparse and copy").alias("duplicate_blocks"),
+        F.count_if(~F.col("sparse")).alias("data_blocks"),
+        F.count_if(~F.col("sparse") & F.col("copy")).alias("duplicate_blocks"),
     )
     c = pieces.agg(F.count_if("sparse").alias("sparse_blocks"))
     d = tail_rows.agg(
-        F.count("*").alias("fragments"), F.count_if("seq != first_seq").alias("duplicate_fragments"), F.coalesce(F.sum(F.when(F.col("seq") == F.col("first_seq"), F.col("size"))), F.lit(0)).cast("long").alias("tail_bytes")
+        F.count("*").alias("fragments"), F.count_if(F.col("seq") != F.col("first_seq")).alias("duplicate_fragments"), F.coalesce(F.sum(F.when(F.col("seq") == F.col("first_seq"), F.col("size"))), F.lit(0)).cast("long").alias("tail_bytes")
     )
     e = placed.agg(F.countDistinct("fragment").alias("fragment_blocks"))
     one = a.crossJoin(b).crossJoin(c).crossJoin(d).crossJoin(e)  # single rows

@@ -9,18 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions import modes, paths
 
-PATH = F.col("path")
-
 
 def _sided(entries: DataFrame, side: str) -> DataFrame:
-    return entries.select(PATH, F.struct(*[F.col(c) for c in entries.columns if c != "path"]).alias(side))
+    return entries.select(F.col("path"), F.struct(*[F.col(c) for c in entries.columns if c != "path"]).alias(side))
 
 
 def paired(old: DataFrame, new: DataFrame) -> DataFrame:
     """path, old and new (structs, null where a side lacks the path), without what lies below a path whose type differs."""
     both = _sided(old, "old").join(_sided(new, "new"), "path", "full_outer")
-    changed = both.where(modes.type_of(F.col("old.mode")) != modes.type_of(F.col("new.mode"))).select(PATH.alias("changed"))
-    steps = both.select(PATH.alias("p"), F.explode(paths.ancestors(PATH)).alias("step"))
+    changed = both.where(modes.type_of(F.col("old.mode")) != modes.type_of(F.col("new.mode"))).select(F.col("path").alias("changed"))
+    steps = both.select(F.col("path").alias("p"), F.explode(paths.ancestors(F.col("path"))).alias("step"))
     hidden = steps.join(changed, F.col("step") == F.col("changed"), "left_semi").select(F.col("p").alias("path")).distinct()
     return both.join(hidden, "path", "left_anti")
 

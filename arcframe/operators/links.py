@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import modes
 from .order import checkpointed
 
-PATH = F.col("path")
-
 
 def detect(entries: DataFrame) -> DataFrame:
     """entries with target and hard_link set on each later name of a file: target is the first name by seq.
@@ -36,7 +34,7 @@ def resolve(entries: DataFrame) -> DataFrame:
     step = checkpointed(entries.where(hard).select("path", "target", F.col("target").alias("at")))
     rounds = 0
     while True:
-        jump = step.select(PATH.alias("from"), F.col("at").alias("to"))
+        jump = step.select(F.col("path").alias("from"), F.col("at").alias("to"))
         moved = step.join(jump, F.col("at") == F.col("from"), "left")
         on = moved.where(F.col("from").isNotNull()).limit(1).count()
         if not on or rounds > 40:
@@ -49,7 +47,7 @@ def resolve(entries: DataFrame) -> DataFrame:
             step = new
             break
         step = new
-    ends = entries.select(PATH.alias("end"), modes.type_of(F.col("mode")).alias("kind"), hard.alias("is_link"))
+    ends = entries.select(F.col("path").alias("end"), modes.type_of(F.col("mode")).alias("kind"), hard.alias("is_link"))
     found = step.join(ends, F.col("at") == F.col("end"), "left")
     error = F.when(F.col("end").isNull(), "missing").when(F.col("is_link"), "loop").when(F.col("kind") == modes.DIRECTORY, "directory")
     return found.select("path", "target", F.when(error.isNull(), F.col("at")).alias("resolved"), error.alias("error"))

@@ -224,7 +224,7 @@ def sort_files(files: DataFrame, rules: DataFrame) -> DataFrame:
     """
     good = rules.where("error is null").drop("error")
     literal = files.select("path").join(F.broadcast(good.where("not is_glob")), F.col("path") == F.col("pattern")).select("path", "rule", "priority", "flags")
-    globbed = files.select("path").join(F.broadcast(good.where("is_glob")), F.col("path").rlike(F.col("regex"))).select("path", "rule", "priority", "flags")
+    globbed = files.select("path").join(F.broadcast(good.where("is_glob")), F.rlike(F.col("path"), F.col("regex"))).select("path", "rule", "priority", "flags")
     first = literal.unionByName(globbed).groupBy("path").agg(F.min(F.struct("rule", "priority", "flags")).alias("r"))
     none = F.array().cast("array<string>")
     return files.join(first, "path", "left").withColumns({"priority": F.coalesce("r.priority", F.lit(0).cast("long")), "flags": F.coalesce("r.flags", none), "rule": F.col("r.rule")}).drop("r")

@@ -9,8 +9,6 @@ from ..functions import modes, paths
 from . import entries as E
 from .order import checkpointed, numbered
 
-PATH, MODE = F.col("path"), F.col("mode")
-
 
 class TreeError(ValueError):
     """Entries that can't form a tree."""
@@ -18,7 +16,7 @@ class TreeError(ValueError):
 
 def implied_directories(entries: DataFrame, mode: int = 0o755, uid: int = 0, gid: int = 0, mtime: int = 0) -> DataFrame:
     """path and attributes of the directories that entries lie in but don't name, the root included."""
-    steps = entries.select(F.explode(F.array_append(paths.ancestors(PATH), F.lit(""))).alias("path")).distinct()
+    steps = entries.select(F.explode(F.array_append(paths.ancestors(F.col("path")), F.lit(""))).alias("path")).distinct()
     missing = steps.join(entries.select("path").distinct(), "path", "left_anti")
     return missing.select("path", F.lit(modes.DIRECTORY | mode).alias("mode"), F.lit(uid).cast("long").alias("uid"), F.lit(gid).cast("long").alias("gid"), F.lit(mtime).cast("long").alias("mtime"))
 
@@ -31,8 +29,8 @@ def with_implied(entries: DataFrame, **defaults) -> DataFrame:
 def conflicts(entries: DataFrame) -> DataFrame:
     """path and reason for each row that can't be put into the tree: a name that is there, or a parent that is no directory."""
     twice = entries.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path", F.lit("exists").alias("reason"))
-    other = entries.where(~modes.is_type(MODE, modes.DIRECTORY)).select(PATH.alias("blocker")).distinct()
-    below = entries.select("path", F.explode(paths.ancestors(PATH)).alias("step"))
+    other = entries.where(~modes.is_type(F.col("mode"), modes.DIRECTORY)).select(F.col("path").alias("blocker")).distinct()
+    below = entries.select("path", F.explode(paths.ancestors(F.col("path"))).alias("step"))
     blocked = below.join(other, F.col("step") == F.col("blocker"), "left_semi").select("path", F.lit("not a directory").alias("reason")).distinct()
     return twice.unionByName(blocked)
 
@@ -43,8 +41,8 @@ def insert(tree: DataFrame, entries: DataFrame, **defaults) -> DataFrame:
     A directory that so far was only implied takes the attributes of an explicit one; links get the mode of
     links. Rows that conflict fail the query with their path; times are held within 32 bits.
     """
-    link = modes.is_type(MODE, modes.LINK) | F.coalesce(F.col("hard_link"), F.lit(False))
-    new = E.clamp_times(entries.withColumn("mode", F.when(link, F.lit(modes.LINK | 0o777)).otherwise(MODE)))
+    link = modes.is_type(F.col("mode"), modes.LINK) | F.coalesce(F.col("hard_link"), F.lit(False))
+    new = E.clamp_times(entries.withColumn("mode", F.when(link, F.lit(modes.LINK | 0o777)).otherwise(F.col("mode"))))
     together = tree.unionByName(new, allowMissingColumns=True)
     wrong = conflicts(together).groupBy().agg(F.min(F.concat_ws(": ", "path", "reason")).alias("wrong"))
     checked = together.crossJoin(F.broadcast(wrong)).where(F.when(F.col("wrong").isNotNull(), F.raise_error(F.col("wrong")).cast("boolean")).otherwise(True)).drop("wrong")
@@ -65,7 +63,7 @@ def walk(dirents: DataFrame, root: int, depth: int | None = None) -> DataFrame:
         loop = (F.col("child_type") == 1) & F.array_contains("chain", F.col("child"))
         level = checkpointed(
             inside.join(children, F.col("inode") == F.col("p")).select(
-                E.join_path(PATH, F.col("name")).alias("path"), F.col("child").alias("inode"), (F.col("depth") + 1).alias("depth"), F.col("child_type").alias("type"),
+                E.join_path(F.col("path"), F.col("name")).alias("path"), F.col("child").alias("inode"), (F.col("depth") + 1).alias("depth"), F.col("child_type").alias("type"),
                 F.array_append("chain", F.col("child")).alias("chain"), loop.alias("loop"),
             )
         )
@@ -82,17 +80,17 @@ def loops(walked: DataFrame) -> DataFrame:
 
 
 def subtree(entries: DataFrame, top: str = "") -> DataFrame:
-    return entries.where(paths.is_below(PATH, top))
+    return entries.where(paths.is_below(F.col("path"), top))
 
 
 def resolve(entries: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (path) with the entry there and error: null, 'no such entry', or 'not a directory' on the way."""
-    asked = wanted.select(PATH.alias("asked"), paths.canonicalize(PATH).alias("path"))
+    asked = wanted.select(F.col("path").alias("asked"), paths.canonicalize(F.col("path")).alias("path"))
     found = asked.join(entries, "path", "left")
-    other = entries.where(~modes.is_type(MODE, modes.DIRECTORY)).select(PATH.alias("blocker"))
-    steps = asked.select(F.col("asked").alias("a"), F.explode(paths.ancestors(PATH)).alias("step"))
+    other = entries.where(~modes.is_type(F.col("mode"), modes.DIRECTORY)).select(F.col("path").alias("blocker"))
+    steps = asked.select(F.col("asked").alias("a"), F.explode(paths.ancestors(F.col("path"))).alias("step"))
     blocked = steps.join(other, F.col("step") == F.col("blocker"), "left_semi").select("a").distinct().withColumn("blocked", F.lit(True))
-    error = F.when(MODE.isNotNull(), F.lit(None)).when(F.col("blocked"), "not a directory").otherwise("no such entry")
+    error = F.when(F.col("mode").isNotNull(), F.lit(None)).when(F.col("blocked"), "not a directory").otherwise("no such entry")
     return found.join(blocked, F.col("asked").eqNullSafe(F.col("a")), "left").withColumn("error", error).drop("a", "blocked")
 
 
@@ -103,17 +101,17 @@ def link_counts(entries: DataFrame) -> DataFrame:
     """
     rows = E.with_parts(entries)
     hard = F.coalesce(F.col("hard_link"), F.lit(False))
-    children = rows.where(PATH != "").groupBy(F.col("parent_path").alias("at")).agg(F.count("*").alias("n"))
+    children = rows.where(F.col("path") != "").groupBy(F.col("parent_path").alias("at")).agg(F.count("*").alias("n"))
     links = rows.where(hard).groupBy(F.col("target").alias("at")).agg(F.count("*").alias("n"))
     more = children.unionByName(links).groupBy("at").agg(F.sum("n").alias("n"))
-    base = F.when(modes.is_type(MODE, modes.DIRECTORY), 2).otherwise(1)
-    return rows.where(~hard).join(more, PATH == F.col("at"), "left").select("path", (base + F.coalesce("n", F.lit(0))).cast("long").alias("nlink"))
+    base = F.when(modes.is_type(F.col("mode"), modes.DIRECTORY), 2).otherwise(1)
+    return rows.where(~hard).join(more, F.col("path") == F.col("at"), "left").select("path", (base + F.coalesce("n", F.lit(0))).cast("long").alias("nlink"))
 
 
 def statistics(entries: DataFrame) -> DataFrame:
     """One row: files, directories, pipes and sockets, devices, hard links, symbolic links."""
     hard = F.coalesce(F.col("hard_link"), F.lit(False))
-    kind = lambda *types: F.count_if(~hard & modes.is_type(MODE, *types))
+    kind = lambda *types: F.count_if(~hard & modes.is_type(F.col("mode"), *types))
     return entries.agg(
         kind(modes.FILE).alias("files"), kind(modes.DIRECTORY).alias("directories"), kind(modes.FIFO, modes.SOCKET).alias("ipc"), kind(modes.BLOCK, modes.CHARACTER).alias("devices"),
         F.count_if(hard).alias("hard_links"), kind(modes.LINK).alias("symlinks"),
@@ -129,8 +127,8 @@ def inode_key() -> list:
 
     That is the order of (components of the parent, then a sign that is greater than any name), then name.
     """
-    above = F.array_append(paths.parts(F.coalesce(paths.parent(PATH), F.lit(""))), F.lit(paths.LAST))
-    return [(PATH == "").cast("int"), above, paths.name(PATH)]
+    above = F.array_append(paths.parts(F.coalesce(paths.parent(F.col("path")), F.lit(""))), F.lit(paths.LAST))
+    return [(F.col("path") == "").cast("int"), above, paths.name(F.col("path"))]
 
 
 def inode_numbers(entries: DataFrame, reorder: bool = True) -> DataFrame:
@@ -144,7 +142,7 @@ def inode_numbers(entries: DataFrame, reorder: bool = True) -> DataFrame:
     if not reorder or "hard_link" not in entries.columns:
         return own.select("path", "inode")
     links = E.with_parts(entries.where(hard)).select(F.col("parent_path").alias("holder"), F.col("name").alias("link"), F.col("target"))
-    holders = own.select(PATH.alias("holder"), F.col("inode").alias("holder_inode"))
+    holders = own.select(F.col("path").alias("holder"), F.col("inode").alias("holder_inode"))
     first = links.join(holders, "holder").groupBy(F.col("target").alias("path")).agg(F.min(F.struct("holder_inode", "link")).alias("first"))
     moved = own.withColumnRenamed("inode", "old").join(first, "path", "left")
     early = F.col("first.holder_inode") < F.col("old")
@@ -154,12 +152,12 @@ def inode_numbers(entries: DataFrame, reorder: bool = True) -> DataFrame:
 
 def file_list(entries: DataFrame) -> DataFrame:
     """Regular files with seq, their place in depth-first order."""
-    return numbered(entries.where(modes.is_type(MODE, modes.FILE)), [E.path_key()], "seq", 0)
+    return numbered(entries.where(modes.is_type(F.col("mode"), modes.FILE)), [E.path_key()], "seq", 0)
 
 
 def children_first(entries: DataFrame) -> DataFrame:
     """Entries with the deepest first, as attributes are set: a directory's time last."""
-    return entries.orderBy(paths.depth(PATH).desc(), "path")
+    return entries.orderBy(paths.depth(F.col("path")).desc(), "path")
 
 
 def path_of_nodes(nodes: DataFrame) -> DataFrame:

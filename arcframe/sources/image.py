@@ -779,13 +779,6 @@ class ImageReader(DataSourceReader):
         self.options, self.names = options, set(schema.names)
         self.wanted: list[tuple[str, str]] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            if self._table() == "entries" and f.__class__ in (EqualTo, StringStartsWith) and tuple(f.attribute) == ("path",):
-                self.wanted.append(("is" if isinstance(f, EqualTo) else "under", f.value))
-            else:
-                yield f
-
     def _table(self) -> str:
         return self.options.get("table", "entries")
 
@@ -805,6 +798,17 @@ class ImageReader(DataSourceReader):
                     yield entry_row(image, partition.path, seq, path, inode, names)
 
 
+class PushingImageReader(ImageReader):
+    """The same, taking filters from the plan where the session allows it."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if self._table() == "entries" and f.__class__ in (EqualTo, StringStartsWith) and tuple(f.attribute) == ("path",):
+                self.wanted.append(("is" if isinstance(f, EqualTo) else "under", f.value))
+            else:
+                yield f
+
+
 @dataclass
 class Written(WriterCommitMessage):
     path: str | None
@@ -865,8 +869,8 @@ class ImageDataSource(DataSource):
             raise ValueError(f"no table {table!r}")
         return TABLES[table]
 
-    def reader(self, schema: StructType) -> ImageReader:
-        return ImageReader(schema, dict(self.options))
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return (PushingImageReader if self.options.get("pushdown") == "true" else ImageReader)(schema, dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> ImageWriter:
         return ImageWriter(dict(self.options), overwrite)
@@ -874,7 +878,7 @@ class ImageDataSource(DataSource):
 
 def read_image(spark: SparkSession, path: str, table: str = "entries", content: bool = True, slices: int = 1) -> DataFrame:
     spark.dataSource.register(ImageDataSource)
-    return spark.read.format("arcimage").option("table", table).option("content", str(content).lower()).option("slices", slices).load(path)
+    return spark.read.format("arcimage").option("table", table).option("content", str(content).lower()).option("slices", slices).option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).load(path)
 
 
 def prepare(entries: DataFrame, codec: Codec, tails: bool = True) -> DataFrame:

@@ -370,13 +370,6 @@ class TarReader(DataSourceReader):
         self.options, self.names = options, schema.names
         self.wanted: list[tuple[str, str]] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            if f.__class__ in (EqualTo, StringStartsWith) and tuple(f.attribute) == ("path",):
-                self.wanted.append(("is" if isinstance(f, EqualTo) else "under", f.value))
-            else:
-                yield f
-
     def partitions(self) -> list[Archive]:
         from .files import expand
 
@@ -398,6 +391,17 @@ def row_of(r: Record, seq: int, archive: str) -> tuple:
 SCHEMA = StructType(list(ENTRIES.fields)).add("archive", StringType())
 
 
+class PushingTarReader(TarReader):
+    """The same, taking filters from the plan where the session allows it."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if f.__class__ in (EqualTo, StringStartsWith) and tuple(f.attribute) == ("path",):
+                self.wanted.append(("is" if isinstance(f, EqualTo) else "under", f.value))
+            else:
+                yield f
+
+
 @dataclass
 class Written(WriterCommitMessage):
     path: str | None
@@ -462,8 +466,8 @@ class TarDataSource(DataSource):
     def schema(self) -> StructType:
         return SCHEMA
 
-    def reader(self, schema: StructType) -> TarReader:
-        return TarReader(schema, dict(self.options))
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return (PushingTarReader if self.options.get("pushdown") == "true" else TarReader)(schema, dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> TarWriter:
         return TarWriter(schema, dict(self.options), overwrite)
@@ -471,7 +475,7 @@ class TarDataSource(DataSource):
 
 def read_tar(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
     spark.dataSource.register(TarDataSource)
-    return spark.read.format("arctar").option("content", str(content).lower()).load(path)
+    return spark.read.format("arctar").option("content", str(content).lower()).option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).load(path)
 
 
 def parse_tars(contents: DataFrame, content: str = "content") -> DataFrame:
