@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from pyspark.sql.window import Window
 
-from .common import checkpointed, map_batches, shuffle_partitions
+from .common import checkpointed, map_batches, release, shuffle_partitions
 from .components import components
 
 #: The longest prefix reaches this share of a set beyond the usual one; documents of a block in verification.
@@ -37,7 +37,7 @@ LONGEST, BLOCK = 1 / 16, 1024
 #: Cost of verifying a candidate, in postings looked at.
 VERIFY = 40
 #: Words whose hashes a worker keeps.
-CACHE = 500_000
+CACHE = 150_000
 M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,6 +142,8 @@ def _whole_partition(df: DataFrame, work: Callable[[dict[str, bytes]], Iterator[
         if any(joined.values()):
             for columns in work(joined):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+        del parts, joined
+        release()
 
     return df.mapInArrow(run, struct)
 
@@ -172,7 +174,7 @@ def trials(n: int, percent: int) -> list[int]:
 
 
 def signatures(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
-    """One pass over the texts. Rows with an id: id, n, key (of the set). The others: the entries of the
+    """One pass over the texts. Rows with an id: id, n, key (of the set), dealt evenly. The others: the entries of the
     longest prefixes, as packed n-grams, keys and trials (the first whose prefix holds the n-gram)."""
 
     def make() -> Callable[[pa.RecordBatch], Iterator[dict]]:
@@ -195,7 +197,7 @@ def signatures(docs: DataFrame, words: int, percent: int, buckets: int) -> DataF
                     lengths.append(ends[-1])
                     owners.append(key)
             none = [None] * len(ns)
-            yield {"id": batch.column(0), "n": ns, "key": keys, "bucket": _bucket(np.array(keys, np.uint64), buckets), "tokens": none, "keys": none, "trials": none}
+            yield {"id": batch.column(0), "n": ns, "key": keys, "bucket": np.arange(len(ns)) % buckets, "tokens": none, "keys": none, "trials": none}
             if tokens:
                 token = np.concatenate(tokens)
                 parts = _split(
@@ -454,6 +456,8 @@ def verify(rows: DataFrame, percent: int) -> DataFrame:
                     held[key] = (member, i, unpack5(data))
         if now is not None:
             yield from finish()
+        held.clear()
+        release()
 
     return rows.mapInArrow(run, struct)
 
