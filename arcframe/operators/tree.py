@@ -162,20 +162,17 @@ def children_first(entries: DataFrame) -> DataFrame:
 
 def path_of_nodes(nodes: DataFrame) -> DataFrame:
     """node and path from rows (node, parent, name), the root's parent being null; path is null in a loop or above an unknown node."""
-    rows = checkpointed(nodes.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.lit(None)).otherwise(F.col("name")).alias("path")))
-    # each round doubles how far a row looks up
-    while True:
+    start = F.when(F.col("parent").isNull(), "").otherwise(F.col("name"))
+    rows = checkpointed(nodes.select("node", F.col("parent").alias("up"), start.alias("path")))
+    while True:  # each round doubles how far a row has looked up
+        pending = rows.where(F.col("up").isNotNull())
+        left = pending.count()
+        if not left:
+            break
         above = rows.select(F.col("node").alias("n"), F.col("up").alias("up2"), F.col("path").alias("path2"))
-        open_rows = rows.where(F.col("up").isNotNull())
-        nxt = open_rows.join(above, F.col("up") == F.col("n"), "left")
-        stepped = nxt.select(
-            "node", F.when(F.col("n").isNull(), F.lit(None)).otherwise(F.col("up2")).cast(rows.schema["up"].dataType).alias("up"),
-            F.when(F.col("n").isNull(), F.lit(None)).otherwise(F.concat_ws("/", "path2", "path")).alias("path"), F.col("n").isNull().alias("lost"),
-        )
-        done = rows.where(F.col("up").isNull())
-        size = open_rows.count()
-        new = checkpointed(done.unionByName(stepped.where(~F.col("lost")).drop("lost")).unionByName(stepped.where("lost").select("node", "up", "path")))
-        left = new.where(F.col("up").isNotNull()).count()
-        rows = new
-        if not left or left == size:
-            return rows.select("node", F.when(F.col("up").isNull(), F.coalesce("path", F.lit(""))).alias("path"))
+        # above an unknown node there is neither a way on nor a path
+        stepped = pending.join(above, F.col("up") == F.col("n"), "left").select("node", F.col("up2").alias("up"), E.join_path(F.col("path2"), F.col("path")).alias("path"))
+        rows = checkpointed(rows.where(F.col("up").isNull()).unionByName(stepped))
+        if rows.where(F.col("up").isNotNull()).count() == left:  # what stays are loops and what hangs on them
+            break
+    return rows.select("node", F.when(F.col("up").isNull(), F.col("path")).alias("path"))
