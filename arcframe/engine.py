@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import modes, paths
-from .operators import attributes, diff, links, rules, tree
+from .operators import attributes, links, rules, tree
+from .operators import diff as differences
 from .operators import entries as E
 from .sources import directory, image, tar
 from .sources.files import expand
@@ -134,17 +135,17 @@ class Engine:
 
     # --- comparing
 
-    def diff(self, old: DataFrame, new: DataFrame, compare: Collection[str] = diff.DEFAULT) -> DataFrame:
+    def diff(self, old: DataFrame, new: DataFrame, compare: Collection[str] = differences.DEFAULT) -> DataFrame:
         """path and difference: ``<``, ``>`` for paths on one side, or what differs."""
-        sides = diff.only(old, new).select("path", F.col("side").alias("difference"))
-        return sides.unionByName(diff.attributes(old, new, compare))
+        sides = differences.only(old, new).select("path", F.col("side").alias("difference"))
+        return sides.unionByName(differences.attributes(old, new, compare))
 
-    def diff_images(self, old: str, new: str, compare: Collection[str] = diff.DEFAULT) -> DataFrame:
+    def diff_images(self, old: str, new: str, compare: Collection[str] = differences.DEFAULT) -> DataFrame:
         """Differences of two images; of their super blocks only if their trees are the same."""
         return self.diff(self.image(old), self.image(new), compare)
 
     def diff_super(self, old: str, new: str) -> DataFrame:
-        return diff.super_blocks(self.image(old, "super"), self.image(new, "super"))
+        return differences.super_blocks(self.image(old, "super"), self.image(new, "super"))
 
     def browse(self, path: str) -> Browser:
         return Browser(self, path)

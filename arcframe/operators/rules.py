@@ -162,7 +162,10 @@ def expand_glob(line: GlobLine, scanned: DataFrame, tree: DataFrame) -> DataFram
         rows = E.path_matches(rows, line.full_path)
     keep = [c for c, v in (("mode", line.mode), ("uid", line.uid), ("gid", line.gid)) if v is None] + ["mtime"] * line.keep_time
     rows = E.override(rows, keep, uid=line.uid or 0, gid=line.gid or 0, mode=line.mode or 0)
-    return E.with_parents_in(rows, tree.select("path", "mode").unionByName(rows.select("path", "mode")))
+    # the directory that the line names comes to be if it isn't there
+    steps = line.path.split("/") if line.path else []
+    own = tree.sparkSession.createDataFrame([("/".join(steps[: i + 1]), modes.DIRECTORY) for i in range(len(steps))], "path string, mode int")
+    return E.with_parents_in(rows, tree.select("path", "mode").unionByName(rows.select("path", "mode")).unionByName(own))
 
 
 # --- sort rules -----------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no (from 1) and line of one text file, as small as rule files are: the file is one row at first."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return split_lines(whole.select(F.col("value").alias("content"))).select("line_no", "line")
 
 
