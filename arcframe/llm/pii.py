@@ -100,10 +100,17 @@ def iban_remainder(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+#: Private IPv4 blocks as address and prefix length, and those that belong to no host.
+PRIVATE = ((0x0A000000, 8), (0xAC100000, 12), (0xC0A80000, 16), (0x64400000, 10))
+NO_HOST = ((0x00000000, 8), (0x7F000000, 8), (0xA9FE0000, 16), (0xE0000000, 3))
+
+
+def _inside(address: int, blocks: tuple) -> tuple[int, int] | None:
+    return next(((base, bits) for base, bits in blocks if address >> 32 - bits == base >> 32 - bits), None)
+
+
 def is_public(address: int) -> bool:
-    """The reserved IPv4 blocks, which belong to nobody."""
-    a, b = address >> 24, address >> 16 & 255
-    return not (a in (0, 10, 127) or a >= 224 or (a, b) in ((169, 254), (192, 168)) or (a == 172 and 16 <= b < 32) or (a == 100 and 64 <= b < 128))
+    return _inside(address, PRIVATE + NO_HOST) is None
 
 
 def is_area_phone(number: int) -> bool:
@@ -171,9 +178,14 @@ def pseudonym(kind: str, text: str, cipher: Feistel, back: bool = False) -> str
     elif kind == "ip":
         octets = [int(o) for o in text.split(".")]
         address = int.from_bytes(bytes(octets), "big") if max(octets) < 256 else 0
-        if not is_public(address):
+        if _inside(address, NO_HOST):
             return None
-        return ".".join(map(str, cipher.permute(address, 1 << 32, kind, is_public, back).to_bytes(4, "big")))
+        if block := _inside(address, PRIVATE):  # stays in its block
+            rest = 1 << 32 - block[1]
+            fresh = block[0] + cipher.permute(address % rest, rest, f"{kind}{block[0]}", back=back)
+        else:
+            fresh = cipher.permute(address, 1 << 32, kind, is_public, back)
+        return ".".join(map(str, fresh.to_bytes(4, "big")))
     elif kind == "ssn":
         if not is_ssn(int(number)):
             return None

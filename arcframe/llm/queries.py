@@ -16,7 +16,7 @@ from .mixing import mix_sources
 from .near_vectors import near_vectors
 from .packing import pack_documents
 from .pii import pseudonymize_documents
-from .secrets import digest, scan_secrets
+from .secrets import ASSIGN_HEAD, ASSIGN_LEAST, BASE, KINDS, LIVE_OWNERS, digest, scan_secrets
 from .tokencount import count_tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -76,4 +76,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_source_mixing": op10_source_mixing,
 }
-ORACLES: dict[str, str] = {}
+
+# --- oracles, where SQL can say the same -----------------------------------------------------------------
+
+_REACH = """
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
+lowest AS (SELECT a, least(a, min(b)) AS low FROM reach GROUP BY a)
+"""
+
+_OP2 = f"""
+WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingled AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM worded),
+sized AS (SELECT doc_id, len(s) AS n FROM shingled),
+items AS (SELECT doc_id, unnest(s) AS x FROM shingled),
+shared AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM items p JOIN items q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sized sa ON sa.doc_id = a JOIN sized sb ON sb.doc_id = b WHERE 100 * k >= 85 * (sa.n + sb.n - k)),
+{_REACH}
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(low, doc_id) AS component_id FROM sized LEFT JOIN lowest ON a = doc_id
+"""
+
+_OP7 = f"""
+WITH RECURSIVE vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+good AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM vectors WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM good p JOIN good q ON p.vec_id < q.vec_id WHERE p.norm > 0 AND q.norm > 0 AND list_dot_product(p.v, q.v) / (p.norm * q.norm) >= 0.95),
+{_REACH},
+degree AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(low, vec_id) AS component_id, coalesce(low, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN lowest ON lowest.a = vec_id LEFT JOIN degree ON degree.a = vec_id
+"""
+
+
+def _op8() -> str:
+    """Spans by splitting at the patterns. Possessive marks and the look-ahead only save time; SQL has neither."""
+    plain = {k: p.replace("}+", "}").replace("*+", "*").replace("'", "''") for k, p in KINDS.items()}
+    least = {k: ASSIGN_LEAST if k == "assign" else 1 for k in KINDS}
+    parts = []
+    for rank, (kind, pattern) in enumerate(plain.items()):
+        value = f"regexp_replace(m[i], '^{ASSIGN_HEAD.replace(chr(39), chr(39) * 2)}', '')" if kind == "assign" else "m[i]"
+        parts.append(
+            f"SELECT doc_id, owner, '{kind}' AS kind, {rank} AS rank, {value} AS value, list_sum([length(x) FOR x IN g[:i]]) + coalesce(list_sum([length(x) FOR x IN m[:i - 1]]), 0) AS a, length(m[i]) AS size "
+            f"FROM (SELECT doc_id, owner, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, owner, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM texts) WHERE len(m) > 0) WHERE length({value}) >= {least[kind]}"
+        )
+    base = ", ".join(f"'{k}'" for k in BASE)
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce('+' || source, '-') AS owner, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(parts)}),
+owned AS (SELECT value, count(DISTINCT owner) AS owners FROM spans GROUP BY value),
+judged AS (SELECT doc_id, kind, rank, CAST(a AS BIGINT) AS a, CAST(a + size AS BIGINT) AS b, owners <= {LIVE_OWNERS} AS live FROM spans JOIN owned USING (value) WHERE owners <= {LIVE_OWNERS} OR kind IN ({base})),
+said AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_example,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (WHERE kind IN ({base})) AS base FROM judged GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_example, 0) AS BIGINT) AS n_example,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts LEFT JOIN said USING (doc_id)
+"""
+
+
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": _OP2, "op7_near_vectors": _OP7, "op8_secret_scans": _op8()}

@@ -6,16 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shuffle_partitions
-
-#: Slices of a group for each shuffle partition: a group of all rows still spreads over all tasks.
-SLICES_A_PARTITION = 2
+#: Slices that a group is cut into: a group of a third of all rows still spreads over so many tasks. It is a
+#: constant so that ranks depend on the rows alone.
+SLICES = 1024
 
 
 def with_slice(rows: DataFrame, order: list[Column], seed: int = 0) -> DataFrame:
-    """rows with a column slice: a seeded hash of order, over a fixed number of slices for each shuffle partition."""
-    slices = SLICES_A_PARTITION * shuffle_partitions(rows.sparkSession)
-    return rows.withColumn("slice", F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(slices)).cast("int"))
+    """rows with a column slice: a seeded hash of order."""
+    return rows.withColumn("slice", F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(SLICES)).cast("int"))
 
 
 def slice_starts(rows: DataFrame, keys: list[str]) -> DataFrame:

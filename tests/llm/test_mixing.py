@@ -62,9 +62,9 @@ def expected_targets(totals, share=1.5, cap=2):
             full.add(k)
 
 
-@pytest.mark.parametrize("slices", [2, 90])
+@pytest.mark.parametrize("slices", [1, 1024])
 def test_query_rows(spark, monkeypatch, slices):
-    monkeypatch.setattr(ranks, "SLICES_A_PARTITION", slices)
+    monkeypatch.setattr(ranks, "SLICES", slices)
     # without the very long text: a source that is mostly one document can only come near by whole copies of it
     texts = [*(t for t in ODD_TEXTS if len(t or "") < 10_000), *("w " * (i * i % 83) for i in range(400)), *["one two three"] * 90]
     docs = documents(spark, texts)

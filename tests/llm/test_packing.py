@@ -92,7 +92,7 @@ def test_query_rows(spark):
 def test_slices_of_a_hot_length(spark, monkeypatch):
     from arcframe.llm import ranks
 
-    monkeypatch.setattr(ranks, "SLICES_A_PARTITION", 30)
+    monkeypatch.setattr(ranks, "SLICES", 7)
     texts = ["the same words"] * 400 + ["other words, a few more of them"] * 60
     check_rows(packing.pack_documents(documents(spark, texts), PATH).collect(), texts)
 

@@ -64,7 +64,7 @@ def test_values_stay_valid_linked_and_reversible():
             assert seen.setdefault((kind, fresh[0]), forms[0]) == forms[0]
 
 
-@pytest.mark.parametrize("text", ["4242424242424243", "1234567890123", "0000000000000", "192.168.0.1", "10.1.2.3", "256.1.1.1", "1.2.3", "2.0.", "666-12-3456", "000-12-3456", "123-00-4567", "2021-02-30", "31.04.2020", "99/99/2020", "1234", "c1f80f127674f6764aed23d9333c5f5659a6d986", "DE00123456789012345678", "a@b", "@x.com", "12 34 56", "3.14159265358979", "v1.2.3.4.5", "http://a.b/2020", "x4242424242424242", "1,234,567.89", "ISBN 978-3-16-148410-0"])
+@pytest.mark.parametrize("text", ["4242424242424243", "1234567890123", "0000000000000", "127.0.0.1", "0.1.2.3", "224.0.0.1", "256.1.1.1", "1.2.3", "2.0.", "666-12-3456", "000-12-3456", "123-00-4567", "2021-02-30", "31.04.2020", "99/99/2020", "1234", "c1f80f127674f6764aed23d9333c5f5659a6d986", "DE00123456789012345678", "a@b", "@x.com", "12 34 56", "3.14159265358979", "v1.2.3.4.5", "http://a.b/2020", "x4242424242424242", "1,234,567.89", "ISBN 978-3-16-148410-0"])
 def test_what_isnt_valid_stays(text):
     for t in (text, f"see {text} here", f"({text})"):
         assert pii.pseudonymize(t, CIPHER)[0] == t
@@ -79,6 +79,14 @@ def test_counts_and_the_rest_of_the_text(parts):
     assert re.sub("[0-9A-Za-z.]", "", fresh) == re.sub("[0-9A-Za-z.]", "", text)
 
 
+@pytest.mark.parametrize("address", ["10.1.2.3", "192.168.77.9", "172.20.0.5", "100.64.1.1"])
+def test_private_addresses_stay_in_their_block(address):
+    fresh = pii.pseudonym("ip", address, CIPHER)
+    number = lambda a: int.from_bytes(bytes(map(int, a.split("."))), "big")
+    assert fresh != address and pii._inside(number(fresh), pii.PRIVATE) == pii._inside(number(address), pii.PRIVATE)
+    assert pii.pseudonym("ip", fresh, CIPHER, back=True) == address
+
+
 def test_ibans_end_before_words():
     text = "to DE89 3704 0044 0532 0130 00 AND MORE"
     fresh, counts = pii.pseudonymize(text, CIPHER)
