@@ -203,7 +203,9 @@ def pack_statistics(files: DataFrame, block_size: int, content: str = "content")
         F.count("*").alias("fragments"), F.count_if(F.col("seq") != F.col("first_seq")).alias("duplicate_fragments"), F.coalesce(F.sum(F.when(F.col("seq") == F.col("first_seq"), F.col("size"))), F.lit(0)).cast("long").alias("tail_bytes")
     )
     e = placed.agg(F.countDistinct("fragment").alias("fragment_blocks"))
-    one = a.crossJoin(b).crossJoin(c).crossJoin(d).crossJoin(e)  # single rows
+    one = a
+    for part in (b, c, d, e):  # of one row each
+        one = one.join(F.broadcast(part), F.lit(True))
     written = F.col("block_bytes") + F.col("tail_bytes")
     return one.select(
         "bytes_read", written.alias("bytes_written"), F.when(F.col("bytes_read") > 0, F.floor(written * 100 / F.col("bytes_read"))).otherwise(100).cast("long").alias("ratio"),

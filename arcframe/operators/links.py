@@ -31,22 +31,17 @@ def resolve(entries: DataFrame) -> DataFrame:
     where there is no such path; null otherwise. Each round doubles how many links a row has followed.
     """
     hard = F.coalesce(F.col("hard_link"), F.lit(False))
-    step = checkpointed(entries.where(hard).select("path", "target", F.col("target").alias("at")))
-    rounds = 0
-    while True:
+    step = checkpointed(entries.where(hard).select("path", "target", F.col("target").alias("at"), F.lit(True).alias("moved")))
+    links = step.count()
+    followed = 1
+    # a chain without a loop has no more steps than there are links
+    while followed <= links:
         jump = step.select(F.col("path").alias("from"), F.col("at").alias("to"))
         moved = step.join(jump, F.col("at") == F.col("from"), "left")
-        on = moved.where(F.col("from").isNotNull()).limit(1).count()
-        if not on or rounds > 40:
+        step = checkpointed(moved.select("path", "target", F.coalesce("to", "at").alias("at"), F.col("from").isNotNull().alias("moved")))
+        followed *= 2
+        if not step.where("moved").limit(1).count():
             break
-        rounds += 1
-        new = checkpointed(moved.select("path", "target", F.coalesce("to", "at").alias("at")))
-        # rows that are still on links after as many steps as there are links are on loops
-        left = new.join(jump.select("from"), F.col("at") == F.col("from"), "left_semi").count()
-        if left and 2**rounds > entries.where(hard).count():
-            step = new
-            break
-        step = new
     ends = entries.select(F.col("path").alias("end"), modes.type_of(F.col("mode")).alias("kind"), hard.alias("is_link"))
     found = step.join(ends, F.col("at") == F.col("end"), "left")
     error = F.when(F.col("end").isNull(), "missing").when(F.col("is_link"), "loop").when(F.col("kind") == modes.DIRECTORY, "directory")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, modes, numbers, paths, text
-from ..operators import attributes, blocks, dictionary, diff, links, rules, tree
+from ..operators import attributes, blocks, dictionary, diff, inodes, links, rules, tree
 from ..operators import entries as E
 from . import views
 
@@ -254,6 +254,48 @@ def id_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.id_dictionary(rows.join(tree.inode_numbers(rows), "path"))
 
 
+@query(f"WITH {views.TREE}, {_NUMBERS}, kept AS (SELECT inode FROM numbers WHERE inode % 7 <> 3) SELECT CAST(i AS BIGINT) AS inode, CASE WHEN i % 7 <> 3 THEN CAST(i * 65536 + i % 8192 AS BIGINT) END AS ref FROM range(1, (SELECT max(inode) + 1 FROM kept)) r(i)")
+def export_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inode references by number, every seventh number left out."""
+    numbered = tree.inode_numbers(views.tree(spark, sf_dir)).where("inode % 7 != 3")
+    return inodes.export_table(numbered.select("inode", (F.col("inode") * 65536 + F.col("inode") % 8192).alias("ref")))
+
+
+@query(
+    f"WITH {views.TREE}, {_NUMBERS}, held AS (SELECT p.inode AS parent_inode, n.path, n.inode, string_split(n.path, '/')[-1] AS name FROM numbers n JOIN parted t USING (path) JOIN numbers p ON p.path = t.parent_path), "
+    "marked AS (SELECT *, inode // 100 AS block, CASE WHEN lag(inode // 100) OVER (PARTITION BY parent_inode ORDER BY name) IS DISTINCT FROM inode // 100 THEN 1 ELSE 0 END AS fresh FROM held), runs AS (SELECT *, sum(fresh) OVER (PARTITION BY parent_inode ORDER BY name) - 1 AS run FROM marked) "
+    "SELECT CAST(parent_inode AS BIGINT) AS parent_inode, CAST(run AS BIGINT) AS run, CAST(block AS BIGINT) AS start, CAST(arg_min(inode, name) AS BIGINT) AS first, min(name) AS name, CAST(count(*) AS BIGINT) AS entries, CAST(12 + sum(8 + strlen(name)) AS BIGINT) AS bytes FROM runs GROUP BY parent_inode, run, block"
+)
+def directory_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of directories whose inodes lie a hundred to a block; none is long enough for the other rules."""
+    rows = views.tree(spark, sf_dir)
+    numbered = tree.inode_numbers(rows)
+    inside = E.with_parts(numbered).where("path != ''")
+    parents = numbered.select(F.col("path").alias("parent_path"), F.col("inode").alias("parent_inode"))
+    return inodes.directory_runs(inside.join(parents, "parent_path").select("parent_inode", "name", "inode", (F.floor(F.col("inode") / 100) * 65536).alias("ref")))
+
+
+@query(f"WITH {views.TREE} SELECT path, (mode & 61440) = 32768 AND (size > 40000000 OR key % 6 = 1) OR key % 9 = 2 AS extended, CASE WHEN (mode & 61440) = 32768 THEN CAST(size // 4096 + CASE WHEN key % 2 = 0 AND size % 4096 > 0 THEN 1 ELSE 0 END AS BIGINT) ELSE 0 END AS blocks FROM files")
+def inode_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which inodes need the extended layout, and how many blocks they have."""
+    key = F.col("key")
+    none = F.lit(None).cast("long")
+    rows = views.files(spark, sf_dir).withColumns({
+        "xattr_index": F.when(key % 9 == 2, key), "dir_index": F.lit(None).cast("array<int>"), "nlink": F.when(key % 6 == 1, 2).otherwise(1), "sparse_bytes": none,
+        "block_start": F.when(F.col("size") > 40000000, F.lit(2**32)), "fragment": F.when(key % 2 == 1, key), "fragment_offset": none,
+    })
+    return rows.select("path", inodes.needs_extended().alias("extended"), inodes.block_count(4096).alias("blocks"))
+
+
+@query("WITH h AS (SELECT o_orderkey AS k, o_orderkey % 100 AS a FROM orders) SELECT k, a NOT BETWEEN 10 AND 19 AND a NOT BETWEEN 50 AND 79 AS hole, CAST(CASE WHEN a < 10 THEN 10 - a WHEN a BETWEEN 20 AND 49 THEN 50 - a WHEN a >= 80 THEN 100 - a ELSE 0 END AS BIGINT) AS left_over FROM h")
+def sparse_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets in a file of 100 bytes whose data are at 10 to 19 and 50 to 79."""
+    extents = F.array(*[F.struct(F.lit(a).cast("long").alias("offset"), F.lit(n).cast("long").alias("count")) for a, n in ((10, 10), (50, 30))])
+    at = F.col("o_orderkey") % 100
+    rows = views.read(spark, sf_dir, "orders")
+    return rows.select(F.col("o_orderkey").alias("k"), inodes.in_hole(extents, at).alias("hole"), inodes.to_next_data(extents, at, F.lit(100)).cast("long").alias("left_over"))
+
+
 @query(f"WITH {views.TREE} SELECT name, CAST(row_number() OVER (ORDER BY min(path), name) - 1 AS BIGINT) AS idx, CAST(count(*) AS BIGINT) AS uses FROM parted WHERE path <> '' GROUP BY name")
 def name_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.value_dictionary(E.with_parts(views.tree(spark, sf_dir)).where("path != ''"), "name", "path")

@@ -317,3 +317,26 @@ def test_streams(spark, tmp_path):
     assert spark.table("seen").count() == 5
     spliced = ingest.splice(spark.createDataFrame([(p, s, bytearray(d)) for p, s, d, _ in parts], "path string, seq long, data binary"), 5)
     assert {(r.path, r.seq): bytes(r.data) for r in spliced.collect()} == {("a", 0): b"abc", ("a", 1): b"de", ("b", 0): b"12345", ("c", 0): b"abcd"}
+
+
+def test_tables_of_an_image_make_its_entries(spark, tmp_path):
+    from arcframe.operators import inodes
+
+    path = str(tmp_path / "t.img")
+    image.write_image(spark.createDataFrame(sample(), SCHEMA), path, "gzip", 4096, exportable=True)
+    read = lambda t: image.read_image(spark, path, t)
+    table, root = read("inodes"), read("inodes").agg(F.max("inode")).first()[0]
+    want = {(r.path, r.inode, r.mode, r.uid, r.gid, r.nlink) for r in image.read_image(spark, path).collect()}
+    got = inodes.entries(table, read("dirents"), read("ids"), root)
+    assert {(r.path, r.inode, r.mode, r.uid, r.gid, r.nlink) for r in got.collect()} == want
+    assert table.where(inodes.needs_extended() != (F.col("type") > 7)).count() == 0
+    assert table.where(inodes.block_count(4096) != F.coalesce(F.size("block_sizes"), F.lit(0))).count() == 0
+    blocks = inodes.block_table(table).where("stored > 0")
+    assert blocks.join(read("blocks"), ["inode", "idx", "at", "stored", "compressed", "sparse"]).count() == blocks.count() > 0
+    flags = inodes.fragment_flags(read("fragments")).first()
+    assert flags.fragments and flags.uncompressed == (read("fragments").where("compressed").count() == 0)
+    asked = inodes.resolve_numbers(table, spark.createDataFrame([(1,), (10**6,)], "inode long"))
+    assert {r.inode: r.ref is None for r in asked.collect()} == {1: False, 10**6: True}
+    runs = inodes.directory_runs(read("dirents"))
+    assert runs.agg(F.sum("entries")).first()[0] == read("dirents").count()
+    assert inodes.export_table(table).exceptAll(read("export").select("inode", "ref")).count() == 0
