@@ -65,7 +65,7 @@ def describe_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.describe(views.tree(spark, sf_dir))
 
 
-@query(f"WITH {views.TREE} SELECT path, uid, 0 AS gid, 1000 AS mtime, (mode & 61440) | 448 AS mode FROM tree")
+@query(f"WITH {views.TREE} SELECT path, uid, CAST(0 AS BIGINT) AS gid, CAST(1000 AS BIGINT) AS mtime, (mode & 61440) | 448 AS mode FROM tree")
 def override_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.override(views.tree(spark, sf_dir), keep=["uid"], mtime=1000, mode=0o700).select("path", "uid", "gid", "mtime", "mode")
 
@@ -120,7 +120,7 @@ def find_path_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.path_matches(rows, "*th*/[ef]?/*").select("page_id", "path")
 
 
-@query(f"WITH {views.TREE} SELECT path, depth FROM parted WHERE depth <= 2")
+@query(f"WITH {views.TREE} SELECT path, CAST(depth AS INT) AS depth FROM parted WHERE depth <= 2")
 def max_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.up_to_depth(E.with_parts(views.tree(spark, sf_dir)), 2).select("path", "depth")
 
@@ -660,7 +660,7 @@ def _shared(spark: SparkSession, name: str) -> str:
     return f"{folder}/{uuid.uuid4().hex}-{name}"
 
 
-@query(f"WITH {views.CONTENTS} SELECT path, 33188 AS mode, 7 AS uid, 8 AS gid, CAST(seq AS BIGINT) AS mtime, CAST(octet_length(content) AS BIGINT) AS size, md5(text) AS digest FROM contents")
+@query(f"WITH {views.CONTENTS} SELECT path, 33188 AS mode, CAST(7 AS BIGINT) AS uid, CAST(8 AS BIGINT) AS gid, CAST(seq AS BIGINT) AS mtime, CAST(octet_length(content) AS BIGINT) AS size, md5(text) AS digest FROM contents")
 def tar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as an archive and read again."""
     from ..sources import tar
