@@ -32,8 +32,10 @@ from pyspark.sql.window import Window
 from .common import checkpointed, map_batches, release, shuffle_partitions
 from .components import components
 
-#: The longest prefix reaches this share of a set beyond the usual one; documents of a block in verification.
-LONGEST, BLOCK = 1 / 16, 1024
+#: The longest prefix reaches this share of a set beyond the usual one. Documents of a block in verification: at
+#: least BLOCK, and GROWTH times the root of a group's size, so that a group's rows there grow with the power 1.5
+#: of its size while a block stays far smaller than the group.
+LONGEST, BLOCK, GROWTH = 1 / 16, 1024, 8
 #: Cost of verifying a candidate, in postings looked at.
 VERIFY = 40
 #: Words whose hashes a worker keeps.
@@ -535,7 +537,7 @@ def _places(survivors: DataFrame, pairs: DataFrame) -> DataFrame:
     beyond one block is cut by a hash of the key, and each block is visited by those before it.
     """
     sizes = checkpointed(survivors.groupBy("lead").agg(F.count("*").alias("size")))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("size") / F.greatest(F.lit(BLOCK), F.ceil(GROWTH * F.sqrt("size")))).cast("int")
     mine = survivors.join(sizes, "lead").withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int"))
     inside = mine.select("key", "lead", "own", F.explode(F.sequence("own", blocks - 1)).alias("block")).select("key", "lead", "block", (F.col("block") == F.col("own")).alias("member"))
     of = lambda side: sizes.select(F.col("lead").alias(side), F.col("size").alias(f"{side}_size"))

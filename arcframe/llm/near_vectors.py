@@ -30,8 +30,9 @@ from .components import components
 LINES, WINDOW = 24, 0.9
 #: Width of a cell in units of the lines; unrelated vectors in a cell that are aimed at; sample that sets the lines of a cell.
 CELL, CROWD, SAMPLE = 1.5, 200, 1024
-#: Vectors of a block in verification, and rows compared at a time.
-BLOCK, ROWS = 2048, 256
+#: Vectors of a block in verification: at least BLOCK, and GROWTH times the root of a cell's size, so that a
+#: crowded cell's rows grow with the power 1.5 of its size. Rows compared at a time.
+BLOCK, GROWTH, ROWS = 2048, 8, 256
 MOST_TABLES = 64
 
 
@@ -276,7 +277,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, recall: float = 0.998
     plan_of = plans(vectors, threshold, recall)
     crowded = _cells(vectors, plan_of, False).groupBy("cell", "tab").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
     cells = _cells(vectors, plan_of, True).join(crowded, ["cell", "tab"], "left")
-    blocks = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
+    blocks = F.coalesce(F.ceil(F.col("size") / F.greatest(F.lit(BLOCK), F.ceil(GROWTH * F.sqrt("size")))), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("h1"), blocks).cast("int").alias("block")
     cut = cells.select("cell", "tab", "h1", "h2", "weight", "unit", own, blocks.alias("blocks"))
     # a block meets itself and each other one of its cell

@@ -74,8 +74,8 @@ def is_byte_level(path: str) -> bool:
 def frequent_lengths(texts: DataFrame, text: str, path: str, rows: int = SAMPLE_ROWS, size: int = TABLE_SIZE) -> dict[str, int]:
     """Token counts of the most frequent pre-tokens of a seeded sample of about ``rows`` rows.
 
-    Each partition counts on its own and sends at most ``size // 8`` entries, the driver adds them up:
-    bounded by the sample, whatever the input. The table only saves time, it can't change a count.
+    Each task counts its rows on its own and sends its most frequent ones, twice the table's size for the
+    whole sample; the driver adds them up. The table only saves time, it can't change a count.
     """
     n = texts.count()
     if not n:
@@ -91,13 +91,13 @@ def frequent_lengths(texts: DataFrame, text: str, path: str, rows: int = SAMPLE_
                 for part in pre.parts(value)[0]:
                     for found in pre.lists(part):
                         seen.update(found)
-            top = seen.most_common(size // 8)
+            top = seen.most_common(max(64, 2 * size * batch.num_rows // rows))
             yield {"pre": [t for t, _ in top], "n": [c for _, c in top]}
 
         return each
 
     total: Counter[str] = Counter()
-    for row in map_batches(sample, make, "pre string, n long").toLocalIterator():
+    for row in map_batches(sample, make, "pre string, n long").collect():
         total[row.pre] += row.n
     top = [t for t, _ in total.most_common(size)]
     return dict(zip(top, PreTokens(path).lengths(top), strict=True)) if top else {}

@@ -73,6 +73,7 @@ def test_groups(spark, seed, words, percent):
 
 def test_large_groups_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "GROWTH", 0)
     rng = random.Random(9)
     base = [f"v{i}" for i in range(120)]
     texts = []

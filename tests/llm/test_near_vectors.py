@@ -44,6 +44,7 @@ def lowest(near):
 @pytest.mark.parametrize(("seed", "threshold", "block"), [(1, 0.95, 2048), (2, 0.95, 16), (3, 0.9, 2048), (4, 0.99, 7)])
 def test_against_all_pairs(spark, monkeypatch, seed, threshold, block):
     monkeypatch.setattr(nv, "BLOCK", block)
+    monkeypatch.setattr(nv, "GROWTH", 0)
     vectors = clusters(seed)
     rows = {r.vec_id: r for r in nv.near_vectors(table(spark, vectors), threshold).collect()}
     near = links(vectors, threshold)
