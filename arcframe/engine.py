@@ -126,11 +126,15 @@ class Engine:
 
     def from_tar(self, source: str, path: str, root: str | None = None, exclude: Sequence[str] = (), retarget_symlinks: bool = True, keep_time: bool = True, **options) -> None:
         """Writes an archive as an image. A name that comes twice in the archive keeps its last entry."""
-        rows = self.tar(source, exclude)
+        self.pack_archive(self.tar(source, exclude), path, root, retarget_symlinks, keep_time, **options)
+
+    def pack_archive(self, rows: DataFrame, path: str, root: str | None = None, retarget_symlinks: bool = True, keep_time: bool = True, defaults: dict[str, int] | None = None, **options) -> None:
+        """Writes an archive's entries as an image, from root on. defaults are those of directories that it implies."""
         last = rows.groupBy("path").agg(F.max("seq").alias("seq"))
         rows = rows.join(last, ["path", "seq"], "left_semi")
         rows = E.reroot_in(rows, root, retarget_symlinks) if root else rows
         rows = rows if keep_time else rows.withColumn("mtime", F.lit(0).cast("long"))
+        rows = tree.with_implied(rows, **defaults) if defaults else rows
         image.write_image(rows, path, **options)
 
     # --- comparing
