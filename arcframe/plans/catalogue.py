@@ -105,13 +105,13 @@ def without_special(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.without_directories(rows).select("path", "mode")
 
 
-@query(f"WITH {views.URLS} SELECT page_id, path FROM canonical WHERE regexp_full_match(string_split(path, '/')[-1], '[1-7][0-9]*[^.]..', 's')")
+@query(
+    f"WITH {views.URLS}, n AS (SELECT *, string_split(path, '/')[-1] AS name FROM canonical) SELECT page_id, path FROM n WHERE regexp_full_match(name, '[1-7][0-9].*') AND regexp_full_match(name, '.*[^.]..') AND NOT regexp_full_match(name, '[1-7][0-9].*[^0-9].*[^.]..')"
+)
 def find_name_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.urls(spark, sf_dir).withColumn("path", paths.canonicalize(F.col("raw")))
-    return rows.where(paths.glob(paths.name(F.col("path")), "[1-7][0-9]*") & paths.glob(paths.name(F.col("path")), "*[!.]??") & ~paths.glob(paths.name(F.col("path")), "[1-7][0-9]*[!0-9]*[!.]??")).select("page_id", "path")
-
-
-ORACLES["find_name_glob"] = f"WITH {views.URLS}, n AS (SELECT *, string_split(path, '/')[-1] AS name FROM canonical) SELECT page_id, path FROM n WHERE regexp_full_match(name, '[1-7][0-9].*') AND regexp_full_match(name, '.*[^.]..') AND NOT regexp_full_match(name, '[1-7][0-9].*[^0-9].*[^.]..')"
+    matches = lambda pattern: paths.glob(paths.name(F.col("path")), pattern)
+    return rows.where(matches("[1-7][0-9]*") & matches("*[!.]??") & ~matches("[1-7][0-9]*[!0-9]*[!.]??")).select("page_id", "path")
 
 
 @query(f"WITH {views.URLS} SELECT page_id, path FROM canonical WHERE regexp_full_match(path, '[^/]*th[^/]*/[ef][^/]/[^/]*')")
@@ -142,14 +142,11 @@ def subtree_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.select_subtrees(rows, [folder[3], folder[4].rpartition("/")[0]]).select("path")
 
 
-@query(f"WITH {views.TREE} SELECT path FROM tree WHERE NOT regexp_full_match(path, '.*NATION_1.*') AND NOT regexp_full_match(path, '.*/[^/]*[13579]')")
+@query(f"WITH {views.TREE} SELECT path FROM tree WHERE NOT contains(path, 'NATION_1') AND NOT regexp_matches(path, '[13579]$')")
 def subtree_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.exclude_globs(views.tree(spark, sf_dir), ["*NATION_1*", "*[13579]"]).select("path")
 
 
-ORACLES["subtree_exclude"] = f"WITH {views.TREE} SELECT path FROM tree WHERE NOT contains(path, 'NATION_1') AND NOT regexp_matches(path, '[13579]$')"
-
-
 @query(
     f"WITH {views.TREE}, left_over AS (SELECT * FROM tree WHERE (mode & 61440) = 16384 OR key % 97 = 0) SELECT path FROM left_over d WHERE (mode & 61440) <> 16384 OR path = '' OR EXISTS (SELECT 1 FROM left_over f WHERE (f.mode & 61440) <> 16384 AND starts_with(f.path, d.path || '/'))"
 )
@@ -158,9 +155,6 @@ def prune_empty_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.prune_empty(rows).select("path")
 
 
-_PARENTS = "regexp_replace(path, '/[^/]*$', '')"
-
-
 @query(f"WITH {views.URLS}, there AS (SELECT DISTINCT string_split(path, '/')[1] AS host FROM canonical WHERE page_id % 3 = 0) SELECT DISTINCT path FROM canonical WHERE string_split(path, '/')[1] IN (SELECT host FROM there) AND (len(string_split(path, '/')) <= 2 OR string_split(path, '/')[2] = 'en') AND contains(path, '/')")
 def existing_parent_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.urls(spark, sf_dir).withColumn("path", paths.canonicalize(F.col("raw")))
