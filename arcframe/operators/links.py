@@ -31,16 +31,15 @@ def resolve(entries: DataFrame) -> DataFrame:
     where there is no such path; null otherwise. Each round doubles how many links a row has followed.
     """
     hard = F.coalesce(F.col("hard_link"), F.lit(False))
-    step = checkpointed(entries.where(hard).select("path", "target", F.col("target").alias("at"), F.lit(True).alias("moved")))
-    links = step.count()
-    followed = 1
-    # a chain without a loop has no more steps than there are links
-    while followed <= links:
+    step = checkpointed(entries.where(hard).select("path", "target", F.col("target").alias("at")))
+    on_links = -1
+    while True:
         jump = step.select(F.col("path").alias("from"), F.col("at").alias("to"))
         moved = step.join(jump, F.col("at") == F.col("from"), "left")
         step = checkpointed(moved.select("path", "target", F.coalesce("to", "at").alias("at"), F.col("from").isNotNull().alias("moved")))
-        followed *= 2
-        if not step.where("moved").limit(1).count():
+        # where a chain of some length ends, so do chains of all lesser ones: once a round ends none, only loops go on
+        before, on_links = on_links, step.where("moved").count()
+        if on_links in (0, before):
             break
     ends = entries.select(F.col("path").alias("end"), modes.type_of(F.col("mode")).alias("kind"), hard.alias("is_link"))
     found = step.join(ends, F.col("at") == F.col("end"), "left")
