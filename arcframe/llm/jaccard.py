@@ -373,92 +373,110 @@ def group_pairs(postings: DataFrame) -> DataFrame:
     return _whole_partition(postings, work, "a long, b long, matches long, k long")
 
 
-def spanning_links(member: np.ndarray, ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple]:
-    """Links (id, id) that connect what the links between members, and of visitors with members, connect.
-
-    A set is compared with all members at once, by counting its n-grams in their postings. What is
-    connected with the first hub needs no comparison among itself, so that a group of near copies costs
-    a comparison for each set outside of it.
-    """
-    count = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    own = np.flatnonzero(member)
-    if not len(own) or count < 2:
-        return []
-    if count == 2:
-        shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(ids[0], ids[1])] if linked(shared, sizes[0], sizes[1], percent) else []
-    token = np.concatenate([sets[i] for i in own])
-    holder = np.repeat(own, sizes[own])
-    order = np.argsort(token, kind="stable")
-    token, holder = token[order], holder[order]
-    starts = _runs(token)
-    names, ends = token[starts], np.r_[starts[1:], len(token)]
-    parent = np.arange(count)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return int(i)
-
-    def near(i: int) -> np.ndarray:
-        at = np.searchsorted(names, sets[i])
-        at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == sets[i])]
-        lens = ends[at] - starts[at]
+class Members:
+    """The members of a block, by the postings of their n-grams, and what is known to be connected among them."""
+
+    def __init__(self, ids: list, sets: list[np.ndarray], percent: int) -> None:
+        self.ids, self.sets, self.percent = ids, sets, percent
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        token = np.concatenate(sets)
+        holder = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(token, kind="stable")
+        token, self.holder = token[order], holder[order]
+        self.starts = _runs(token)
+        self.names, self.ends = token[self.starts], np.r_[self.starts[1:], len(token)]
+        self.parent = list(range(len(sets)))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def near(self, tokens: np.ndarray) -> list[int]:
+        """The members that a set links with, by counting its n-grams in their postings."""
+        at = np.searchsorted(self.names, tokens)
+        at = at[(at < len(self.names)) & (self.names[np.minimum(at, len(self.names) - 1)] == tokens)]
+        lens = self.ends[at] - self.starts[at]
         if not len(lens):
-            return np.zeros(0, np.int64)
-        begin = np.repeat(starts[at] - np.r_[0, np.cumsum(lens)[:-1]], lens)
-        shared = np.bincount(holder[begin + np.arange(len(begin))], minlength=count)
-        hit = np.flatnonzero((shared > 0) & linked(shared, sizes[i], sizes, percent))
-        return hit[hit != i]
-
-    links: list[tuple] = []
-
-    def join(i: int) -> None:
-        for j in near(i).tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                links.append((ids[i], ids[j]))
-
-    # the set whose n-grams the others have most is the likely hub
-    common = np.repeat(ends - starts, ends - starts)
-    weight = np.bincount(holder, common, count) / np.maximum(sizes, 1)
-    hub = int(own[np.argmax(weight[own])])
-    join(hub)
-    for i in range(count):
-        if i != hub and not (member[i] and root(i) == root(hub)):
-            join(i)
-    return links
+            return []
+        begin = np.repeat(self.starts[at] - np.r_[0, np.cumsum(lens)[:-1]], lens)
+        shared = np.bincount(self.holder[begin + np.arange(len(begin))], minlength=len(self.sets))
+        return np.flatnonzero((shared > 0) & linked(shared, len(tokens), self.sizes, self.percent)).tolist()
+
+    def connect(self, key, tokens: np.ndarray) -> Iterator[tuple]:
+        """Links (id, id) of a set, one for each part of the members that it connects; the parts are one from then on."""
+        first = None
+        for j in self.near(tokens):
+            r = self.root(j)
+            if first is None:
+                first = r
+            elif r == first:
+                continue
+            else:
+                self.parent[max(r, first)] = min(r, first)
+                first = min(r, first)
+            if self.ids[j] != key:
+                yield key, self.ids[j]
+
+    def among(self) -> Iterator[tuple]:
+        """Links that connect what the links between members connect.
+
+        What is connected with the first hub needs no comparison among itself, so that a group of near
+        copies costs one for each set outside of it.
+        """
+        # the set whose n-grams the others have most is the likely hub
+        counts = self.ends - self.starts
+        weight = np.bincount(self.holder, np.repeat(counts, counts), len(self.sets)) / self.sizes
+        hub = int(np.argmax(weight))
+        yield from self.connect(self.ids[hub], self.sets[hub])
+        for i in range(len(self.sets)):
+            if i != hub and self.root(i) != self.root(hub):
+                yield from self.connect(self.ids[i], self.sets[i])
 
 
 def verify(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: spanning links of each (lead, block), from rows lead, block, member, key, id, tokens sorted by lead and block."""
+    """a, b: spanning links of each (lead, block), from rows lead, block, visitor, key, id, tokens sorted by the first three.
+
+    The members of a block come before its visitors. They are held, at most a block of them; visitors are
+    compared with them one after another and not kept.
+    """
     kind = rows.schema["id"].dataType
     struct = StructType([StructField("a", kind), StructField("b", kind)])
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
+        now, held, members = None, {}, None
 
-        def finish() -> Iterator[pa.RecordBatch]:
+        def settle() -> Iterator[tuple]:
+            """All members of a block are there."""
+            nonlocal members
             each = [held[key] for key in sorted(held)]
-            links = spanning_links(np.array([m for m, _, _ in each]), [i for _, i, _ in each], [s for _, _, s in each], percent)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*links, strict=True), arrow, strict=True)], schema=arrow)
+            if each:
+                members = Members([i for i, _ in each], [s for _, s in each], percent)
+                yield from members.among()
 
-        for batch in batches:
-            for lead, block, member, key, i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        def links(batch: pa.RecordBatch | None) -> Iterator[tuple]:
+            nonlocal now, held, members
+            for lead, block, visitor, key, i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch else [(None,) * 6]:
                 if (lead, block) != now:
-                    if now is not None:
-                        yield from finish()
-                    now, held = (lead, block), {}
-                if key not in held or member:  # repeated rows of a document give the same set again
-                    held[key] = (member, i, unpack5(data))
-        if now is not None:
-            yield from finish()
-        held.clear()
+                    if now is not None and members is None:
+                        yield from settle()
+                    now, held, members = (lead, block), {}, None
+                if data is None:
+                    return
+                if not visitor:
+                    held[key] = i, unpack5(data)  # repeated rows of a document give the same set again
+                    continue
+                if members is None:
+                    yield from settle()
+                if members is not None:
+                    yield from members.connect(i, unpack5(data))
+
+        for batch in (part for parts in (batches, [None]) for part in parts):
+            if found := list(links(batch)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow)
+        del held, members
         release()
 
     return rows.mapInArrow(run, struct)
@@ -492,8 +510,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     postings = chosen.where("key is null").select("bucket", "tokens", "leads", "ks")
     matched = group_pairs(postings.repartitionById(buckets, "bucket")).groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.min("k").alias("k"))
     pairs = matched.where("matches >= k").select("a", "b")
-    placed = _places(members, pairs).join(whole.select("key", "id", "tokens"), "key").select("lead", "block", "member", "key", "id", "tokens")
-    found = verify(placed.repartition(buckets, "lead", "block").sortWithinPartitions("lead", "block"), percent)
+    placed = _places(members, pairs).join(whole.select("key", "id", "tokens"), "key").select("lead", "block", "visitor", "key", "id", "tokens")
+    found = verify(placed.repartition(buckets, "lead", "block").sortWithinPartitions("lead", "block", "visitor"), percent)
     reached = components(found)
     named = sets.join(reached, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
     joined = every.join(named, "key", "left")
@@ -531,7 +549,7 @@ def _packed_sizes(sets: DataFrame, buckets: int) -> DataFrame:
 
 
 def _places(survivors: DataFrame, pairs: DataFrame) -> DataFrame:
-    """key, lead, block, member: where each set is to be compared.
+    """key, lead, block, visitor: where each set is to be compared.
 
     Sets of a group meet in its blocks; those of the smaller group of a pair visit the larger one's. A group
     beyond one block is cut by a hash of the key, and each block is visited by those before it.
@@ -539,12 +557,12 @@ def _places(survivors: DataFrame, pairs: DataFrame) -> DataFrame:
     sizes = checkpointed(survivors.groupBy("lead").agg(F.count("*").alias("size")))
     blocks = F.ceil(F.col("size") / F.greatest(F.lit(BLOCK), F.ceil(GROWTH * F.sqrt("size")))).cast("int")
     mine = survivors.join(sizes, "lead").withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int"))
-    inside = mine.select("key", "lead", "own", F.explode(F.sequence("own", blocks - 1)).alias("block")).select("key", "lead", "block", (F.col("block") == F.col("own")).alias("member"))
+    inside = mine.select("key", "lead", "own", F.explode(F.sequence("own", blocks - 1)).alias("block")).select("key", "lead", "block", (F.col("block") != F.col("own")).alias("visitor"))
     of = lambda side: sizes.select(F.col("lead").alias(side), F.col("size").alias(f"{side}_size"))
     turned = pairs.join(of("a"), "a").join(of("b"), "b")
     smaller = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a") < F.col("b")))
     visits = turned.select(F.when(smaller, F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(smaller, F.col("b")).otherwise(F.col("a")).alias("host"), F.greatest("a_size", "b_size").alias("size"))
-    visitors = survivors.join(visits, "lead").select("key", F.col("host").alias("lead"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(False).alias("member"))
+    visitors = survivors.join(visits, "lead").select("key", F.col("host").alias("lead"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("visitor"))
     return inside.union(visitors)
 
 

@@ -1,6 +1,5 @@
 import random
 import re
-from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -124,20 +123,16 @@ def test_spanning_links_connect_what_links_connect():
     for _ in range(60):
         base = rng.sample(range(10**6), 40)
         sets = [np.array(sorted({*rng.sample(base, rng.randrange(28, 41)), *rng.sample(range(10**6, 2 * 10**6), rng.randrange(4))}), np.uint64) for _ in range(14)]
-        member = np.array([rng.random() < 0.7 for _ in sets])
-        links = jaccard.spanning_links(member, list(range(14)), sets, 80)
-        want, parent = defaultdict(set), list(range(14))
-        for a in range(14):
-            for b in range(a):
-                s = len(set(sets[a].tolist()) & set(sets[b].tolist()))
-                if (member[a] or member[b]) and jaccard.linked(s, len(sets[a]), len(sets[b]), 80):
-                    want[a].add(b)
-                    want[b].add(a)
-        for a, b in links:
-            assert b in want[a]
-            parent = [min(parent[a], parent[b]) if p in (parent[a], parent[b]) else p for p in parent]
-        full = list(range(14))
-        for a in want:
-            for b in want[a]:
-                full = [min(full[a], full[b]) if p in (full[a], full[b]) else p for p in full]
-        assert parent == full
+        count = rng.randrange(1, 14)  # members; the others visit
+        members = jaccard.Members(list(range(count)), sets[:count], 80)
+        links = [*members.among(), *(link for i in range(count, 14) for link in members.connect(i, sets[i]))]
+
+        def parts(edges):
+            label = list(range(14))
+            for a, b in edges:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+            return label
+
+        every = [(a, b) for a in range(14) for b in range(count) if a != b and jaccard.linked(len(set(sets[a].tolist()) & set(sets[b].tolist())), len(sets[a]), len(sets[b]), 80)]
+        assert set(links) <= set(every) and parts(links) == parts(every)
