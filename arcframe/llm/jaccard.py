@@ -36,6 +36,9 @@ from .components import components
 #: least BLOCK, and GROWTH times the root of a group's size, so that a group's rows there grow with the power 1.5
 #: of its size while a block stays far smaller than the group.
 LONGEST, BLOCK, GROWTH = 1 / 16, 1024, 8
+#: An n-gram that so many sets of one Arrow batch have is hot there. Hot n-grams whose count is at least the
+#: HOT_SHARE-th part of all entries get their frequency from a broadcast table, which so has HOT_SHARE rows at most.
+HOT, HOT_SHARE = 64, 1 << 20
 #: Cost of verifying a candidate, in postings looked at.
 VERIFY = 40
 #: Words whose hashes a worker keeps.
@@ -124,8 +127,8 @@ def _split(bucket: np.ndarray, columns: dict[str, np.ndarray], packers: dict[str
     return out
 
 
-def _whole_partition(df: DataFrame, work: Callable[[dict[str, bytes]], Iterator[dict]], schema: str, passing: str | None = None) -> DataFrame:
-    """work on all packed rows of a partition, joined column by column. Rows whose column passing isn't null go on as they are."""
+def _whole_partition(df: DataFrame, work: Callable[[dict[str, bytes]], Iterator[dict]], schema: str, passing: str | None = None, filled: bool = True) -> DataFrame:
+    """work on all packed rows of a partition, joined column by column. Rows whose column passing is filled, or isn't, go on as they are."""
     struct = _parse_datatype_string(schema)
     arrow = to_arrow_schema(struct)
 
@@ -133,7 +136,7 @@ def _whole_partition(df: DataFrame, work: Callable[[dict[str, bytes]], Iterator[
         parts: dict[str, list] = {}
         for batch in batches:
             if passing:
-                plain = batch.column(passing).is_valid()
+                plain = pc.equal(batch.column(passing).is_valid(), filled)
                 if (rows := batch.filter(plain)).num_rows:
                     yield rows.select(arrow.names).cast(arrow)
                 batch = batch.filter(pc.invert(plain))
@@ -177,7 +180,12 @@ def trials(n: int, percent: int) -> list[int]:
 
 def signatures(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
     """One pass over the texts. Rows with an id: id, n, key (of the set), dealt evenly. The others: the entries of the
-    longest prefixes, as packed n-grams, keys and trials (the first whose prefix holds the n-gram)."""
+    longest prefixes, as packed n-grams, keys and trials (the first whose prefix holds the n-gram).
+
+    The entries of an n-gram that is hot in a batch are known to be shared: they go straight to the bucket of
+    their key, without the n-gram, and one entry marked SHARED tells the n-gram's bucket so. No bucket gets
+    more of an n-gram than a few entries a batch.
+    """
 
     def make() -> Callable[[pa.RecordBatch], Iterator[dict]]:
         shingles = shingler(words)
@@ -201,14 +209,26 @@ def signatures(docs: DataFrame, words: int, percent: int, buckets: int) -> DataF
             none = [None] * len(ns)
             yield {"id": batch.column(0), "n": ns, "key": keys, "bucket": np.arange(len(ns)) % buckets, "tokens": none, "keys": none, "trials": none}
             if tokens:
-                token = np.concatenate(tokens)
-                parts = _split(
-                    _bucket(token >> np.uint64(24), buckets),
-                    {"tokens": token, "keys": np.repeat(np.array(owners, np.uint64), lengths), "trials": np.concatenate(first)},
-                    {"tokens": pack5, "keys": _u8, "trials": _u1},
-                )
+                token, owner, trial = np.concatenate(tokens) >> np.uint64(24), np.repeat(np.array(owners, np.uint64), lengths), np.concatenate(first)
+                order = np.argsort(token, kind="stable")
+                token, owner, trial = token[order], owner[order], trial[order]
+                start = _runs(token)
+                counts = np.diff(np.r_[start, len(token)])
+                hot = np.repeat(counts >= HOT, counts)
+                marks = start[counts >= HOT]
+                sent = ~hot
+                sent[marks] = True
+                marked = trial.copy()
+                marked[marks] = SHARED
+                parts = _split(_bucket(token[sent], buckets), {"tokens": token[sent], "keys": owner[sent], "trials": marked[sent]}, {"tokens": _40, "keys": _u8, "trials": _u1})
                 none = [None] * len(parts["bucket"])
                 yield {"id": none, "n": none, "key": none} | parts
+                if hot.any():
+                    order = np.argsort(owner[hot], kind="stable")
+                    owner, trial = owner[hot][order], trial[hot][order]
+                    parts = _split(_bucket(owner, buckets), {"keys": owner, "trials": trial}, {"keys": _u8, "trials": _u1})
+                    none = [None] * len(parts["bucket"])
+                    yield {"id": none, "n": none, "key": none, "tokens": none} | parts
 
         return each
 
@@ -227,9 +247,13 @@ def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
+#: Trial of an entry that stands for its n-gram in a batch where that is hot.
+SHARED = 255
+
+
 def shared_entries(signed: DataFrame, buckets: int) -> DataFrame:
     """By bucket of n-grams to by bucket of keys: key and trial of each entry whose n-gram another set's
-    prefix has too. Rows with an id pass through."""
+    prefix has too. Rows without n-grams pass through: those with an id, and entries that are known to be shared."""
 
     def work(got: dict[str, bytes]) -> Iterator[dict]:
         token, key, trial = unpack5(got["tokens"]), np.frombuffer(got["keys"], "<u8"), np.frombuffer(got["trials"], np.uint8)
@@ -239,7 +263,8 @@ def shared_entries(signed: DataFrame, buckets: int) -> DataFrame:
         token, key, trial = token[once], key[once], trial[once]
         first = _runs(token)
         df = np.diff(np.r_[first, len(token)])
-        many = np.repeat(df, df) > 1
+        marked = np.add.reduceat(trial == SHARED, first) > 0 if len(first) else first
+        many = np.repeat((df > 1) | marked, df) & (trial != SHARED)
         key, trial = key[many], trial[many]
         order = np.argsort(key, kind="stable")
         parts = _split(_bucket(key[order], buckets), {"keys": key[order], "trials": trial[order]}, {"keys": _u8, "trials": _u1})
@@ -247,7 +272,7 @@ def shared_entries(signed: DataFrame, buckets: int) -> DataFrame:
         yield {"id": none, "n": none, "key": none} | parts
 
     kind = signed.schema["id"].dataType.simpleString()
-    return _whole_partition(signed, work, f"id {kind}, n long, key long, bucket int, keys binary, trials binary", "n")
+    return _whole_partition(signed, work, f"id {kind}, n long, key long, bucket int, keys binary, trials binary", "tokens", False)
 
 
 def screen(entries: DataFrame, percent: int) -> DataFrame:
@@ -271,7 +296,8 @@ def screen(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def frequencies(entries: DataFrame, buckets: int) -> DataFrame:
-    """By bucket of n-grams to by bucket of keys: each entry whose n-gram more than one set has, with how many."""
+    """By bucket of n-grams to by bucket of keys: each entry whose n-gram more than one set has, with how many.
+    Entries that have their frequency already pass through."""
 
     def work(got: dict[str, bytes]) -> Iterator[dict]:
         token, key = unpack5(got["tokens"]), np.frombuffer(got["keys"], "<u8")
@@ -287,7 +313,7 @@ def frequencies(entries: DataFrame, buckets: int) -> DataFrame:
         order = np.argsort(key, kind="stable")  # runs of a key shrink well
         yield _split(_bucket(key[order], buckets), {"tokens": token[order], "keys": key[order], "dfs": df[order]}, {"tokens": _40, "keys": _u8, "dfs": _u4})
 
-    return _whole_partition(entries, work, "bucket int, tokens binary, keys binary, dfs binary")
+    return _whole_partition(entries, work, "bucket int, tokens binary, keys binary, dfs binary", "dfs")
 
 
 def choose(entries: DataFrame, percent: int, buckets: int) -> DataFrame:
@@ -303,6 +329,8 @@ def choose(entries: DataFrame, percent: int, buckets: int) -> DataFrame:
         token, key, df = unpack5(got["tokens"]), np.frombuffer(got["keys"], "<u8"), np.frombuffer(got["dfs"], "<u4").astype(np.int64)
         order = np.lexsort((token, df, key))
         token, key, df = token[order], key[order], df[order]
+        once = _runs(key, df, token)  # repeated rows of a document
+        token, key, df = token[once], key[once], df[once]
         first = _runs(key)
         counts = np.diff(np.r_[first, len(key)])
         group = np.repeat(np.arange(len(first)), counts)
@@ -327,10 +355,15 @@ def choose(entries: DataFrame, percent: int, buckets: int) -> DataFrame:
         lead = np.minimum.reduceat(token, first) if len(first) else token
         inside = (level <= best[group]) & alive[group]
         token, group = token[inside], group[inside]
+        ks, leads = best[group], lead[group]
+        order = np.lexsort((ks, leads, token))
+        token, ks, leads = token[order], ks[order], leads[order]
+        once = _runs(token, leads)  # a group has an n-gram once, with its least k
+        token, ks, leads = token[once], ks[once], leads[once]
         none = [None] * int(alive.sum())
         yield {"key": key[first][alive].astype(np.int64), "lead": lead[alive].astype(np.int64), "bucket": none, "tokens": none, "leads": none, "ks": none}
         if len(token):
-            parts = _split(_bucket(token, buckets), {"tokens": token, "leads": lead[group], "ks": best[group]}, {"tokens": _40, "leads": _u8, "ks": _u4})
+            parts = _split(_bucket(token, buckets), {"tokens": token, "leads": leads, "ks": ks}, {"tokens": _40, "leads": _u8, "ks": _u4})
             none = [None] * len(parts["bucket"])
             yield {"key": none, "lead": none} | parts
 
@@ -504,7 +537,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     survivors = screen(_together(passed, sized).repartitionById(buckets, "bucket"), percent)
 
     whole = checkpointed(_sets(rows.where("id is not null").join(survivors.join(sets, "key").groupBy(F.col("rep").alias("id")).agg(F.collect_list("key").alias("wanted")), "id"), words))
-    counted = frequencies(_entries(whole, buckets).repartitionById(buckets, "bucket"), buckets)
+    hot = spark.sparkContext.broadcast(_hot(whole))
+    counted = frequencies(_entries(whole, buckets, hot).repartitionById(buckets, "bucket"), buckets)
     chosen = checkpointed(choose(_together(counted, _packed_sizes(whole, buckets)).repartitionById(buckets, "bucket"), percent, buckets))
     members = chosen.where("key is not null").select("key", "lead")
     postings = chosen.where("key is null").select("bucket", "tokens", "leads", "ks")
@@ -592,16 +626,41 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     return map_batches(texts.select("id", "text", "wanted"), make, f"key long, id {kind}, n long, tokens binary")
 
 
-def _entries(whole: DataFrame, buckets: int) -> DataFrame:
-    """bucket, tokens, keys: all n-grams of the sets, packed by bucket."""
+def _hot(whole: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that are in very many sets, sorted, and in how many (as counted where they are hot).
+
+    Their counts are each at least the HOT_SHARE-th part of all entries, so that there are no more than that.
+    """
+
+    def make() -> Callable[[pa.RecordBatch], Iterator[dict]]:
+        def each(batch: pa.RecordBatch) -> Iterator[dict]:
+            token, n = np.unique(np.concatenate([unpack5(t) for t in batch.column("tokens").to_pylist()]), return_counts=True)
+            yield {"token": token[n >= HOT].astype(np.int64), "n": n[n >= HOT]}
+
+        return each
+
+    total = whole.agg(F.sum("n")).first()[0] or 0
+    counts = map_batches(whole.select("tokens"), make, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") * HOT_SHARE >= total)
+    rows = sorted(tuple(r) for r in counts.collect())
+    return np.array([t for t, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64)
+
+
+def _entries(whole: DataFrame, buckets: int, hot) -> DataFrame:
+    """All n-grams of the sets, packed: tokens and keys by bucket of n-grams; the hot ones, with dfs, by bucket of keys."""
 
     def make() -> Callable[[pa.RecordBatch], Iterator[dict]]:
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
             tokens = [unpack5(t) for t in batch.column("tokens").to_pylist()]
             token = np.concatenate(tokens)
             key = np.repeat(batch.column("key").to_numpy(zero_copy_only=False).astype(np.uint64), [len(t) for t in tokens])
-            yield _split(_bucket(token, buckets), {"tokens": token, "keys": key}, {"tokens": _40, "keys": _u8})
+            names, counts = hot.value
+            at = np.minimum(np.searchsorted(names, token), max(0, len(names) - 1))
+            known = names[at] == token if len(names) else np.zeros(len(token), bool)
+            parts = _split(_bucket(token[~known], buckets), {"tokens": token[~known], "keys": key[~known]}, {"tokens": _40, "keys": _u8})
+            yield parts | {"dfs": [None] * len(parts["bucket"])}
+            if known.any():
+                yield _split(_bucket(key[known], buckets), {"tokens": token[known], "keys": key[known], "dfs": counts[at[known]]}, {"tokens": _40, "keys": _u8, "dfs": _u4})
 
         return each
 
-    return map_batches(whole.select("key", "tokens"), make, "bucket int, tokens binary, keys binary")
+    return map_batches(whole.select("key", "tokens"), make, "bucket int, tokens binary, keys binary, dfs binary")

@@ -88,6 +88,17 @@ def test_large_groups_meet_in_blocks(spark, monkeypatch):
     assert got == want and 1 < len(set(want.values())) < 100
 
 
+@pytest.mark.parametrize("share", [1, 1 << 20])
+def test_hot_ngrams_go_another_way(spark, monkeypatch, share):
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    monkeypatch.setattr(jaccard, "HOT_SHARE", share)
+    line = " ".join(f"common{i}" for i in range(9))
+    texts = [t if i % 3 else f"{line} {t}" for i, t in enumerate(corpus(6))] + [line] * 3 + [line + " end"] * 2
+    sets = {i: shingles(t, 4) for i, t in enumerate(texts)}
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(documents(spark, texts), 4, 85).collect()}
+    assert got == groups(sets, 85)
+
+
 def test_odd_ids(spark):
     long = "one two three four five six seven eight nine ten"
     docs = documents(spark, [long, long, long, "other words here", None, long + " eleven"], [7, 7, None, 3, None, 2])
