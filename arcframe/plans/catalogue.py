@@ -305,6 +305,40 @@ def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.tree_lines(views.tree(spark, sf_dir))
 
 
+@query(f"WITH {views.TREE} SELECT path FROM tree WHERE NOT regexp_matches(path, 'Customer#[0-9]*7(/|$)')")
+def one_filesystem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree without the folders, and what is in them, that lie on a device of their own."""
+    foreign = F.col("path").rlike("Customer#[0-9]*7(/|$)")
+    return E.one_filesystem(views.tree(spark, sf_dir).withColumn("dev", F.when(foreign, 2).otherwise(1))).select("path")
+
+
+@query(f"WITH {views.TREE}, {_NUMBERS} SELECT CAST(inode AS BIGINT) AS node, path FROM numbers")
+def node_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths found by walking from each node to the root."""
+    rows = views.tree(spark, sf_dir)
+    numbered = E.with_parts(tree.inode_numbers(rows))
+    parents = numbered.select(F.col("path").alias("parent_path"), F.col("inode").alias("parent"))
+    return tree.path_of_nodes(numbered.join(parents, "parent_path", "left").select(F.col("inode").alias("node"), "parent", "name"))
+
+
+@query(f"WITH {views.TREE} SELECT CAST(count(*) AS BIGINT) AS entries FROM tree")
+def count_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.count_entries(views.tree(spark, sf_dir))
+
+
+@query(f"WITH {views.TAGS} SELECT CAST(seq AS VARCHAR) AS path, key, key || '=' || CASE WHEN seq % 3 = 0 THEN '0x' || hex(encode(text || chr(1))) ELSE text END AS line FROM tags")
+def xattr_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes as text, every third value made unprintable."""
+    value = F.when(F.col("seq") % 3 == 0, F.concat("text", F.lit("\x01"))).otherwise(F.col("text"))
+    return attributes.dump(views.tags(spark, sf_dir).select(F.col("seq").cast("string").alias("path"), "key", value.cast("binary").alias("value")))
+
+
+@query("SELECT o_orderkey AS k, CASE o_orderkey % 8 WHEN 1 THEN 'gzip' WHEN 2 THEN 'lzma' WHEN 3 THEN 'lzo' WHEN 4 THEN 'xz' WHEN 5 THEN 'lz4' WHEN 6 THEN 'zstd' END AS name, CASE WHEN o_orderkey % 8 BETWEEN 1 AND 6 THEN CAST(o_orderkey % 8 AS INT) END AS id FROM orders")
+def codec_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), codecs.codec_name(F.col("o_orderkey") % 8).alias("name"))
+    return rows.select("k", "name", codecs.codec_id(F.col("name")).alias("id"))
+
+
 # --- links ------------------------------------------------------------------------------------------------------------
 
 
