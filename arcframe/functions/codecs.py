@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType, _parse_datatype_string
 
+from . import lz4
 from .text import xxh32
 
 # Numbers of the compressors, and the first bytes of compressed streams.
@@ -45,9 +46,9 @@ class Codec:
     def __post_init__(self) -> None:
         if self.name not in IDS:
             raise ValueError(f"unknown compressor {self.name!r}")
-        if self.name in ("lzo", "lz4"):
-            raise Unsupported(f"{self.name} isn't available here")
-        known = {"gzip": {"level", "window", "strategies"}, "xz": {"dictionary", "filters", "extreme", "level", "lc", "lp", "pb"}, "lzma": {"dictionary", "extreme", "level", "lc", "lp", "pb"}, "zstd": {"level"}}[self.name]
+        if self.name == "lzo":
+            raise Unsupported("lzo isn't available here")
+        known = {"gzip": {"level", "window", "strategies"}, "xz": {"dictionary", "filters", "extreme", "level", "lc", "lp", "pb"}, "lzma": {"dictionary", "extreme", "level", "lc", "lp", "pb"}, "zstd": {"level"}, "lz4": {"hc"}}[self.name]
         if wrong := set(self.options) - known:
             raise ValueError(f"{self.name} has no option {sorted(wrong)[0]}")
         level, (low, high) = self.get("level"), {"gzip": (1, 9), "zstd": (1, 22)}.get(self.name, (0, 9))
@@ -63,7 +64,7 @@ class Codec:
             raise ValueError("lc and lp are 4 together at most")
 
     def get(self, option: str):
-        defaults = {"level": {"gzip": 9, "zstd": 15}.get(self.name, 6), "window": 15, "strategies": (), "dictionary": max(8192, self.block_size), "filters": (), "extreme": False, "lc": 3, "lp": 0, "pb": 2}
+        defaults = {"level": {"gzip": 9, "zstd": 15}.get(self.name, 6), "window": 15, "strategies": (), "dictionary": max(8192, self.block_size), "filters": (), "extreme": False, "hc": False, "lc": 3, "lp": 0, "pb": 2}
         return self.options.get(option, defaults[option])
 
     def compress(self, data: bytes) -> bytes | None:
@@ -76,6 +77,8 @@ class Codec:
             for s in [STRATEGIES[s] for s in self.get("strategies")] or [1]:
                 c = zlib.compressobj(self.get("level"), zlib.DEFLATED, self.get("window"), 8, ZLIB_STRATEGY[s])
                 yield c.compress(data) + c.flush()
+        elif self.name == "lz4":
+            yield lz4.compress(data, self.get("hc"))
         elif self.name == "zstd":
             import zstandard
 
@@ -99,6 +102,8 @@ class Codec:
                 d = zlib.decompressobj()
                 out = d.decompress(data, most + 1)
                 complete = d.eof
+            elif self.name == "lz4":
+                out, complete = lz4.decompress(data, most), True
             elif self.name == "zstd":
                 import zstandard
 
@@ -121,6 +126,8 @@ class Codec:
         if self.name == "xz":
             d, flags = self.get("dictionary"), sum(BRANCH_FILTERS[f][0] for f in self.get("filters"))
             return None if d == max(8192, self.block_size) and not flags else struct.pack("<II", d, flags)
+        if self.name == "lz4":  # always there
+            return struct.pack("<II", 1, int(self.get("hc")))
         if self.name == "zstd":
             return None if self.get("level") == 15 else struct.pack("<I", self.get("level"))
         return None
@@ -136,6 +143,8 @@ def unpack_options(name: str, data: bytes) -> dict:
         return {"dictionary": d, "filters": tuple(f for f, (bit, _) in BRANCH_FILTERS.items() if flags & bit)}
     if name == "zstd":
         return {"level": struct.unpack("<I", data)[0]}
+    if name == "lz4":
+        return {"hc": bool(struct.unpack("<II", data)[1] & 1)}
     raise Unsupported(f"{name} has no options here")
 
 
@@ -147,8 +156,8 @@ def parse_options(name: str, text: str) -> dict:
         key, eq, value = part.partition("=")
         if not eq and flags and key in flags[1]:
             out[flags[0]] = (*out.get(flags[0], ()), key)
-        elif not eq and key == "extreme":
-            out["extreme"] = True
+        elif not eq and key in ("extreme", "hc"):
+            out[key] = True
         elif eq:
             unit = {"k": 1 << 10, "m": 1 << 20}.get(value[-1:].lower(), 1)
             digits = value[:-1] if unit > 1 else value
@@ -165,7 +174,7 @@ def codec(name: str, block_size: int = 1 << 17, options: str | dict = "") -> Cod
 
 
 def available() -> list[str]:
-    return ["gzip", "lzma", "xz", "zstd"]
+    return ["gzip", "lzma", "xz", "lz4", "zstd"]
 
 
 def default_codec() -> str:

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from arcframe.functions import codecs, modes, numbers, paths, text
+from arcframe.functions import codecs, lz4, modes, numbers, paths, text
 
 
 def column(spark, values, function, kind="string"):
@@ -130,7 +130,7 @@ def test_block_checksum():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.binary(max_size=3000), st.sampled_from(["gzip", "xz", "lzma", "zstd"]))
+@given(st.binary(max_size=3000), st.sampled_from(["gzip", "xz", "lzma", "lz4", "zstd"]))
 def test_codecs_round_trip(data, name):
     c = codecs.codec(name, 4096)
     packed = c.compress(data)
@@ -147,15 +147,39 @@ def test_codec_options():
     for name, options in (("gzip", "level=10"), ("gzip", "window=7"), ("xz", "dictsize=10000"), ("xz", "lc=4,lp=1"), ("zstd", "rle"), ("none", "")):
         with pytest.raises(ValueError):
             codecs.codec(name, 1 << 17, options)
-    for name in ("lz4", "lzo"):
-        with pytest.raises(codecs.Unsupported):
-            codecs.codec(name)
+    with pytest.raises(codecs.Unsupported):
+        codecs.codec("lzo")
     with pytest.raises(codecs.Damaged):
         codecs.codec("gzip").decompress(b"junk", 100)
     with pytest.raises(codecs.Damaged):
         codecs.codec("gzip").decompress(codecs.codec("gzip").compress(bytes(5000)), 100)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([b"abcd", b"\0" * 40, b"abcabcabc", b"xyz", b"q"]) | st.binary(max_size=20), max_size=60), st.booleans())
+def test_lz4_blocks(parts, thorough):
+    data = b"".join(parts)
+    packed = lz4.compress(data, thorough)
+    assert lz4.decompress(packed, len(data)) == data
+    for wrong in (packed[:-1], packed[: len(packed) // 2]):
+        try:
+            assert lz4.decompress(wrong, len(data)) != data or not data
+        except lz4.Damaged:
+            pass
+
+
+def test_known_lz4_blocks():
+    # by hand: four literals and a match of eight at distance four, then five literals
+    block = bytes([0x44]) + b"abcd" + b"\x04\0" + bytes([0x50]) + b"12345"
+    assert lz4.decompress(block, 100) == b"abcd" + b"abcdabcd" + b"12345"
+    for wrong in (b"", bytes([0x10]), bytes([0xF0, 255]), bytes([0x14]) + b"a\x05\0", bytes([0x14]) + b"a\x01\0"):
+        with pytest.raises(lz4.Damaged):
+            lz4.decompress(wrong, 100)
+    with pytest.raises(codecs.Damaged):
+        codecs.codec("lz4").decompress(block, 10)
+    assert codecs.codec("lz4", 4096, "hc").pack_options() == struct.pack("<II", 1, 1)
+
+
 @pytest.mark.parametrize("kind", [None, "gzip", "xz", "bzip2", "zstd"])
 def test_streams(kind, spark):
     from io import BytesIO

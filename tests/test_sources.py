@@ -124,7 +124,7 @@ def test_hostile_archives():
     assert r.path == "f"  # unknown kinds are skipped
 
 
-@pytest.mark.parametrize(("compressor", "tails"), [("gzip", True), ("zstd", False), ("xz", True)])
+@pytest.mark.parametrize(("compressor", "tails"), [("gzip", True), ("zstd", False), ("xz", True), ("lz4", True)])
 def test_images(spark, tmp_path, compressor, tails):
     rows = spark.createDataFrame(sample(), SCHEMA)
     path = str(tmp_path / "a.img")
