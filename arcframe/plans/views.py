@@ -12,6 +12,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes up to which a table in few files is dealt over all tasks: one split's worth by Spark's defaults.
+SMALL = 128 << 20
+
+
+def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are worked on at length. A small one in fewer files than there are tasks is dealt over all."""
+    df = read(spark, sf_dir, name)
+    tasks = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(tasks) if size <= SMALL and len(df.inputFiles()) < tasks else df
+
+
 #: Orders whose key is a multiple become something else than a regular file: the first that fits counts.
 SPECIAL = ((29, 0o010644), (31, 0o140755), (37, 0o020660), (41, 0o060660), (11, 0o120777))
 BY_STATUS = {"O": 0o100644, "F": 0o100600, "P": 0o104755}
@@ -69,7 +81,7 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: path, seq and content."""
-    docs = read(spark, sf_dir, "documents")
+    docs = read_spread(spark, sf_dir, "documents")
     return docs.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("seq"), F.col("text").cast("binary").alias("content"))
 
 
