@@ -16,8 +16,16 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes up to which a table in few files is dealt over all tasks: one split's worth by Spark's defaults.
+SMALL = 128 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. A small one in fewer files than there are tasks would be read by few of them: it is dealt over all."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    tasks = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(tasks) if size <= SMALL and len(df.inputFiles()) < tasks else df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
