@@ -34,6 +34,8 @@ CELL, CROWD, SAMPLE = 1.5, 200, 1024
 #: crowded cell's rows grow with the power 1.5 of its size. Rows compared at a time.
 BLOCK, GROWTH, ROWS = 2048, 8, 256
 MOST_TABLES = 64
+#: A table of crowded cells up to this many rows, 3 MB, is broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def _phi(x):
@@ -101,78 +103,69 @@ def calibrate(n: int, dimension: int, threshold: float, distances: np.ndarray, r
     return Plan(dimension, threshold, seed, tables, lines, window, least)
 
 
-def unit_vectors(column: pa.Array) -> tuple[list[np.ndarray | None], list[bytes | None]]:
-    """Vectors of length one in double precision, None where there is none: null, empty, zero or not finite."""
-    units, names = [], []
-    flat = column.values if hasattr(column, "values") else column.flatten()
-    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)  # null components turn into nan
-    ends = column.offsets.to_numpy()
-    valid = column.is_valid().to_numpy(zero_copy_only=False)
-    base = 0
+def packed_vectors(column: pa.Array, form: str) -> list[bytes | None]:
+    """The components of each vector as bytes, None where it links with nothing: null, empty, zero or not finite."""
+    values = column.values.to_numpy(zero_copy_only=False).astype(form)  # null components turn into nan
+    ends, valid = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+    out = []
     for i in range(len(column)):
-        v = values[ends[i] - base : ends[i + 1] - base] if valid[i] else values[:0]
-        with np.errstate(over="ignore", invalid="ignore"):
-            # scaled first, so that very large and very small components keep their direction
-            top = np.abs(v).max(initial=0)
-            unit = v / top if 0 < top < np.inf else None
-        if unit is None or not np.isfinite(unit).all():
-            units.append(None)
-            names.append(None)
-        else:
-            unit = unit / math.sqrt(unit @ unit)
-            units.append(unit)
-            names.append((v + 0.0).tobytes())
-    return units, names
-
-
-def _units(rows: DataFrame) -> DataFrame:
-    """id, h1, h2, unit (packed), dimension; the last four null where a row's vector links with nothing."""
+        v = values[ends[i] : ends[i + 1]] if valid[i] else values[:0]
+        out.append((v + 0.0).tobytes() if v.any() and np.isfinite(v).all() else None)
+    return out
+
+
+def unit_vectors(values: list[bytes], form: str) -> np.ndarray:
+    """Vectors of one dimension in double precision, each of length one."""
+    v = np.frombuffer(b"".join(values), form).reshape(len(values), -1).astype(np.float64)
+    v = v / np.abs(v).max(1, keepdims=True)  # very large and very small components keep their direction
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+
+def _vectors(rows: DataFrame, form: str) -> DataFrame:
+    """id, h1, h2, vector (packed), dimension; the last four null where a row's vector links with nothing."""
     kind = rows.schema["id"].dataType.simpleString()
+    width = np.dtype(form).itemsize
 
     def make() -> Callable[[pa.RecordBatch], Iterator[dict]]:
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
-            units, names = unit_vectors(batch.column(1))
-            hashes = [(None, None) if n is None else (xxhash.xxh64_intdigest(n, 1) >> 1, xxhash.xxh64_intdigest(n, 2) >> 1) for n in names]
-            yield {"id": batch.column(0), "h1": [a for a, _ in hashes], "h2": [b for _, b in hashes], "unit": [None if u is None else u.tobytes() for u in units], "dimension": [None if u is None else len(u) for u in units]}
+            packed = packed_vectors(batch.column(1), form)
+            hashes = [(None, None) if v is None else (xxhash.xxh64_intdigest(v, 1) >> 1, xxhash.xxh64_intdigest(v, 2) >> 1) for v in packed]
+            yield {"id": batch.column(0), "h1": [a for a, _ in hashes], "h2": [b for _, b in hashes], "vector": packed, "dimension": [None if v is None else len(v) // width for v in packed]}
 
         return each
 
-    return map_batches(rows, make, f"id {kind}, h1 long, h2 long, unit binary, dimension int")
+    return map_batches(rows, make, f"id {kind}, h1 long, h2 long, vector binary, dimension int")
 
 
-def plans(vectors: DataFrame, threshold: float, recall: float) -> dict[int, Plan]:
+def plans(vectors: DataFrame, form: str, threshold: float, recall: float) -> dict[int, Plan]:
     """A plan for each dimension, from the counts and the distances inside a bounded sample."""
     out = {}
     for r in vectors.groupBy("dimension").agg(F.count("*").alias("n")).collect():
-        drawn = vectors.where(F.col("dimension") == r.dimension).orderBy("h1", "h2").limit(SAMPLE).select("unit").collect()
-        x = np.array([np.frombuffer(s.unit) for s in drawn])
+        drawn = vectors.where(F.col("dimension") == r.dimension).orderBy("h1", "h2").limit(SAMPLE).select("vector").collect()
+        x = unit_vectors([bytes(s.vector) for s in drawn], form)
         distances = np.sqrt(np.maximum(0, 2 - 2 * (x @ x.T)))[np.triu_indices(len(x), 1)]
         out[r.dimension] = calibrate(r.n, r.dimension, threshold, distances, recall)
     return out
 
 
-def _matrix(values: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(values)).reshape(len(values), -1)
-
-
-def _cells(vectors: DataFrame, plan_of: dict[int, Plan], with_vectors: bool) -> DataFrame:
-    """cell and tab of each vector in each table, with h1, h2, weight and unit if asked for."""
+def _cells(vectors: DataFrame, form: str, plan_of: dict[int, Plan], with_vectors: bool) -> DataFrame:
+    """cell and tab of each vector in each table, with h1, h2, weight, dimension and vector if asked for."""
 
     def make() -> Callable[[pa.RecordBatch], Iterator[dict]]:
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
-            units, dimensions = (batch.column(c).to_pylist() for c in ("unit", "dimension"))
+            packed, dimensions = (batch.column(c).to_pylist() for c in ("vector", "dimension"))
             for dimension in set(dimensions):
                 at = np.flatnonzero(np.array(dimensions) == dimension)
                 plan = plan_of[dimension]
-                cells = plan.cells(_matrix([units[i] for i in at]))
+                cells = plan.cells(unit_vectors([packed[i] for i in at], form))
                 mine = batch.take(pa.array(at))
                 for table in range(plan.tables):
                     out = {"cell": cells[:, table], "tab": [table] * len(at)}
-                    yield out | ({c: mine.column(c) for c in ("h1", "h2", "weight", "unit")} if with_vectors else {})
+                    yield out | ({c: mine.column(c) for c in ("h1", "h2", "weight", "dimension", "vector")} if with_vectors else {})
 
         return each
 
-    return map_batches(vectors.select("h1", "h2", "weight", "unit", "dimension"), make, "cell long, tab int" + ", h1 long, h2 long, weight long, unit binary" * with_vectors)
+    return map_batches(vectors.select("h1", "h2", "weight", "dimension", "vector"), make, "cell long, tab int" + ", h1 long, h2 long, weight long, dimension int, vector binary" * with_vectors)
 
 
 def block_links(plan: Plan, table: int, unit: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +215,7 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link_counts(blocks: DataFrame, plan_of: dict[int, Plan]) -> DataFrame:
+def link_counts(blocks: DataFrame, form: str, plan_of: dict[int, Plan]) -> DataFrame:
     """h1, h2, n (weight of the vectors linked with it, in this block), other (h1 of one it is connected with here)."""
     struct = _parse_datatype_string("h1 long, h2 long, n long, other long")
     arrow = to_arrow_schema(struct)
@@ -235,9 +228,9 @@ def link_counts(blocks: DataFrame, plan_of: dict[int, Plan]) -> DataFrame:
             if n < 2:
                 return
             side, h1, h2, weights = (np.array(c) for c in list(zip(*held, strict=True))[:4])
-            unit = _matrix([h[4] for h in held])
+            plan = plan_of[held[0][4]]  # vectors of other dimensions have other cells
             every = np.arange(n)
-            a, b = block_links(plan_of[unit.shape[1]], table, unit, every[side == i], every[side == j], i == j)
+            a, b = block_links(plan, table, unit_vectors([h[5] for h in held], form), every[side == i], every[side == j], i == j)
             if len(a):
                 total = np.bincount(a, weights[b], n) + np.bincount(b, weights[a], n)
                 label = _labels(n, a, b)
@@ -270,22 +263,27 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, recall: float = 0.998
     """
     spark = rows.sparkSession
     partitions = shuffle_partitions(spark)
-    units = checkpointed(_units(rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))))
-    linkable = units.where("id is not null and unit is not null")
+    single = rows.schema[vector_col].dataType.simpleString() == "array<float>"
+    form = "<f4" if single else "<f8"
+    column = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
+    units = checkpointed(_vectors(rows.select(F.col(id_col).alias("id"), column.alias("vector")), form))
+    linkable = units.where("id is not null and vector is not null")
     # equal vectors are one from here on, with a weight
-    vectors = checkpointed(linkable.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("unit").alias("unit"), F.first("dimension").alias("dimension")))
-    plan_of = plans(vectors, threshold, recall)
-    crowded = _cells(vectors, plan_of, False).groupBy("cell", "tab").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
-    cells = _cells(vectors, plan_of, True).join(crowded, ["cell", "tab"], "left")
+    vectors = checkpointed(linkable.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector"), F.first("dimension").alias("dimension")))
+    plan_of = plans(vectors, form, threshold, recall)
+    crowded = checkpointed(_cells(vectors, form, plan_of, False).groupBy("cell", "tab").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK))
+    # sent to all tasks if it is small; else joined by shuffles
+    sizes = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded
+    cells = _cells(vectors, form, plan_of, True).join(sizes, ["cell", "tab"], "left")
     blocks = F.coalesce(F.ceil(F.col("size") / F.greatest(F.lit(BLOCK), F.ceil(GROWTH * F.sqrt("size")))), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("h1"), blocks).cast("int").alias("block")
-    cut = cells.select("cell", "tab", "h1", "h2", "weight", "unit", own, blocks.alias("blocks"))
+    cut = cells.select("cell", "tab", "h1", "h2", "weight", "dimension", "vector", own, blocks.alias("blocks"))
     # a block meets itself and each other one of its cell
     met = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cell", "tab", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "h1", "h2", "weight", "unit"
+        "cell", "tab", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "h1", "h2", "weight", "dimension", "vector"
     )
     keys = ["cell", "tab", "i", "j"]
-    found = checkpointed(link_counts(met.repartition(partitions, *keys).sortWithinPartitions(*keys), plan_of))
+    found = checkpointed(link_counts(met.repartition(partitions, *keys).sortWithinPartitions(*keys), form, plan_of))
 
     counts = found.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
     reached = components(found.select(F.col("h1").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "h1")
