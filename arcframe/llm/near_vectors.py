@@ -11,6 +11,7 @@ make a cell follows from the number of vectors, so that a cell holds a bounded n
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -26,8 +27,8 @@ from pyspark.sql.types import _parse_datatype_string
 from .common import checkpointed, map_batches, shuffle_partitions
 from .components import components
 
-#: Lines that windows are counted on, and the share of them whose windows hold a pair at the threshold.
-LINES, WINDOW = 24, 0.9
+#: Lines that windows are counted on, those that are counted for all pairs, and the share of them whose windows hold a pair at the threshold.
+LINES, FIRST_LINES, WINDOW = 24, 16, 0.9
 #: Width of a cell in units of the lines; unrelated vectors in a cell that are aimed at; sample that sets the lines of a cell.
 CELL, CROWD, SAMPLE = 1.5, 200, 1024
 #: Vectors of a block in verification: at least BLOCK, and GROWTH times the root of a cell's size, so that a
@@ -50,6 +51,13 @@ def same_cell(distance: float, width: float) -> float:
     return 2 * _phi(r) - 1 - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
 
+@functools.lru_cache(maxsize=16)
+def _directions(seed: int, dimension: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Directions of so many random lines as columns, and where each is cut."""
+    rng = np.random.default_rng([seed, dimension])
+    return rng.standard_normal((count, dimension)).T, rng.random(count) * CELL
+
+
 @dataclass(frozen=True)
 class Plan:
     """Dimension, threshold and seed; tables and lines of a cell; half-width of windows, collisions asked for."""
@@ -64,10 +72,7 @@ class Plan:
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
         """A number for the cell of each vector in each table."""
-        rng = np.random.default_rng([self.seed, self.dimension])
-        # the lines are drawn one after another, so that a plan with more of them begins with the same
-        lines = rng.standard_normal((self.tables * self.lines, self.dimension)).T
-        offsets = rng.random(self.tables * self.lines) * CELL
+        lines, offsets = _directions(self.seed, self.dimension, self.tables * self.lines)
         at = np.floor((unit @ lines + offsets) / CELL).astype(np.int64).view(np.uint64).reshape(len(unit), self.tables, self.lines)
         key = np.full((len(unit), self.tables), np.uint64(self.dimension)) + np.arange(self.tables, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
         for i in range(self.lines):
@@ -76,7 +81,7 @@ class Plan:
         return (key ^ (key >> np.uint64(33))).view(np.int64)
 
     def projections(self, unit: np.ndarray) -> np.ndarray:
-        return unit @ np.random.default_rng([self.seed + 1, self.dimension]).standard_normal((LINES, self.dimension)).T
+        return unit @ _directions(self.seed + 1, self.dimension, LINES)[0]
 
 
 def calibrate(n: int, dimension: int, threshold: float, distances: np.ndarray, recall: float = 0.998, seed: int = 17) -> Plan:
@@ -170,7 +175,7 @@ def _cells(vectors: DataFrame, form: str, plan_of: dict[int, Plan], with_vectors
 
 def block_links(plan: Plan, table: int, unit: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of links between left and right (or within, if same) that first meet in this table."""
-    cells, place = plan.cells(unit)[:, :table], plan.projections(unit)
+    place, cells = plan.projections(unit), None
     reach = math.sqrt(max(0.0, 2 - 2 * plan.threshold)) * 4.5  # beyond what a pair is apart on any one line
     left, right = left[np.argsort(place[left, 0], kind="stable")], right[np.argsort(place[right, 0], kind="stable")]
     line = place[right, 0]
@@ -182,16 +187,19 @@ def block_links(plan: Plan, table: int, unit: np.ndarray, left: np.ndarray, righ
         if not len(columns):
             continue
         count = np.zeros((len(rows), len(columns)), np.uint8)
-        for i in range(LINES):
+        for i in range(FIRST_LINES):
             count += np.abs(place[rows, i][:, None] - place[columns, i][None, :]) <= plan.window
-        a, b = np.nonzero(count >= plan.least)
-        a, b = rows[a], columns[b]
+        # the other lines are looked at where they can still make up for what lacks
+        a, b = np.nonzero(count + (LINES - FIRST_LINES) >= plan.least)
+        total = count[a, b] + (np.abs(place[rows[a], FIRST_LINES:] - place[columns[b], FIRST_LINES:]) <= plan.window).sum(1)
+        a, b = rows[a[total >= plan.least]], columns[b[total >= plan.least]]
         if same:
             a, b = a[a < b], b[a < b]
         if len(a):
             # exact check, in pieces: the same sum whichever block a pair meets in
             close = np.concatenate([np.einsum("ij,ij->i", unit[a[k : k + 65536]], unit[b[k : k + 65536]]) >= plan.threshold for k in range(0, len(a), 65536)])
             a, b = a[close], b[close]
+            cells = plan.cells(unit) if cells is None else cells
             new = np.ones(len(a), bool)
             for t in range(table):
                 new &= cells[a, t] != cells[b, t]
