@@ -22,11 +22,18 @@ BASE = {
     "hex": r"[0-9a-f]{24,}+",
 }
 ASSIGN_LEAST = 6
+#: A private key from its header to its END line; where that is missing, as far as lines of base64 go (breaks may be
+#: escaped). A header without either is matched alone. Quantifiers are possessive in the two forms that the oracle's
+#: dialect can do without.
+PEM_HEAD, PEM_END = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", r"-----END [A-Z ]{0,30}PRIVATE KEY-----"
+PEM_WHOLE = r"[^-]*+(?:-{1,4}[^-]{1,}+)*+" + PEM_END
+PEM_BREAK = r"(?:[\x20\t\r\n]|\\{1,2}[nr])"
+PEM_CUT = "(?:" + PEM_BREAK + "*+[A-Za-z0-9+/=]{16,}+){1,}+(?:" + PEM_BREAK + "{1,}+[A-Za-z0-9+/=]{1,}+)?"
 #: Public shapes of vendors' tokens: code hosts, chat, model and payment services, signed web tokens, private keys.
 VENDOR = {
     "vendor": r"gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|(?:sk|rk|pk)[-_](?:live|test|proj)[-_][A-Za-z0-9_-]{16,}+|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,}+",
     "jwt": r"eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]*+",
-    "pem": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+    "pem": PEM_HEAD + "(?:" + PEM_WHOLE + "|" + PEM_CUT + ")?",
 }
 KINDS = BASE | VENDOR
 #: A value that more owners than this have is a copied example.

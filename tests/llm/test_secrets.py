@@ -58,6 +58,33 @@ def test_ownership(spark):
     assert all(rows[i].spans == "" for i in range(34, 64))  # copied everywhere: an example
 
 
+def pem(body, kind="RSA PRIVATE KEY", end="\n"):
+    return f"-----BEGIN {kind}-----{end}{body}{end}-----END {kind}-----"
+
+
+def test_private_keys_are_told_apart(spark):
+    rng = random.Random(7)
+    draw = lambda n: "\n".join("".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=64)) for _ in range(n))
+    old = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    own = [pem(draw(12)), pem(old + draw(12)), pem(draw(12), end="\\n"), pem(draw(4000)), "-----BEGIN RSA PRIVATE KEY-----\n" + draw(3) + "\nQUJD"]
+    shared = pem(draw(5))
+    texts = [f"é {k} ü" for k in own] + [f"see {shared}."] * 5
+    docs = documents(spark, texts).withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 5).cast("string")))
+    rows = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    for i, key in enumerate(own):
+        assert [(x.start, x.end, x.live) for x in rows[i].found if x.kind == "pem"] == [(2, 2 + len(key), True)], i
+    assert all(not any(x.kind == "pem" for x in rows[i].found) for i in range(5, 10))  # copied everywhere: an example
+    masked = {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}
+    assert [masked[i] for i in range(5)] == ["é [secret] ü"] * 5
+
+
+def test_a_header_in_prose_stays_alone(spark):
+    head = "-----BEGIN PRIVATE KEY-----"
+    text = f"{head} is how it starts. {pem('QUJD' * 16, 'PRIVATE KEY')} ends"
+    (row,) = secrets.scan_secrets(documents(spark, [text])).collect()
+    assert [(x.start, x.end) for x in row.found if x.kind == "pem"] == [(0, len(head)), (text.rindex(head), len(text) - 5)]
+
+
 def test_counts_by_brute_force(spark):
     rng = random.Random(2)
     values = [f"value{i:03}" for i in range(40)]
