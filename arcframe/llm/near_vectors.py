@@ -34,6 +34,7 @@ CELL, CROWD, SAMPLE = 1.5, 200, 1024
 #: Vectors of a block in verification: at least BLOCK, and GROWTH times the root of a cell's size, so that a
 #: crowded cell's rows grow with the power 1.5 of its size. Rows compared at a time.
 BLOCK, GROWTH, ROWS = 2048, 8, 256
+#: Lines are added to a cell while so many tables reach the recall asked for.
 MOST_TABLES = 64
 #: A table of crowded cells up to this many rows, 3 MB, is broadcast.
 BROADCAST_ROWS = 100_000
@@ -87,17 +88,22 @@ class Plan:
 def calibrate(n: int, dimension: int, threshold: float, distances: np.ndarray, recall: float = 0.998, seed: int = 17) -> Plan:
     """The plan for n vectors whose pairs lie at distances (a sample of them).
 
-    Lines of a cell: as few as leave CROWD unrelated vectors in it. Tables: as many as let a pair at the
-    threshold meet with the recall asked for. Collisions: as many as such a pair reaches but for a tenth of
+    Lines of a cell: as few as leave CROWD unrelated vectors in it, but no more than MOST_TABLES tables make
+    up for; beyond that cells grow with the vectors, and not the recall but the time gives way. Tables: as many
+    as let a pair at the threshold meet with the recall asked for. Collisions: as many as such a pair reaches but for a tenth of
     what is left of the recall. Closer pairs do better on all three.
     """
     near = math.sqrt(max(0.0, 2 - 2 * threshold))
     far = distances[distances > 2 * near]
+
+    def needed(lines: int) -> int:
+        meet = same_cell(near, CELL) ** lines
+        return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet))) if meet < 1 else 1
+
     lines = 1
-    while lines < 40 and len(far) and n * np.mean([same_cell(d, CELL) ** lines for d in np.quantile(far, np.linspace(0, 1, 33))]) > CROWD:
+    while lines < 40 and needed(lines + 1) <= MOST_TABLES and len(far) and n * np.mean([same_cell(d, CELL) ** lines for d in np.quantile(far, np.linspace(0, 1, 33))]) > CROWD:
         lines += 1
-    meet = same_cell(near, CELL) ** lines
-    tables = min(MOST_TABLES, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))) if meet < 1 else 1
+    tables = needed(lines)
     window = near * next(z / 1000 for z in range(1, 5000) if 2 * _phi(z / 1000) - 1 >= WINDOW)
     least, missed = 0, 0.0
     while least < LINES:

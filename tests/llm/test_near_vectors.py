@@ -97,3 +97,25 @@ def test_calibration_reaches_its_recall():
     assert (meet & enough).mean() > 0.98 and plan.lines > 3
     far = (plan.cells(x) == plan.cells(np.roll(x, 1, 0))).any(1)
     assert far.mean() < 0.1
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.9, 0.95, 0.99])
+@pytest.mark.parametrize("cosine", [0.0, 0.4, 0.7, 0.78])
+@pytest.mark.parametrize("n", [10**3, 10**6, 10**7, 10**8, 10**10])
+def test_recall_holds_at_every_size_and_spread(n, cosine, threshold):
+    plan = nv.calibrate(n, 64, threshold, np.full(100, math.sqrt(2 - 2 * cosine)))
+    meet = nv.same_cell(math.sqrt(2 - 2 * threshold), nv.CELL) ** plan.lines
+    assert 1 - (1 - meet) ** plan.tables >= 0.998
+    assert plan.tables <= nv.MOST_TABLES
+
+
+def test_pairs_meet_where_unrelated_vectors_are_alike():
+    rng = np.random.default_rng(4)
+    x, across = (rng.standard_normal((2000, 64)) for _ in range(2))
+    x[:, 0] += 12  # a cosine of about 0.7 between any two
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    across -= (across * x).sum(1)[:, None] * x
+    across /= np.linalg.norm(across, axis=1)[:, None]
+    y = 0.95 * x + math.sqrt(1 - 0.95**2) * across
+    plan = nv.calibrate(10**7, 64, 0.95, np.sqrt(np.maximum(0, 2 - 2 * (x[:500] @ x[:500].T)))[np.triu_indices(500, 1)])
+    assert (plan.cells(x) == plan.cells(y)).any(1).mean() > 0.99
