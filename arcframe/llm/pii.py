@@ -211,15 +211,16 @@ def pseudonym(kind: str, text: str, cipher: Feistel, back: bool = False) -> str
 
 #: Runs of digits and what numbers are punctuated with; the patterns of single kinds look only inside these.
 RUN = re.compile(r"[+(0-9][0-9 ().+/-]*[0-9]")
-NUMBER = re.compile(
-    r"(?<![0-9A-Za-z_.])(?:"
-    r"(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
-    r"|(?P<date>(?:[0-9]{4}(?P<s1>[-./])[0-9]{2}(?P=s1)[0-9]{2}|[0-9]{2}(?P<s2>[-./])[0-9]{2}(?P=s2)[0-9]{4})(?![0-9]|[-./][0-9]))"
-    r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9]))"
-    r"|(?P<phone>(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|-[0-9])|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![0-9]))"
-    r"|(?P<card>[0-9]{13,19}(?![0-9])|[0-9]{4}(?P<s3>[ -])[0-9]{4}(?P=s3)[0-9]{4}(?P=s3)[0-9]{1,7}(?![0-9])|[0-9]{4}(?P<s4>[ -])[0-9]{6}(?P=s4)[0-9]{5}(?![0-9]))"
-    r")"
-)
+#: Forms of numbers, in the order in which they are tried at a place.
+NUMBERS = {
+    "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
+    "date": r"(?:[0-9]{4}(?P<s1>[-./])[0-9]{2}(?P=s1)[0-9]{2}|[0-9]{2}(?P<s2>[-./])[0-9]{2}(?P=s2)[0-9]{4})(?![0-9]|[-./][0-9])",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
+    "phone": r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|-[0-9])|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![0-9])",
+    "card": r"[0-9]{13,19}(?![0-9])|[0-9]{4}(?P<s3>[ -])[0-9]{4}(?P=s3)[0-9]{4}(?P=s3)[0-9]{1,7}(?![0-9])|[0-9]{4}(?P<s4>[ -])[0-9]{6}(?P=s4)[0-9]{5}(?![0-9])",
+}
+NUMBER = re.compile(r"(?<![0-9A-Za-z_.])(?:" + "|".join(f"(?P<{k}>{p})" for k, p in NUMBERS.items()) + ")")
+NUMBERS = {k: re.compile(p) for k, p in NUMBERS.items()}
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
@@ -229,8 +230,9 @@ def _word(text: str, at: int) -> bool:
     return 0 <= at < len(text) and (text[at].isalnum() or text[at] == "_")
 
 
-def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, kind) of everything that looks like a value, in order, not overlapping; not yet validated."""
+def matches(text: str) -> list[tuple[int, int, int, str]]:
+    """(start, rank, end, kind) of everything that looks like a value, in order. Matches overlap: which of them
+    hold is known once they are validated. Several kinds at one place have ranks in the order to try."""
     taken = []
     at = text.find("@")
     while at >= 0:
@@ -240,19 +242,37 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
         while start < at and text[start] in ".-+%":
             start += 1
         if start < at and (m := DOMAIN.match(text, at + 1)):
-            taken.append((start, m.end(), "email"))
+            taken.append((start, 0, m.end(), "email"))
         at = text.find("@", at + 1)
-    for m in IBAN.finditer(text):
-        if not _word(text, m.start() - 1) and not _word(text, m.end()):
-            taken.append((m.start(), m.end(), "iban"))
+    m = IBAN.search(text)
+    while m:
+        end = m.end()
+        if _word(text, end):  # the last group is the beginning of a word
+            end = max(text.rfind(" ", m.start(), end), m.start())
+        if end > m.start() and not _word(text, m.start() - 1):
+            taken.append((m.start(), 1, end, "iban"))
+        m = IBAN.search(text, m.start() + 1)
     for run in RUN.finditer(text):
         if run.end() - run.start() < 7:
             continue
-        for m in NUMBER.finditer(text, run.start(), run.end()):
-            if not _word(text, m.end()):
-                taken.append((m.start(), m.end(), m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if k not in ("email", "iban") and m[k])))
+        m = NUMBER.search(text, run.start(), run.end())
+        while m:
+            for rank, (kind, form) in enumerate(NUMBERS.items(), 2):
+                if (n := form.match(text, m.start(), run.end())) and (not _word(text, n.end()) or (kind == "date" and _time(text, n))):
+                    taken.append((n.start(), rank, n.end(), kind))
+            m = NUMBER.search(text, m.start() + 1, run.end())
+    return sorted(taken)
+
+
+def _time(text: str, date: re.Match) -> bool:
+    """Whether an ISO date goes on with T and the hour."""
+    return date[0][4] == "-" and text[date.end()] == "T" and text[date.end() + 1 : date.end() + 2] in set("0123456789")
+
+
+def candidates(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of everything that looks like a value, in order, not overlapping; not yet validated."""
     last = 0
-    for start, end, kind in sorted(taken, key=lambda x: (x[0], KINDS.index(x[2]))):
+    for start, _, end, kind in matches(text):
         if start >= last:
             yield start, end, kind
             last = end
@@ -262,7 +282,9 @@ def pseudonymize(text: str, cipher: Feistel, known: Callable[[str, str], str | N
     """text with its valid values replaced by pseudonyms, and how many there are of each kind."""
     known = known or (lambda kind, value: pseudonym(kind, value, cipher))
     out, last, counts = [], 0, dict.fromkeys(KINDS, 0)
-    for start, end, kind in candidates(text):
+    for start, _, end, kind in matches(text):
+        if start < last:  # inside a value that is replaced
+            continue
         fresh = known(kind, text[start:end])
         if fresh is None and kind == "iban" and " " in text[start:end]:
             # the last groups may be words of the text

@@ -111,3 +111,30 @@ def test_query_rows(spark):
 def test_odd_tables(spark):
     assert pii.pseudonymize_documents(documents(spark, []), b"k").count() == 0
     assert pii.pseudonymize_documents(documents(spark, ["8.8.8.8"] * 2, [None, None]), b"k").distinct().count() == 1
+
+
+CARD, IBAN = "4111 1111 1111 1111", "BE68539007547034"
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        (f"{IBAN} {CARD}", ["iban", "card"]),
+        ("BE68 5390 0754 7034 555-123-4567", ["iban", "phone"]),
+        (f"ID42 {CARD}", ["card"]),
+        (f"1234 {CARD}", ["card"]),
+        ("BE68 5390 0754 7034 Is paid", ["iban"]),
+        ("at 2021-03-04T10:00", ["date"]),
+        (f"{IBAN} 2021-03-04T10:00Z {CARD}", ["iban", "date", "card"]),
+    ],
+)
+def test_invalid_and_long_matches_hide_nothing(text, kinds):
+    fresh, counts = pii.pseudonymize(text, CIPHER)
+    assert [k for k in pii.KINDS if counts[k]] == sorted(kinds, key=pii.KINDS.index) and sum(counts.values()) == len(kinds)
+    assert all(value not in fresh for value in (CARD, IBAN, "5390 0754 7034", "555-123-4567", "2021-03-04"))
+    assert len(fresh) == len(text)
+
+
+def test_a_date_before_a_word_is_none():
+    for text in ("2021-03-04Tuesday", "2021-03-04x", "04-03-2021T10:00", "2021-03-04T"):
+        assert pii.pseudonymize(text, CIPHER)[0] == text
