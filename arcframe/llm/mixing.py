@@ -18,15 +18,18 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import WORD, checkpointed
 from .ranks import rank_in_slice, slice_starts, with_slice
 
-#: Words of a budget up to which the knapsack is solved exactly; what lies above goes to long documents first.
+#: Words of a budget up to which the knapsack is solved exactly; what lies above is spread over the lengths.
 EXACT = 1 << 16
+#: Remainders of so many groups of equal rows, some MB, are broadcast.
+BROADCAST_ROWS = 100_000
 
 
-def fit_budget(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
+def fit_budget(lengths: Sequence[int], counts: Sequence[int], budget: int, seed: int = 0) -> list[int]:
     """How many documents of each length to take, at most counts, so that the sum comes close to budget.
 
-    The sum never exceeds budget. An equal share of each length comes first; the rest is a bounded
-    knapsack by dynamic programming over the sums up to EXACT words.
+    The sum never exceeds budget. An equal share of each length comes first. While more than EXACT words
+    are left, one more of each length is taken in a seeded order; the rest is a bounded knapsack by dynamic
+    programming over the sums up to EXACT words.
     """
     size = np.asarray(lengths, np.int64)
     have = np.asarray(counts, np.int64)
@@ -38,12 +41,13 @@ def fit_budget(lengths: Sequence[int], counts: Sequence[int], budget: int) -> li
     take = np.array([c * budget // total for c in have.tolist()], np.int64)
     left = budget - int((take * size).sum())
     order = np.argsort(-size, kind="stable")
-    while left > EXACT:  # long ones first, down to what the table of sums covers
+    spread = np.random.default_rng([seed, len(size)]).permutation(len(size))
+    while left > EXACT:  # lengths in any order alike, down to what the table of sums covers
         before = left
-        for i in order:
-            if 0 < size[i] <= left and (k := min(int(have[i] - take[i]), max(1, (left - EXACT) // int(size[i])))) > 0 and left > EXACT:
-                take[i] += k
-                left -= k * int(size[i])
+        for i in spread:
+            if left > EXACT and 0 < size[i] <= left and take[i] < have[i]:
+                take[i] += 1
+                left -= int(size[i])
         if left == before:
             break
     left_table = min(left, EXACT)
@@ -129,7 +133,7 @@ def mix_sources(
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size")
-        group["extra"] = fit_budget(group["size"].tolist(), group["n"].tolist(), int(group["budget"].iloc[0]))
+        group["extra"] = fit_budget(group["size"].tolist(), group["n"].tolist(), int(group["budget"].iloc[0]), seed)
         return group[["key", "size", "source_size", "target", "passes", "extra"]]
 
     # a group holds one row for each distinct length of a source, however many documents there are
@@ -145,14 +149,21 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The mix itself: each row of docs as often as it is taken, 0 to repeats times. Columns are kept.
 
     A text without words is taken as often as its source is passed over as a whole. Rows that are the same
-    in all columns share what they are taken equally, a remainder is left out.
+    in all columns are taken as often as they are together: each the same number of times, and the remainder
+    once more. It doesn't matter which of them it is.
     """
     row = F.concat_ws(":", F.col(f"`{id_col}`").cast("string"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).cast("string"))
     named = docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"))
     taken = mix_sources(named, id_col="row", text_col="text", source_col="source", **options)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(whole)
-    per_row = taken.groupBy("row").agg(F.floor(F.avg(copies)).cast("int").alias("copies")).where("copies > 0")
+    total = F.round(F.sum(copies)).cast("long")
+    shares = taken.groupBy("row").agg(total.alias("total"), F.count("*").alias("n")).where("total > 0")
+    per_row = checkpointed(shares.selectExpr("row", "cast(total div n as int) as copies", "cast(total % n as int) as rest"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row.alias("row"))
-    again = keyed.join(per_row, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    again = keyed.join(per_row.where("copies > 0"), "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    rest = per_row.where("rest > 0").select("row", "rest")
+    if rests := rest.count():  # only where rows repeat
+        one = keyed.join(F.broadcast(rest) if rests <= BROADCAST_ROWS else rest, "row").groupBy("row").agg(F.first("doc").alias("doc"), F.first("rest").alias("rest"))
+        again = again.union(one.select("doc", F.explode(F.sequence(F.lit(1), F.col("rest"))).alias("copy")))
     return again.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -92,3 +92,22 @@ def test_tables_without_words(spark):
 def test_very_long_texts(spark):
     rows = mixing.mix_sources(documents(spark, ["long word " * 200_000, "a b", "c"])).collect()
     assert {r.doc_id: r["size"] for r in rows} == {0: 400_000, 1: 2, 2: 1} and all(r.taken <= 2 * r["size"] for r in rows)
+
+
+def test_what_lies_above_the_table_is_spread_over_lengths():
+    lengths = list(range(1000, 3000))
+    budget = sum(lengths) // 2
+    take = mixing.fit_budget(lengths, [1] * 2000, budget)
+    assert sum(a * b for a, b in zip(lengths, take, strict=True)) == budget
+    assert all(0.4 < sum(take[i : i + 500]) / 500 < 0.6 for i in range(0, 2000, 500))
+    assert mixing.fit_budget(lengths, [1] * 2000, budget) == take != mixing.fit_budget(lengths, [1] * 2000, budget, 1)
+
+
+@pytest.mark.parametrize("share", [0.5, 1.5])
+def test_equal_rows_are_taken_as_often_as_they_are_together(spark, share):
+    docs = documents(spark, ["a b c"] * 5 + ["d e"] * 3 + ["f"], [None] * 9).selectExpr("doc_id", "text", "'s' as source")
+    named = docs.selectExpr("xxhash64(text) as doc_id", "text", "source")
+    taken = sum(r.taken for r in mixing.mix_sources(named, share=share).collect())
+    got = [r.text for r in mixing.mixed(docs, share=share).collect()]
+    assert sum(len(t.split()) for t in got) == taken == share * 22
+    assert {t: got.count(t) for t in got}["a b c"] in ((2, 3) if share < 1 else (7, 8))
