@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -12,13 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 from pyspark.sql.window import Window
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once into the folder of ``spark.checkpoint.dir``; a folder of our own only where there is none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+from ..session import checkpointed
 
 
 def numbered(rows: DataFrame, order: Sequence[Column], column: str, start: int = 1) -> DataFrame:
