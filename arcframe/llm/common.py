@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..session import checkpointed
+
+__all__ = ["SMALL", "WORD", "checkpointed", "chunks", "map_batches", "release", "shuffle_partitions", "table"]
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,18 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(tasks) if size <= SMALL and len(df.inputFiles()) < tasks else df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once into the folder that ``spark.checkpoint.dir`` names.
-
-    The files are shared by all executors, so that a lost executor costs no recomputation. A folder of
-    our own is set only where the session has none, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
