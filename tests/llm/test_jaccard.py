@@ -70,9 +70,10 @@ def test_groups(spark, seed, words, percent):
     assert len(rows) == len(texts)
 
 
-def test_large_groups_meet_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 16)
-    monkeypatch.setattr(jaccard, "GROWTH", 0)
+@pytest.mark.parametrize(("block", "hubs", "tokens", "hold"), [(16, 6, 1 << 22, 1 << 25), (4, 2, 2000, 1), (5, 1, 1 << 22, 1000)])
+def test_large_groups_meet_in_blocks(spark, monkeypatch, block, hubs, tokens, hold):
+    for name, value in (("BLOCK", block), ("GROWTH", 0), ("LATER", 0), ("HUBS", hubs), ("TOKENS", tokens), ("HOLD", hold), ("CROWD", block)):
+        monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(9)
     base = [f"v{i}" for i in range(120)]
     texts = []
@@ -123,10 +124,19 @@ def test_bounds(n, m, percent):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.sets(st.integers(0, 2**64 - 1), max_size=40))
-def test_packing(values):
-    array = np.array(sorted(values), np.uint64)
-    assert jaccard.unpack5(jaccard.pack5(array)).tolist() == [v >> 24 for v in sorted(values)]
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(1, 40)), min_size=1, max_size=40))
+def test_every_pair_of_an_ngrams_groups_has_one_spot(postings):
+    lead = np.array([a for a, _ in postings], np.uint64)
+    lead = np.unique(lead)
+    df = np.full(len(lead), 1 + max(d for _, d in postings))
+    token = np.full(len(lead), 77, np.uint64)
+    crowd, jaccard.CROWD = jaccard.CROWD, 4
+    try:
+        spot, at, side = jaccard.spots(token, lead, df)
+    finally:
+        jaccard.CROWD = crowd
+    met = [(min(x, y), max(x, y)) for i, x in enumerate(at) for j, y in enumerate(at) if i < j and spot[i] == spot[j] and x != y and (side[i] != side[j] or side[i] == 2)]
+    assert sorted(met) == [(x, y) for x in range(len(lead)) for y in range(x + 1, len(lead))]
 
 
 def test_spanning_links_connect_what_links_connect():
@@ -136,7 +146,7 @@ def test_spanning_links_connect_what_links_connect():
         sets = [np.array(sorted({*rng.sample(base, rng.randrange(28, 41)), *rng.sample(range(10**6, 2 * 10**6), rng.randrange(4))}), np.uint64) for _ in range(14)]
         count = rng.randrange(1, 14)  # members; the others visit
         members = jaccard.Members(list(range(count)), sets[:count], 80)
-        links = [*members.among(), *(link for i in range(count, 14) for link in members.connect(i, sets[i]))]
+        links = [*members.among(), *(link for i in range(count, 14) for link in members.connect(i, sets[i])[1])]
 
         def parts(edges):
             label = list(range(14))
