@@ -107,6 +107,15 @@ class Track:
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     sync: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    #: Samples of fragments, joined at the end, and how many.
+    added: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    listed: int = 0
+
+    def join(self) -> None:
+        if self.added:
+            offsets, sizes, sync = zip(*self.added, strict=True)
+            self.offsets, self.sizes, self.sync = (np.concatenate([a, *b]) for a, b in ((self.offsets, offsets), (self.sizes, sizes), (self.sync, sync)))
+            self.added = []
 
     def ranges(self, keyframes: bool = False) -> list[tuple[int, int]]:
         """(offset, length) of the samples or of the keyframes, in decoding order, neighbours joined."""
@@ -163,15 +172,25 @@ def _samples(data: memoryview, stbl: list) -> tuple[np.ndarray, np.ndarray, np.n
         size, n = struct.unpack_from(">II", data, node[1] + 4)
         if not size and node[1] + 12 + 4 * n > node[2]:
             raise ValueError("a sample table is cut off")
+        if n * size > len(data):  # before anything of that many samples is allocated
+            raise ValueError("samples lie beyond the end")
         sizes = np.full(n, size, np.int64) if size else np.frombuffer(data, ">u4", n, node[1] + 12).astype(np.int64)
     elif (node := one(b"stz2")) is not None:
         bits, n = struct.unpack_from(">3xBI", data, node[1] + 4)
+        if bits not in (4, 8, 16):
+            raise ValueError("sample sizes of an unknown width")
+        if node[1] + 12 + -(-n * bits // 8) > node[2]:
+            raise ValueError("a sample table is cut off")
         raw = np.frombuffer(data, np.uint8, -(-n * bits // 8), node[1] + 12)
         sizes = np.stack([raw >> 4, raw & 15], 1).ravel()[:n].astype(np.int64) if bits == 4 else raw.view(f">u{bits // 8}").astype(np.int64)
     else:
         sizes = np.zeros(0, np.int64)
     chunks = _table(data, node, 1)[:, 0] if (node := one(b"stco")) else _table(data, node, 1, ">u8")[:, 0] if (node := one(b"co64")) else np.zeros(0, np.int64)
+    if len(chunks) and not 0 <= chunks.min() <= chunks.max() <= len(data):
+        raise ValueError("a chunk lies beyond the end")
     runs = _table(data, node, 3) if (node := one(b"stsc")) else np.zeros((0, 3), np.int64)
+    if len(runs) and (runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any() or runs[-1, 0] > len(chunks)):
+        raise ValueError("the sample tables disagree")
     counts = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0], len(chunks) + 1])) if len(runs) else np.zeros(0, np.int64)
     if counts.sum() != len(sizes) or len(counts) != len(chunks):
         raise ValueError("the sample tables disagree")
@@ -186,7 +205,7 @@ def _samples(data: memoryview, stbl: list) -> tuple[np.ndarray, np.ndarray, np.n
         sync[:] = False
         sync[listed - 1] = True
     times = _table(data, node, 2) if (node := one(b"stts")) else np.zeros((0, 2), np.int64)
-    return offsets, sizes, sync, int((times[:, 0] * times[:, 1]).sum())
+    return offsets, sizes, sync, sum(n * each for n, each in times.tolist())  # of Python's numbers, which don't overflow
 
 
 def _fragment(data: memoryview, moof: tuple, start: int, traf: tuple, tracks: dict[int, Track], defaults: dict[int, tuple]) -> None:
@@ -205,6 +224,8 @@ def _fragment(data: memoryview, moof: tuple, start: int, traf: tuple, tracks: di
             value = struct.unpack_from(">I", data, at)[0]
             duration, size, sample_flags = (value if bit == 8 else duration), (value if bit == 16 else size), (value if bit == 32 else sample_flags)
             at += 4
+    if base > len(data):
+        raise ValueError("samples lie beyond the end")
     track, position = tracks.setdefault(track_id, Track(track_id)), base
     for run in _find(traf[3], b"trun"):
         flags, n = struct.unpack_from(">II", data, run[1])
@@ -218,14 +239,16 @@ def _fragment(data: memoryview, moof: tuple, start: int, traf: tuple, tracks: di
         present = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
         if at + 4 * n * len(present) > run[2]:
             raise ValueError("a fragment is cut off")
+        # a run of default sizes takes no bytes a sample: samples without bytes are held to be no more than the file has
+        track.listed += n
+        if track.listed > len(data) or (0x200 not in present and n * size > len(data)):
+            raise ValueError("a fragment lists more samples than the file can hold")
         rows = np.frombuffer(data, ">u4", n * len(present), at).astype(np.int64).reshape(n, len(present))
         column = lambda bit, value: rows[:, present.index(bit)] if bit in present else np.full(n, value, np.int64)  # noqa: B023, E731
         sizes, marks = column(0x200, size), column(0x400, sample_flags).copy()
         if first is not None and n:
             marks[0] = first
-        track.offsets = np.r_[track.offsets, position + np.cumsum(sizes) - sizes]
-        track.sizes = np.r_[track.sizes, sizes]
-        track.sync = np.r_[track.sync, marks & 0x10000 == 0]
+        track.added.append((position + np.cumsum(sizes) - sizes, sizes, marks & 0x10000 == 0))
         track.duration += int(column(0x100, duration).sum())
         position += int(sizes.sum())
 
@@ -246,7 +269,9 @@ def parse(media: bytes) -> tuple[str, list[Track]]:
             stbl = _find(trak[3], b"mdia/minf/stbl")[0][3]
             track.codec = next((k.decode("latin-1") for s in _find(stbl, b"stsd") for k, _, _ in boxes(data, s[1] + 8, s[2])), "")
             track.offsets, track.sizes, track.sync, lasts = _samples(data, stbl)
-            track.duration = track.duration or lasts
+            # all ones stand for an unknown duration
+            unknown = track.duration in (0, 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF)
+            track.duration = lasts if unknown else track.duration
             tracks[track.track_id] = track
         defaults = {i: (d, s, f) for n in _find(top, b"moov/mvex/trex") for i, _, d, s, f in [struct.unpack_from(">5I", data, n[1] + 4)]}
         start = 0
@@ -255,10 +280,14 @@ def parse(media: bytes) -> tuple[str, list[Track]]:
                 for traf in _find(moof[3], b"traf"):
                     _fragment(data, moof, start, traf, tracks, defaults)
             start = moof[2]
-    except (struct.error, IndexError, RecursionError) as e:
+        for track in tracks.values():
+            track.join()
+    except (struct.error, IndexError, RecursionError, TypeError, OverflowError) as e:
         raise ValueError(f"not an ISO media file: {e}") from e
-    if any(len(t.sizes) and int((t.offsets + t.sizes).max()) > len(data) for t in tracks.values()):
+    if any(len(t.sizes) and (int((t.offsets + t.sizes).max()) > len(data) or int(t.offsets.min()) < 0) for t in tracks.values()):
         raise ValueError("samples lie beyond the end")
+    if any(not 0 <= t.duration < 1 << 63 for t in tracks.values()):
+        raise ValueError("a duration is out of range")
     return brand, list(tracks.values())
 
 
@@ -283,8 +312,9 @@ TRACKS = "array<struct<track_id:long, handler:string, codec:string, timescale:lo
 def media_columns(files: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
     """Codec, duration and keyframe byte ranges of each container: id_col, brand, tracks, error.
 
-    One row for each input row, one map without shuffle. A null or empty value, or one whose boxes don't
-    fit together, gives no tracks and a text in error; error is null otherwise. Other columns are left out.
+    One row for each input row, one map without shuffle. A null or empty value, or one whose boxes or tables
+    don't fit together, gives no tracks and a text in error; error is null otherwise. Counts are held against
+    the size of the file before anything is allocated for them. Other columns are left out.
     """
     kind = files.schema[id_col].dataType.simpleString()
 

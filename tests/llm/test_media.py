@@ -78,3 +78,47 @@ def test_fragments():
 def test_cut_files_are_refused(cut):
     with pytest.raises(ValueError):
         media.parse(media.store(media.pad(b"z" * 1000))[:-cut])
+
+
+def container(*tables):
+    tkhd = media.full(b"tkhd", struct.pack(">IIIII", 0, 0, 7, 0, 0), bytes(60))
+    stbl = media.box(b"stbl", media.full(b"stsd", struct.pack(">I", 1), media.box(b"avc1", bytes(78))), *tables)
+    mdia = media.box(b"mdia", media.full(b"mdhd", struct.pack(">IIIII", 0, 0, 1000, 0, 0)), media.full(b"hdlr", struct.pack(">I4s12x", 0, b"vide")), media.box(b"minf", stbl))
+    return media.box(b"ftyp", b"iso5", bytes(4)) + media.box(b"moov", media.box(b"trak", tkhd, mdia), media.box(b"mvex", media.full(b"trex", struct.pack(">5I", 7, 1, 40, 0, 0))))
+
+
+def run(*fields, flags):
+    return media.box(b"moof", media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 7)), media.full(b"trun", struct.pack(f">{len(fields)}I", *fields), flags=flags)))
+
+
+HOSTILE = {
+    "widths of five bits": container(media.full(b"stz2", struct.pack(">3xBI", 5, 3), bytes(9))),
+    "a cut table of small sizes": container(media.full(b"stz2", struct.pack(">3xBI", 16, 2**32 - 1), bytes(9))),
+    "2^32 samples of a constant size": container(media.full(b"stsz", struct.pack(">II", 9, 2**32 - 1))),
+    "2^32 chunks in a run": container(media.full(b"stsz", struct.pack(">III", 0, 1, 1)), media.full(b"stco", struct.pack(">II", 1, 0)), media.full(b"stsc", struct.pack(">IIIIIII", 2, 1, 1, 1, 2**32 - 1, 1, 1))),
+    "a chunk at 2^64": container(media.full(b"stsz", struct.pack(">III", 0, 1, 1)), media.full(b"co64", struct.pack(">IQ", 1, 2**64 - 1)), media.full(b"stsc", struct.pack(">IIII", 1, 1, 1, 1))),
+    "2^32 samples of a fragment": container() + run(2**32 - 1, flags=0),
+    "many empty samples in many fragments": container() + b"".join(run(3000, flags=0) for _ in range(60)),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_tables(name):
+    with pytest.raises(ValueError):
+        media.parse(HOSTILE[name])
+
+
+def test_hostile_tables_become_errors(spark):
+    rows = spark.createDataFrame([(i, bytearray(data)) for i, data in enumerate(HOSTILE.values())], "id long, media binary")
+    assert all(r.error and not r.tracks for r in media.media_columns(rows).collect())
+
+
+@given(st.lists(st.tuples(st.integers(0, 10**6), st.integers(0, 255)), min_size=1, max_size=6), st.booleans())
+def test_damaged_files_are_read_or_refused(changes, fragmented):
+    data = bytearray(container() + run(2, 4, 4, flags=0x200) + media.box(b"mdat", b"aaaabbbb") if fragmented else media.store(media.pad(b"z" * 3000)))
+    for at, value in changes:
+        data[at % min(len(data), 900)] = value
+    try:
+        media.parse(bytes(data))
+    except ValueError:
+        pass
