@@ -2,8 +2,10 @@
 
 Lengths are whole numbers up to the capacity, so the packing problem is its histogram of lengths, at
 most ``capacity`` numbers for any corpus. The driver solves that: best-fit decreasing gives an incumbent,
-branch and bound over the undominated fillings around the largest length left tries to beat it. Pieces
-take their places by their rank among the pieces of their length.
+branch and bound over the undominated fillings around the largest length left tries to beat it. Fillings are
+enumerated one by one, the fullest first, up to the waste that a better packing can still afford; every node
+is held against a bound of the waste that its rest can't avoid, and its rest packed by best fit is a new
+incumbent if that is better. Pieces take their places by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from .ranks import rank_in_slice, slice_starts, with_slice
 from .tokencount import PATTERN, is_byte_level
 
 CAPACITY, SEPARATOR = 2048, 0
-#: Bounds of the search: nodes in all, fillings tried at a node, lengths in a filling looked through singly.
-NODES, BRANCHES, DEEP = 2000, 6, 3
+#: Nodes that the search looks at unless told otherwise; with None it goes on until the result is proven least.
+NODES = 1000
 
 Plan = list[tuple[tuple[int, ...], int]]  # lengths of a sequence, in descending order, and how many sequences have them
 
@@ -77,116 +79,133 @@ def _put(groups: dict, rooms: list[int], room: int, lengths: tuple[int, ...], n:
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Sequences that any packing needs: by the sum, and by the items too large to share with others (L2)."""
-    sizes = sorted(counts)
-    number = np.array([counts[s] for s in sizes], object)
-    weight = np.array([s * counts[s] for s in sizes], object)
-    best = -(-int(weight.sum()) // capacity) if sizes else 0
-    for k in [s for s in sizes if s <= capacity // 2]:
-        large = bisect_right(sizes, capacity - k)
-        half = bisect_right(sizes, capacity // 2)
-        low = bisect_left(sizes, k)
-        alone, pairs = int(number[large:].sum()), int(number[half:large].sum())
-        spare = pairs * capacity - int(weight[half:large].sum())
-        best = max(best, alone + pairs + max(0, -(-(int(weight[low:half].sum()) - spare) // capacity)))
-    return max(best, int(number[bisect_right(sizes, capacity // 2) :].sum()) if sizes else 0)
-
-
-def fillings(counts: dict[int, int], sizes: list[int], first: int, capacity: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill the room beside one item of length first, the fullest first.
-
-    A filling is dominated if an item left out fits in place of one or two of its own that aren't larger:
-    whatever the other packs, this one packs too.
+    if not counts:
+        return 0
+    sizes = np.array(sorted(counts), np.int64)
+    number = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    items, weight = np.r_[0, np.cumsum(number)], np.r_[0, np.cumsum(sizes * number)]
+    half = int(np.searchsorted(sizes, capacity // 2, "right"))
+    best = max(-(-int(weight[-1]) // capacity), int(items[-1] - items[half]))
+    # for each k: items beyond capacity - k are alone, those beyond the half have room for some of k to the half
+    low = np.arange(half)
+    large = np.searchsorted(sizes, capacity - sizes[:half], "right")
+    spare = (items[large] - items[half]) * capacity - (weight[large] - weight[half])
+    extra = np.maximum(0, -(-(weight[half] - weight[low] - spare) // capacity))
+    return max(best, int((items[-1] - items[half] + extra).max(initial=0)))
+
+
+Filling = tuple[int, ...]
+
+
+def fillings(left: dict[int, int], first: int, capacity: int, waste: int, after: tuple[int, Filling] | None = None) -> Iterator[Filling]:
+    """Undominated ways to fill the room beside one item of length first, by what they waste, up to waste.
+
+    Of equal waste, those with the larger lengths come first; after (waste, filling) leaves out all up to that
+    one. A filling is dominated if an item left out fits in place of nothing, or of one or two of its own that
+    are smaller together: whatever the other packs, this one packs too, and wastes less.
     """
     room = capacity - first
-    found: list[tuple[int, ...]] = []
-
-    def extend(chosen: tuple[int, ...], left: int, top: int, looked: int) -> None:
-        if len(found) >= 64:
+    have = {s: n - (s == first) for s, n in left.items() if s <= room and n - (s == first) > 0}
+    sizes = sorted(have)
+    # sums that the lengths below each can make, as bits
+    mask, reach = (1 << room + 1) - 1, [1]
+    for s in sizes:
+        sums, copies, k = reach[-1], min(have[s], room // s), 1
+        while copies > 0:
+            k = min(k, copies)
+            sums |= sums << k * s & mask
+            copies -= k
+            k *= 2
+        reach.append(sums)
+
+    def made(i: int, target: int, chosen: Filling) -> Iterator[Filling]:
+        """Fillings of exactly target from the i smallest lengths, the largest first."""
+        if not target:
+            yield chosen
             return
-        i = bisect_right(sizes, min(left, top)) - 1
-        tried = 0
-        while i >= 0 and tried < (BRANCHES if looked < DEEP else 1):
-            s = sizes[i]
-            if counts[s] - chosen.count(s) - (s == first) > 0:
-                tried += 1
-                extend((*chosen, s), left - s, s, looked + 1)
-                if s == left:
-                    break
+        i = min(i, bisect_right(sizes, target))
+        while i and reach[i] >> target & 1:
             i -= 1
-        if not tried:
-            found.append(chosen)
-
-    extend((), room, room, 0)
+            s = sizes[i]
+            for k in range(min(have[s], target // s), 0, -1):
+                if reach[i] >> target - k * s & 1:
+                    yield from made(i, target - k * s, chosen + (s,) * k)
 
-    def dominated(filling: tuple[int, ...]) -> bool:
-        slack = room - sum(filling)
-        parts = {a for a in filling} | {filling[i] + filling[j] for i in range(len(filling)) for j in range(i)}
-        for part in parts:
-            i = bisect_right(sizes, part + slack) - 1
-            while i >= 0 and sizes[i] > part:
-                if counts[sizes[i]] - filling.count(sizes[i]) - (sizes[i] == first) > 0:
-                    return True
-                i -= 1
-        return False
+    def dominated(filling: Filling, slack: int) -> bool:
+        spare = lambda low, high: any(have[s] > filling.count(s) for s in sizes[bisect_right(sizes, low) : bisect_right(sizes, high)])
+        parts = {0} | set(filling) | {filling[i] + filling[j] for i in range(len(filling)) for j in range(i)}
+        return slack > 0 and any(spare(part, part + slack) for part in parts)
 
-    kept = [f for f in dict.fromkeys(found) if not dominated(f)]
-    return sorted(kept or found[:1], key=lambda f: (-sum(f), len(f), [-x for x in f]))[:BRANCHES]
+    for wasted in range(after[0] if after else 0, min(room, waste) + 1):
+        if reach[-1] >> room - wasted & 1:
+            for filling in made(len(sizes), room - wasted, ()):
+                if after and wasted == after[0] and filling >= after[1]:
+                    continue
+                if not dominated(filling, wasted):
+                    yield filling
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[Plan, int]:
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> tuple[Plan, int]:
     """A plan for all items and the lower bound: equal to its number of sequences if that is proven least.
 
-    Depth first: fill around the largest item left with each undominated filling, as often as the items
-    last; a branch ends where the sequences so far and the sum bound of the rest reach the incumbent.
+    Depth first: the sequence of the largest item left is filled in each undominated way, as many times as the
+    items last, then once less, and so on; equal items take their fillings in one order. A branch ends where
+    the sequences so far and the waste bound of the rest reach the incumbent. The search looks at so many
+    nodes, or with None goes on to the end, which proves the result least.
     """
+    counts = {s: n for s, n in counts.items() if n}
     incumbent = best_fit(counts, capacity)
     bound = lower_bound(counts, capacity)
     best = sum(n for _, n in incumbent)
-    if best == bound or not counts:
+    if best == bound:
         return incumbent, bound
-    spent = 0
-    left = dict(counts)
-    stack: list[tuple[tuple[int, ...], int]] = []
-    # frames: the fillings still to try at each depth
-    frames: list[Iterator[tuple[int, ...]]] = []
-
-    def options() -> Iterator[tuple[int, ...]]:
-        sizes = sorted(s for s, n in left.items() if n)
-        return iter(fillings(left, sizes, sizes[-1], capacity) if sizes else [])
-
-    weight, used = sum(s * n for s, n in left.items()), 0
-    frames.append(options())
-    while frames and spent < nodes and best > bound:
-        filling = next(frames[-1], None)
-        if filling is None:
+    left, weight, used, spent = dict(counts), sum(s * n for s, n in counts.items()), 0, 0
+    stack: list[tuple[Filling, int]] = []
+
+    def options(after: tuple[int, Filling] | None) -> Iterator[tuple[Filling, int, tuple[int, Filling]]]:
+        """Sequences for the largest length left, how many of them, and the filling in the order."""
+        largest = max(left)
+        # what a packing with one sequence less than the incumbent can still waste
+        for filling in fillings(dict(left), largest, capacity, (best - 1 - used) * capacity - weight, after):
+            lengths = (largest, *filling)
+            needs = Counter(lengths).items()
+            wasted = capacity - sum(lengths)
+            for n in range(min(left[s] // k for s, k in needs), 0, -1):
+                if n * wasted <= (best - 1 - used) * capacity - weight:
+                    yield lengths, n, (wasted, filling)
+
+    frames = [options(None)]
+    while frames and best > bound and (nodes is None or spent < nodes):
+        option = next(frames[-1], None)
+        if option is None:
             frames.pop()
             if stack:
                 lengths, n = stack.pop()
                 for s in lengths:
-                    left[s] += n
+                    left[s] = left.get(s, 0) + n
                 weight += n * sum(lengths)
                 used -= n
             continue
         spent += 1
-        largest = max(s for s, n in left.items() if n)
-        lengths = tuple(sorted((largest, *filling), reverse=True))
-        n = min(left[s] // k for s, k in Counter(lengths).items())
+        lengths, n, place = option
         for s in lengths:
             left[s] -= n
+            if not left[s]:
+                del left[s]
         weight -= n * sum(lengths)
         used += n
         stack.append((lengths, n))
-        if used + -(-weight // capacity) >= best:
-            frames.append(iter(()))  # pruned: the next turn takes it back
-        elif not weight:
-            best, incumbent = used, list(stack)
-            frames.append(iter(()))
+        again = best_fit(left, capacity)
+        if (total := used + sum(k for _, k in again)) < best:
+            best, incumbent = total, [*stack, *again]
+        if not left or used + lower_bound(left, capacity) >= best:
+            frames.append(iter(()))  # the next turn takes it back
         else:
-            frames.append(options())
+            frames.append(options(place if lengths[0] in left else None))
     merged: Counter = Counter()
     for lengths, n in incumbent:
-        merged[lengths] += n
-    return sorted(merged.items(), reverse=True), bound
+        merged[tuple(sorted(lengths, reverse=True))] += n
+    return sorted(merged.items(), reverse=True), bound if frames and best > bound else best
 
 
 def slots(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
@@ -266,10 +285,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     return found if with_ids else found.drop("ids")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, nodes: int | None = NODES) -> DataFrame:
     """Packs whole documents into as few sequences of at most capacity tokens as the search finds.
 
-    Returns one row for each piece: id_col, piece, start, length, ids_crc32, sequence_id, offset (and ids).
+    Returns one row for each piece: id_col, piece, start, length, ids_crc32, sequence_id, offset, proven (and
+    ids). proven says whether no packing of these pieces has fewer sequences; nodes limits the search for one
+    (None: no limit, always proven), which only starts where best fit doesn't reach the lower bound.
     Places in a sequence are gapless from 0. A null text counts as empty: its one token is the separator.
     Null and repeated ids are packed like others, an empty table gives no rows, other columns are left out.
     """
@@ -277,7 +298,8 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col:
     cut = checkpointed(pieces(docs, path, capacity, id_col, text_col, with_ids))
     histogram = cut.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most capacity rows
     counts = {r.length: r.n for r in histogram}
-    plan, _ = bin_completion(counts, capacity)
+    plan, bound = bin_completion(counts, capacity, nodes)
+    proven = sum(n for _, n in plan) == bound
     order = [F.col("id"), F.col("piece"), F.col("ids_crc32")]
     sliced = with_slice(cut, order)
     starts = slice_starts(sliced, ["length"])
@@ -290,6 +312,6 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col:
     return placed.select(
         F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32",
         (F.col("sequence") + F.floor(at / F.col("copies"))).cast("long").alias("sequence_id"),
-        (F.col("place") + at % F.col("copies") * F.col("length")).cast("long").alias("offset"),
+        (F.col("place") + at % F.col("copies") * F.col("length")).cast("long").alias("offset"), F.lit(proven).alias("proven"),
         *(["ids"] if with_ids else []),
     )

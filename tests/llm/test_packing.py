@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 from collections import Counter
@@ -56,6 +57,52 @@ def test_search_beats_best_fit():
     assert worse and better
 
 
+def exact(counts, capacity):
+    """The least number of sequences, by whole numbers of patterns: depth first over all maximal ones, with memory."""
+    sizes = sorted(counts, reverse=True)
+
+    @functools.cache
+    def need(state):
+        first = next((i for i, n in enumerate(state) if n), None)
+        if first is None:
+            return 0
+        best = sum(state)
+
+        def fill(i, room, now, fits):
+            nonlocal best
+            if i == len(sizes):
+                if not any(n and s <= room for s, n in zip(sizes, now, strict=True)):
+                    best = min(best, 1 + need(now))
+                return
+            for k in range(min(now[i], room // sizes[i]), -1, -1):
+                fill(i + 1, room - k * sizes[i], (*now[:i], now[i] - k, *now[i + 1 :]), fits + k)
+
+        start = (*state[:first], state[first] - 1, *state[first + 1 :])
+        fill(first, capacity - sizes[first], start, 1)
+        return best
+
+    return need(tuple(counts[s] for s in sizes))
+
+
+def test_without_a_limit_packings_are_least():
+    """500 histograms with capacity 100, against an exact solver; many of them aren't settled by best fit."""
+    rng, open_ = random.Random(12), 0
+    for _ in range(500):
+        counts = Counter(rng.choices([rng.randrange(8, 70) for _ in range(6)], k=rng.randrange(4, 13)))
+        plan, bound = packing.bin_completion(counts, 100, nodes=None)
+        assert Counter(x for lengths, n in plan for x in lengths * n) == counts and all(sum(lengths) <= 100 for lengths, _ in plan)
+        assert sum(n for _, n in plan) == bound == exact(counts, 100)
+        open_ += sum(n for _, n in packing.best_fit(counts, 100)) > packing.lower_bound(counts, 100)
+    assert open_ > 20
+
+
+def test_an_unproven_packing_says_so(spark):
+    texts = [" ".join(["word"] * n) for n in random.Random(4).choices(range(400, 800), k=60)]
+    few, many = (packing.pack_documents(documents(spark, texts), PATH, nodes=n).collect() for n in (0, 300))
+    assert not few[0].proven and len({r.sequence_id for r in many}) <= len({r.sequence_id for r in few})
+    assert check_rows(few, texts) >= check_rows(many, texts)
+
+
 def test_large_histograms_take_as_long_as_small_ones():
     rng = random.Random(3)
     counts = {s: rng.randrange(1, 10**9) for s in range(1, 2049)}
