@@ -9,6 +9,9 @@ table cells in aligned columns.
 from __future__ import annotations
 
 import re
+import sys
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -48,15 +51,18 @@ IMPLIED_END = {
 SCOPES = frozenset("table td th caption template html".split())
 LIST = frozenset(("ul", "ol", "menu"))
 
-#: Deeper elements are put beside each other; wider columns aren't padded; spans count up to this.
-DEEPEST, WIDEST, MOST_SPAN = 150, 60, 100
+#: The depth at which browsers put elements beside each other, and the largest spans of a cell.
+DEEPEST, MOST_COLUMNS, MOST_ROWS = 512, 1000, 65534
+#: A table is aligned with so many blanks for each of its characters, and so many more, at most. Its widest columns
+#: are padded less where it takes more than that, so that the text is bounded by the page.
+BLANKS, MORE_BLANKS = 16, 20_000
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 TAG_END = re.compile(r"[\s/]*>")
 SPACE = re.compile(r"[ \t\n\f\r]+")
 HIDING = re.compile(r"(?:^|[;{\s])(display|visibility|white-space|content-visibility)\s*:\s*([a-z-]+)", re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 SELECTOR = re.compile(r"([a-z][a-z0-9]*|\*)?((?:[.#][\w-]+)*)\Z", re.I)
 
 
@@ -201,18 +207,36 @@ def declared(css: str) -> dict[str, str]:
     return {k.lower(): v.lower() for k, v in HIDING.findall(css)}
 
 
+def sheet_rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of a style sheet, in one pass. What is in blocks of @-rules, such as those for
+    print, doesn't count, nor do rules nested in others."""
+    start, depth, skipped, selectors, body, end = 0, 0, False, "", 0, -1
+    css = COMMENT.sub("", css)
+    for m in re.finditer("[{};]", css):
+        sign, at = m[0], m.start()
+        if sign == "{":
+            if depth == 0:
+                selectors = css[start:at].strip()
+                skipped, body, end = selectors.startswith("@"), at + 1, -1
+            elif depth == 1 and end < 0:
+                end = start  # declarations end where the first nested rule begins
+            depth += 1
+        elif sign == "}" and depth:
+            depth -= 1
+            if depth == 0 and not skipped:
+                yield selectors, css[body : at if end < 0 else end]
+        start = at + 1
+
+
 def rules(root: Node) -> list[tuple[str, set[str], dict[str, str]]]:
     """(element or '', classes and ids, what is declared) of the simple selectors in the page's style sheets that bear on visibility."""
     found, stack = [], [root]
     while stack:
         node = stack.pop()
-        stack += [c for c in node.children if isinstance(c, Node)]
+        stack += [c for c in reversed(node.children) if isinstance(c, Node)]
         if node.name != "style":
             continue
-        sheet = re.sub(r"/\*.*?(?:\*/|\Z)", "", "".join(c for c in node.children if isinstance(c, str)), flags=re.S)
-        # rules inside @media print and the like don't hold for a screen
-        sheet = re.sub(r"@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}|@[^{};]*;", "", sheet)
-        for selectors, body in RULE.findall(sheet):
+        for selectors, body in sheet_rules("".join(c for c in node.children if isinstance(c, str))):
             if said := declared(body):
                 for s in selectors.split(","):
                     if m := SELECTOR.match(s.strip()):
@@ -224,16 +248,27 @@ class Style:
     """What the attributes and style sheets say of an element."""
 
     def __init__(self, root: Node) -> None:
-        self.rules = rules(root)
+        # what the same selector says later of the same property holds in any case
+        last = {(name, frozenset(needed), said): i for i, (name, needed, what) in enumerate(rules(root)) if name or needed for said in what.items()}
+        final: dict[tuple, tuple[int, str]] = {}
+        for (name, needed, (key, value)), i in sorted(last.items(), key=lambda x: x[1]):
+            final[name, needed, key] = i, value
+        self.rules = sorted(((i, name, needed, key, value) for (name, needed, key), (i, value) in final.items()), key=lambda r: r[0])
+        uses = Counter(mark for _, _, needed, _, _ in self.rules for mark in needed)
+        #: The rules' numbers, by the rarest class or id that they need, else by their element.
+        self.by: dict[str, list[int]] = {}
+        for n, (_, name, needed, _, _) in enumerate(self.rules):
+            self.by.setdefault(min(needed, key=lambda mark: (uses[mark], mark)) if needed else name, []).append(n)
 
     def of(self, node: Node) -> dict[str, str]:
         attributes = node.attributes
         said: dict[str, str] = {}
         if self.rules:
             marks = {"." + c for c in attributes.get("class", "").split()} | ({"#" + attributes["id"]} if "id" in attributes else set())
-            for name, needed, what in self.rules:
-                if name in ("", node.name) and needed <= marks and (name or needed):
-                    said |= what
+            for i in sorted(i for mark in (*marks, node.name) for i in self.by.get(mark, ())):
+                _, name, needed, key, value = self.rules[i]
+                if name in ("", node.name) and needed <= marks:
+                    said[key] = value
         if "hidden" in attributes and attributes["hidden"].lower() != "until-found":
             said.setdefault("display", "none")
         return said | declared(attributes["style"]) if "style" in attributes else said
@@ -471,11 +506,11 @@ class Renderer:
 
         walk(node, shown)
         self.tables += 1
-        held: dict[int, int] = {}  # columns that cells from rows above still cover
+        held: list[tuple[int, int, int]] = []  # columns from, to that cells from rows above still cover, until which row
         grid: list[list[tuple[int, int, list[str]]]] = []
-        for row, visible in rows:
-            column, line = 0, []
-            covered, held = held, {c: n - 1 for c, n in held.items() if n > 1}
+        for number, (row, visible) in enumerate(rows):
+            column, line, over, fresh = 0, [], 0, []
+            held = [h for h in held if h[2] > number]
             for cell in row.children:
                 if isinstance(cell, str):
                     if visible and cell.strip():
@@ -488,27 +523,44 @@ class Renderer:
                 if said.get("display") == "none":
                     continue
                 seen = said["visibility"] not in ("hidden", "collapse") if "visibility" in said else visible
-                while column in covered:
-                    column += 1
-                wide = min(max(_int(cell.attributes.get("colspan"), 1), 1), MOST_SPAN)
-                high = min(max(_int(cell.attributes.get("rowspan"), 1), 1), MOST_SPAN)
+                while over < len(held) and held[over][0] <= column:
+                    column = max(column, held[over][1])
+                    over += 1
+                wide = min(max(_int(cell.attributes.get("colspan"), 1), 1), MOST_COLUMNS)
+                high = min(max(_int(cell.attributes.get("rowspan"), 1), 0), MOST_ROWS) or len(rows)
                 inner = Lines()
                 self.children(cell, inner, pre, seen)
                 line.append((column, wide, inner.done()))
                 if high > 1:
-                    held |= {c: high - 1 for c in range(column, column + wide)}
+                    until = min(number + high, len(rows))
+                    if fresh and fresh[-1][1] == column and fresh[-1][2] == until:
+                        fresh[-1] = (fresh[-1][0], column + wide, until)
+                    else:
+                        fresh.append((column, column + wide, until))
                 column += wide
+            held = _joined(held, fresh)
             grid.append(line)
         starts = sorted({c for line in grid for c, _, lines in line if lines})
         widths = dict.fromkeys(starts, 0)
+        letters = 0
         for line in grid:
             for c, wide, lines in line:
-                if lines and (wide == 1 or not any(c < s < c + wide for s in starts)):
-                    widths[c] = max(widths[c], min(WIDEST, max(map(len, lines))))
-        place, at = {}, 0
-        for c in starts:
-            place[c] = at
-            at += widths[c] + 2
+                if lines:
+                    letters += sum(map(len, lines))
+                    after = bisect_right(starts, c)
+                    if wide == 1 or after == len(starts) or starts[after] >= c + wide:
+                        widths[c] = max(widths[c], max(map(len, lines)))
+        widest = max(widths.values(), default=0)
+        while True:
+            place, at = {}, 0
+            for c in starts:
+                place[c] = at
+                at += min(widths[c], widest) + 2
+            # each line reaches to the last of its cells
+            blanks = sum(max((place[c] for c, _, lines in line if lines), default=0) * max((len(lines) for _, _, lines in line), default=0) for line in grid)
+            if blanks <= BLANKS * letters + MORE_BLANKS or not widest:
+                break
+            widest //= 2
         out = captions + loose.done()
         for line in grid:
             cells = [(place[c], lines) for c, _, lines in line if lines]
@@ -522,8 +574,20 @@ class Renderer:
         return out
 
 
+def _joined(held: list[tuple[int, int, int]], fresh: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Both lists in the order of columns, neighbours that end in the same row as one."""
+    out: list[tuple[int, int, int]] = []
+    for h in sorted([*held, *fresh]) if fresh else held:
+        if out and out[-1][1] == h[0] and out[-1][2] == h[2]:
+            out[-1] = (out[-1][0], h[1], h[2])
+        else:
+            out.append(h)
+    return out
+
+
 def render(html: str) -> tuple[str, int, int]:
     """Visible text of a page, its tables and its list items."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEEPEST))  # a few calls for each level of the tree
     renderer = Renderer(build(html))
     return "\n".join(renderer.lines()), renderer.tables, renderer.items
 

@@ -49,7 +49,7 @@ def test_every_word_is_kept_in_order(words, name):
     assert h.render(html)[0].replace("* ", "").split() == " ".join(words).split()
 
 
-@pytest.mark.parametrize("part", ["<a ", "<", "<p a='", "<b>", "<table><tr><td>", "<!--", "&", "<li>", "<a b=c ", "</x ", "<script>", '<p x="\n', "<div>", "<ul><li>", "<td rowspan=99 colspan=99>"])
+@pytest.mark.parametrize("part", ["<a ", "<", "<p a='", "<b>", "<table><tr><td>", "<!--", "&", "<li>", "<a b=c ", "</x ", "<script>", '<p x="\n', "<div>", "<ul><li>", "<td rowspan=99 colspan=99>", "<tr><td rowspan=9999 colspan=1000>a", "<blockquote>a", "<style>@", "<style>.a{display:none}</style><p class=a>"])
 def test_time_and_depth_are_bounded(part):
     began = time.time()
     h.render(part * 20_000)
@@ -61,3 +61,47 @@ def test_query_rows(spark):
     rows = sorted(map(tuple, h.extract_text(pages).collect()), key=str)
     assert rows == sorted([(1, "x\n\n* y", 3, 0, 1), (2, None, 0, 0, 0), (None, "", 0, 0, 0), (1, "x\n\n* y", 3, 0, 1)], key=str)
     assert h.extract_text(pages.where("false")).count() == 0
+
+
+def test_wide_cells_are_aligned():
+    long = "long cell " * 40
+    text = h.render(f"<table><tr><td>{long}<td>x<tr><td>b<td>y</table>")[0].split("\n")
+    assert text[0].index("x") == text[1].index("y") > 390
+
+
+def test_a_table_of_very_wide_cells_stays_bounded():
+    page = "<table><tr><td>" + "w" * 200_000 + "<td>x" + "<tr><td>b<td>y" * 20_000 + "</table>"
+    text = h.render(page)[0]
+    assert len(text) < 20 * len(page) and text.count("y") == 20_000
+
+
+@pytest.mark.parametrize("sheet", ["a" * 400_000, "@" * 400_000, "{" * 400_000, "a{" * 200_000, "@media x{" * 50_000, "/*" * 200_000, "a{display:none" * 30_000, ".a,.b{x:y}" * 40_000])
+def test_style_sheets_take_time_in_proportion(sheet):
+    began = time.time()
+    h.render(f"<style>{sheet}</style><p>x")
+    assert time.time() - began < 3
+
+
+def test_many_rules_and_elements():
+    sheet = "".join(f".c{i}{{display:none}}" for i in range(20_000))
+    began = time.time()
+    text = h.render(f"<style>{sheet}</style>" + "".join(f"<p class='d c{i}'>no</p><p class=d{i}>y</p>" for i in range(20_000)))[0]
+    assert text.split() == ["y"] * 20_000 and time.time() - began < 10
+
+
+def test_rules():
+    css = ".a{display:none} @import 'x'; @media print{.b{display:none}} .c{visibility:hidden; .d{display:none}} .e{display:none} p.f,#g{display:none}"
+    assert [(s, h.declared(b)) for s, b in h.sheet_rules(css)][:2] == [(".a", {"display": "none"}), (".c", {"visibility": "hidden"})]
+    page = "".join(f"<p class={c}>{c}</p>" for c in "abcdef") + "<div id=g>g</div><div class=f>h</div>"
+    assert h.render(f"<style>{css}</style>{page}")[0].split() == ["b", "d", "h"]
+
+
+@pytest.mark.parametrize("name", ["div", "blockquote", "ul><li", "table><tr><td", "b"])
+def test_deep_nesting_keeps_every_word(name):
+    html = "".join(f"<{name}>w{i} " for i in range(2000))
+    assert [w for w in h.render(html)[0].split() if w != "*"] == [f"w{i}" for i in range(2000)]
+
+
+def test_rows_that_cells_span():
+    html = "<table><tr><td rowspan=0>a<td>b<td rowspan=2>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>"
+    assert h.render(html)[0] == "a  b  c\n   d     e\n   f  g  h"
