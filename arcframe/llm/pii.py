@@ -123,6 +123,16 @@ def is_ssn(number: int) -> bool:
     return 0 < area < 900 and area != 666 and number // 10**4 % 100 > 0 and number % 10**4 > 0
 
 
+#: Country calling codes of one and of two digits; all others have three.
+CALLING_1 = ("1", "7")
+CALLING_2 = ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+
+
+def calling_code(number: str) -> str:
+    """The country part of an international number: by the numbering plan, however the number is punctuated."""
+    return number[: 1 if number.startswith(CALLING_1) else 2 if number.startswith(CALLING_2) else 3]
+
+
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 
@@ -156,8 +166,9 @@ def pseudonym(kind: str, text: str, cipher: Feistel, back: bool = False) -> str
             return None
         order, day = found
         separator = re.search("[-./]", text)[0]
-        # most days read the same either way; those that don't stay among those that don't
-        plain = lambda n: _fields(_dated(n, order, separator))[0] == order
+        # a day after the 12th can't be read as a month, others may be: each stays among its like, whatever the form,
+        # so that one permutation serves all forms and what is written back is read in the same order
+        plain = lambda n: (date.fromordinal(FIRST_DAY + n).day > 12) == (day.day > 12)
         return _dated(cipher.permute(day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, kind, plain, back), order, separator)
     if kind == "iban":
         compact = text.replace(" ", "")
@@ -197,7 +208,7 @@ def pseudonym(kind: str, text: str, cipher: Feistel, back: bool = False) -> str
             same = lambda n: is_area_phone(n) == is_area_phone(value)
             fresh = number[:-10] + f"{cipher.permute(value, 10**10, kind, same, back):010}"
         elif text.startswith("+") and 8 <= len(number) <= 15:
-            kept = len(re.match(r"\+([0-9]{1,3})", text)[1]) if re.match(r"\+[0-9]{1,3}[^0-9]", text) else 2
+            kept = len(calling_code(number))
             fresh = number[:kept] + f"{cipher.permute(int(number[kept:]), 10 ** (len(number) - kept), kind + number[:kept], back=back):0{len(number) - kept}}"
         else:
             return None
@@ -223,6 +234,8 @@ NUMBER = re.compile(r"(?<![0-9A-Za-z_.])(?:" + "|".join(f"(?P<{k}>{p})" for k, p
 NUMBERS = {k: re.compile(p) for k, p in NUMBERS.items()}
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+#: The longest local part that an address may have (fixed value); what is longer is no address.
+LONGEST_LOCAL = 64
 DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 
 
@@ -237,8 +250,11 @@ def matches(text: str) -> list[tuple[int, int, int, str]]:
     at = text.find("@")
     while at >= 0:
         start = at
-        while start and text[start - 1] in LOCAL and at - start < 64:
+        while start and text[start - 1] in LOCAL and at - start <= LONGEST_LOCAL:
             start -= 1
+        if at - start > LONGEST_LOCAL:  # no address: not a part of it either
+            at = text.find("@", at + 1)
+            continue
         while start < at and text[start] in ".-+%":
             start += 1
         if start < at and (m := DOMAIN.match(text, at + 1)):

@@ -1,6 +1,6 @@
 import random
 import re
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from hypothesis import given, settings
@@ -138,3 +138,92 @@ def test_invalid_and_long_matches_hide_nothing(text, kinds):
 def test_a_date_before_a_word_is_none():
     for text in ("2021-03-04Tuesday", "2021-03-04x", "04-03-2021T10:00", "2021-03-04T"):
         assert pii.pseudonymize(text, CIPHER)[0] == text
+
+
+@pytest.mark.parametrize(
+    "forms",
+    [
+        ("+358 40 123 4567", "+358401234567", "+358-40-123-4567"),
+        ("+44 20 7946 0958", "+442079460958", "+44 (20) 7946 0958"),
+        ("+7 495 123 4567", "+74951234567"),
+        ("+1 555 234 5678", "(555) 234-5678", "555.234.5678"),
+        ("4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"),
+        ("BE68 5390 0754 7034", "BE68539007547034"),
+    ],
+)
+def test_one_number_in_any_punctuation_has_one_pseudonym(forms):
+    fresh = [pii.pseudonymize(f"see {f} there", CIPHER)[0][4:-6] for f in forms]
+    plain = {re.sub("[^0-9A-Z]", "", f)[-10:] for f in fresh}
+    assert len(plain) == 1 and not plain & {re.sub("[^0-9A-Z]", "", f)[-10:] for f in forms}
+    assert [re.sub("[0-9A-Z]", "x", f) for f in fresh] == [re.sub("[0-9A-Z]", "x", f) for f in forms]
+    code = pii.calling_code(pii.digits(forms[0]))
+    assert not forms[0].startswith("+") or fresh[0].startswith("+" + code)
+
+
+def test_one_day_in_any_form_has_one_pseudonym():
+    day = date(1999, 1, 1)
+    while day < date(2000, 12, 31):
+        y, m, d = f"{day.year:04}", f"{day.month:02}", f"{day.day:02}"
+        forms = [f"{y}-{m}-{d}", f"{y}/{m}/{d}", f"{m}/{d}/{y}", f"{d}.{m}.{y}", f"{d}-{m}-{y}"]
+        # what could be read either way is read one way; the other order is only for days after the 12th
+        forms += [f"{d}/{m}/{y}", f"{m}.{d}.{y}", f"{m}-{d}-{y}"] if day.day > 12 else []
+        fresh = [pii.pseudonym("date", f, CIPHER) for f in forms]
+        assert len({pii._fields(f)[1] for f in fresh}) == 1 and pii._fields(fresh[0])[1] != day or day == pii._fields(fresh[0])[1]
+        assert [pii.pseudonym("date", f, CIPHER, back=True) for f in fresh] == forms
+        day += timedelta(days=11)
+
+
+def test_long_local_parts_are_no_addresses():
+    for local, fits in (("ab.cd" * 12, True), ("x" * 64, True), ("x" * 65, False), ("ab.cd" * 400, False)):
+        text = f"to {local}@mail.example.com now"
+        fresh, counts = pii.pseudonymize(text, CIPHER)
+        assert (counts["email"] == 1 and local not in fresh) if fits else fresh == text
+
+
+# --- values found by trying every stretch of a text, one rule a kind, written apart from the operator's patterns
+
+
+def brute_valid(kind, t):
+    d = [int(c) for c in t if c.isdigit()]
+    if kind == "card":
+        total = sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(reversed(d)))
+        return len(d) == 16 and total % 10 == 0 and len(set(d)) > 1 and (t.isdigit() or (len(t) == 19 and {t[4], t[9], t[14]} in ({" "}, {"-"}) and all(c.isdigit() for c in t[:4] + t[5:9] + t[10:14] + t[15:])))
+    if kind == "ssn":
+        return len(t) == 11 and t[3] == t[6] == "-" and len(d) == 9 and 0 < int(t[:3]) < 900 and t[:3] != "666" and t[4:6] != "00" and t[7:] != "0000"
+    if kind == "date":
+        if len(t) != 10 or t[4] != "-" or t[7] != "-" or len(d) != 8:
+            return False
+        try:
+            return 1900 <= date(int(t[:4]), int(t[5:7]), int(t[8:])).year <= 2099
+        except ValueError:
+            return False
+    if kind == "ip":
+        parts = t.split(".")
+        return len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) < 256 for p in parts) and int(parts[0]) not in (0, 127) and int(parts[0]) < 224 and parts[:2] != ["169", "254"]
+    return False
+
+
+def brute_values(text):
+    """(start, end) of all stretches that are a value and stand alone, those at the left first."""
+    out, at = [], 0
+    while at < len(text):
+        ends = [e for e in range(at + 7, min(len(text), at + 20) + 1) if any(brute_valid(k, text[at:e]) for k in ("card", "ssn", "date", "ip"))]
+        ends = [e for e in ends if (at == 0 or text[at - 1] in " ;") and (e == len(text) or text[e] in " ;")]
+        if ends:
+            out.append((at, ends[-1]))
+            at = ends[-1]
+        else:
+            at += 1
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["4111 1111 1111 1111", "4111-1111-1111-1112", "4524132264652876", "123-45-6789", "666-45-6789", "000-45-6789", "2021-02-28", "2021-02-30", "1850-01-01", "57.14.248.132", "257.1.1.1", "127.0.0.1", "10.20.30.40", "word", "77"]), max_size=8))
+def test_values_are_those_that_trying_every_stretch_finds(values):
+    text = " ; ".join(values)
+    fresh, counts = pii.pseudonymize(text, CIPHER)
+    found = brute_values(text)
+    inside = {i for a, b in found for i in range(a, b)}
+    if not any("." in v for v in values):  # pseudonyms of addresses may have another length
+        assert len(fresh) == len(text) and all(x == y for i, (x, y) in enumerate(zip(text, fresh, strict=True)) if i not in inside)
+    assert sum(counts.values()) == len(found)
