@@ -36,8 +36,12 @@ VENDOR = {
     "pem": PEM_HEAD + "(?:" + PEM_WHOLE + "|" + PEM_CUT + ")?",
 }
 KINDS = BASE | VENDOR
-#: A value that more owners than this have is a copied example.
-LIVE_OWNERS = 2
+#: A value that more owners than this have is a copied example, and so is one in more repositories than this: an
+#: owner may keep a credential in several repositories, but not in very many.
+LIVE_OWNERS, LIVE_REPOS = 2, 8
+#: A value with more uses than this is hot: its rows find their verdict without meeting in one task. Verdicts of
+#: up to so many hot values, some MB, are broadcast.
+HOT_USES, BROADCAST_ROWS = 1 << 17, 100_000
 #: Cheap test of where a pattern can start, put in front of it.
 STARTS = {"assign": "(?=[pPsStTaA])"}
 
@@ -102,17 +106,28 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("uses").alias("uses"), F.sum("repos").alias("repos"), F.count("*").alias("owners"))
 
 
+def _with_verdicts(spans: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """spans with live of their value. Hot values are told by a broadcast, the others by a join."""
+    at = F.col("span.hash") == F.col("h")
+    hot = verdicts.where(F.col("uses") > HOT_USES)
+    if not 0 < hot.count() <= BROADCAST_ROWS:  # with more hot values than that, none is a large share of all
+        return spans.join(verdicts, at)
+    few, many = F.broadcast(hot), verdicts.where(F.col("uses") <= HOT_USES)
+    return spans.join(few, at).unionByName(spans.join(few, at, "left_anti").join(many, at))
+
+
 def _ordered(items: Column) -> Column:
     rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     keyed = F.transform(items, lambda x: F.struct(x["start"].alias("start"), F.element_at(rank, x["kind"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), x["live"].alias("live")))
     return F.array_sort(keyed)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", live_owners: int = LIVE_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", live_owners: int = LIVE_OWNERS, live_repos: int = LIVE_REPOS) -> DataFrame:
     """Spans of secrets in every whole text, with the ownership of their values over the corpus.
 
     Returns, one row for each input row: id_col; n_assign, n_access, n_hex (spans of the base kinds);
-    n_live and n_example (spans whose value at most live_owners owners have, and the others); found,
+    n_live and n_example (spans whose value at most live_owners owners have, in at most live_repos
+    repositories, and the others); found,
     array<struct<start, rank, end, kind, live>> in order of start, then kind. Base spans are all in found,
     spans of the vendor kinds where they are live. Offsets are code points, ends exclusive. A null text
     counts as empty; null and repeated ids pass through; a null owner or repository counts as one of its
@@ -120,10 +135,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = candidates(docs, id_col, text_col, repo_col, owner_col)
     with_any = rows.where(F.size("spans") > 0).select("row", F.explode("spans").alias("span"))
-    stats = ownership(rows)
-    judged = with_any.join(stats.select("hash", "owners").withColumnRenamed("hash", "h"), F.col("span.hash") == F.col("h"))
-    live = (F.col("owners") <= live_owners).alias("live")
-    judged = judged.select("row", F.struct("span.kind", "span.start", "span.end", live).alias("span")).where(F.col("span.live") | F.col("span.kind").isin(*BASE))
+    live = (F.col("owners") <= live_owners) & (F.col("repos") <= live_repos)
+    verdicts = checkpointed(ownership(rows).select(F.col("hash").alias("h"), "uses", live.alias("live")))
+    judged = _with_verdicts(with_any, verdicts)
+    judged = judged.select("row", F.struct("span.kind", "span.start", "span.end", "live").alias("span")).where(F.col("span.live") | F.col("span.kind").isin(*BASE))
     per_row = judged.groupBy("row").agg(F.collect_list("span").alias("items"))
     none = F.expr("cast(array() as array<struct<kind:string, start:bigint, `end`:bigint, live:boolean>>)")
     joined = rows.drop("spans", "repo", "owner").join(per_row, "row", "left").withColumn("items", F.coalesce("items", none))
@@ -162,7 +177,7 @@ def redact(text: Column, items: Column, mask: str = "[secret]") -> Column:
 ANY = "(?:" + "|".join(STARTS.get(k, "") + p for k, p in KINDS.items()) + ")"
 
 
-def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", live_owners: int = LIVE_OWNERS) -> DataFrame:
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", live_owners: int = LIVE_OWNERS, live_repos: int = LIVE_REPOS) -> DataFrame:
     """docs with the live-looking secrets of each text masked; copied examples stay. Columns are kept.
 
     A null text stays null, an empty table empty. Rows without a candidate pass straight through. The others
@@ -173,7 +188,7 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     suspicious = F.coalesce(text.rlike(ANY), F.lit(False))
     numbered = checkpointed(docs.where(suspicious).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("number")))
     rows = numbered.select("number", F.col(f"doc.`{text_col}`").alias("text"), F.col(f"doc.`{repo_col}`").alias("repo"), F.col(f"doc.`{owner_col}`").alias("owner"))
-    found = scan_secrets(rows, "number", "text", "repo", "owner", live_owners)
+    found = scan_secrets(rows, "number", "text", "repo", "owner", live_owners, live_repos)
     masked = redact(F.col(f"doc.`{text_col}`").cast("string"), F.col("found"))
     joined = numbered.join(found.select("number", "found"), "number").withColumn("masked", masked)
     return docs.where(~suspicious).union(joined.select(*[F.col("masked").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]))

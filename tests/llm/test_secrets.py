@@ -147,3 +147,20 @@ def test_plan_is_native(spark, capsys):
 @pytest.mark.parametrize("kind", secrets.KINDS)
 def test_patterns_never_match_nothing(kind):
     assert not re.match(secrets.KINDS[kind], "")
+
+
+@pytest.mark.parametrize("hot", [0, 2, 1 << 17])
+def test_hot_values_find_their_verdict_another_way(spark, monkeypatch, hot):
+    monkeypatch.setattr(secrets, "HOT_USES", hot)
+    rows = [(i, f"token=common-value-1 password=own-{i % 5}-value", f"s{i % 5}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.scan_secrets(docs).collect()
+    assert len(got) == 40 and all((r.n_live, r.n_example) == (1, 1) for r in got)
+
+
+def test_one_owners_value_in_many_repositories_is_an_example(spark):
+    rows = [(i, "token=spread-value-1 secret=kept-value-1" if i < 3 else "token=spread-value-1", f"repo{i}", "one") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, repo string, owner string")
+    got = {r.doc_id: (r.n_live, r.n_example) for r in secrets.scan_secrets(docs, repo_col="repo", owner_col="owner").collect()}
+    assert got[0] == (1, 1) and got[9] == (0, 1)
+    assert secrets.scan_secrets(docs, repo_col="repo", owner_col="owner", live_repos=20).agg({"n_example": "sum"}).first()[0] == 0
