@@ -27,9 +27,10 @@ BROADCAST_ROWS = 100_000
 def fit_budget(lengths: Sequence[int], counts: Sequence[int], budget: int, seed: int = 0) -> list[int]:
     """How many documents of each length to take, at most counts, so that the sum comes close to budget.
 
-    The sum never exceeds budget. An equal share of each length comes first. While more than EXACT words
-    are left, one more of each length is taken in a seeded order; the rest is a bounded knapsack by dynamic
-    programming over the sums up to EXACT words.
+    The sum never exceeds budget. An equal share of each length comes first. While more than EXACT words are
+    left, what rounding takes from the shares goes to lengths near by, and then one more of each length is
+    taken in a seeded order; the rest is a bounded knapsack by dynamic programming over the sums up to EXACT
+    words, which looks at the lengths in that order, too.
     """
     size = np.asarray(lengths, np.int64)
     have = np.asarray(counts, np.int64)
@@ -40,8 +41,19 @@ def fit_budget(lengths: Sequence[int], counts: Sequence[int], budget: int, seed:
         return [0] * len(size)
     take = np.array([c * budget // total for c in have.tolist()], np.int64)
     left = budget - int((take * size).sum())
-    order = np.argsort(-size, kind="stable")
-    spread = np.random.default_rng([seed, len(size)]).permutation(len(size))
+    rng = np.random.default_rng([seed, len(size)])
+    spread = rng.permutation(len(size))  # no length is preferred
+    # what the shares lose by rounding is carried on to the next lengths, neighbours in a seeded order
+    near = np.lexsort((rng.random(len(size)), np.argsort(np.argsort(size, kind="stable")) // 8))
+    owed = float(rng.random()) * float(size[near[0]])
+    for i in near.tolist():
+        if left <= EXACT:
+            break
+        owed += (int(have[i]) * budget % total) / total * int(size[i])
+        if 0 < size[i] <= min(owed, left) and take[i] < have[i]:
+            take[i] += 1
+            left -= int(size[i])
+            owed -= int(size[i])
     while left > EXACT:  # lengths in any order alike, down to what the table of sums covers
         before = left
         for i in spread:
@@ -55,7 +67,7 @@ def fit_budget(lengths: Sequence[int], counts: Sequence[int], budget: int, seed:
     reached[0] = True
     by = np.full(left_table + 1, -1, np.int64)
     items: list[tuple[int, int]] = []
-    for i in order:
+    for i in spread:
         spare = int(have[i] - take[i])
         if not 0 < size[i] <= left_table:
             continue
@@ -150,7 +162,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     A text without words is taken as often as its source is passed over as a whole. Rows that are the same
     in all columns are taken as often as they are together: each the same number of times, and the remainder
-    once more. It doesn't matter which of them it is.
+    once more. It doesn't matter which of them it is. Null ids, texts and sources are values like others, a null
+    text has no words; an empty table gives no rows.
     """
     row = F.concat_ws(":", F.col(f"`{id_col}`").cast("string"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).cast("string"))
     named = docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"))

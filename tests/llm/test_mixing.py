@@ -111,3 +111,17 @@ def test_equal_rows_are_taken_as_often_as_they_are_together(spark, share):
     got = [r.text for r in mixing.mixed(docs, share=share).collect()]
     assert sum(len(t.split()) for t in got) == taken == share * 22
     assert {t: got.count(t) for t in got}["a b c"] in ((2, 3) if share < 1 else (7, 8))
+
+
+def test_every_decile_of_lengths_gives_its_share():
+    """Nine tenths to eleven tenths of the mean share, for lengths that are common and long ones that occur once."""
+    lengths = [*range(5, 400), *range(400, 40_000, 13)]
+    counts = [4000 // n + 1 for n in lengths]
+    words = [n * c for n, c in zip(lengths, counts, strict=True)]
+    budget = sum(words) * 2 // 5
+    take = mixing.fit_budget(lengths, counts, budget)
+    assert sum(n * k for n, k in zip(lengths, take, strict=True)) == budget
+    step = len(lengths) // 10
+    for i in range(0, 10 * step, step):
+        share = sum(n * k for n, k in zip(lengths[i : i + step], take[i : i + step], strict=True)) / sum(words[i : i + step])
+        assert 0.36 < share < 0.44, (i, share)
