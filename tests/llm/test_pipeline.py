@@ -1,6 +1,7 @@
 """Each stage of the pipeline on its own input, against brute force."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -8,6 +9,8 @@ import pytest
 import corpus_pipeline
 from arcframe.llm import langid, mixing, packing
 
+from arcframe.llm.common import WORD
+
 from .data import ODD_TEXTS, documents
 from .test_jaccard import groups, shingles
 from .test_packing import check_rows
@@ -135,5 +138,17 @@ def test_odd_tables(spark, k):
     docs = documents(spark, texts, [None if i % 5 == 0 else i % 17 for i in range(len(texts))])
     got = stage(spark, docs, "")
     assert k == 4 or got.dtypes == docs.dtypes
-    assert got.count() > 0
+    rows, all_rows = Counter(rows_of(got)), Counter(rows_of(docs))
+    if k == 0:  # some stay, each as often as it was there
+        assert rows and all(rows[r] == all_rows[r] and r[1] for r in rows)
+    elif k == 1:  # of each id one row at most, of those without one all
+        ids = Counter(r[0] for r in rows.elements())
+        assert set(rows) <= set(all_rows) and ids[None] == sum(n for r, n in all_rows.items() if r[0] is None) and all(n == 1 for i, n in ids.items() if i is not None)
+    elif k == 2:  # none goes, only texts with a secret change
+        assert rows.total() == all_rows.total() and sum(n for r, n in all_rows.items() if r not in rows) == sum(n for r, n in all_rows.items() if "token=" in (r[1] or ""))
+    elif k == 3:  # as many words as the mix takes
+        named = docs.selectExpr("monotonically_increasing_id() as doc_id", "text", "source")
+        assert sum(len(re.findall(WORD, r[1] or "")) * n for r, n in rows.items()) == sum(r.taken for r in mixing.mix_sources(named).collect()) > 0
+    else:  # every row's first piece
+        assert got.where("start = 0").count() == docs.count()
     assert stage(spark, docs.where("false"), "").count() == 0
