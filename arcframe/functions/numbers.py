@@ -76,17 +76,13 @@ def printed_width(number: Column) -> Column:
     return width.cast("int")
 
 
-def error_text(code: Column) -> Column:
-    """What a result code of the library means."""
-    out = F.lit("unknown error code")
-    for n, text in ERRORS.items():
-        out = F.when(code == n, text).otherwise(out)
-    return out
+#: The exceptions that stand for result codes. Other codes from -17 to -1 are an ImageError that carries them.
+ERRORS: dict[int, type[Exception]] = {-1: MemoryError, -2: OSError, -7: OverflowError, -8: IndexError, -12: NotADirectoryError, -13: FileNotFoundError, -14: RecursionError, -15: IsADirectoryError, -16: ValueError}
 
 
-#: Result codes by number; the texts are our own.
-ERRORS = {
-    -1: "out of memory", -2: "reading or writing failed", -3: "a block can't be unpacked", -4: "an internal step failed", -5: "the data are damaged", -6: "this isn't supported",
-    -7: "a number doesn't fit", -8: "a read lies out of bounds", -9: "the magic number is wrong", -10: "the version isn't supported", -11: "the block size isn't valid",
-    -12: "this isn't a directory", -13: "there is no such entry", -14: "entries form a loop", -15: "this isn't a file", -16: "an argument isn't valid", -17: "calls came out of order",
-}
+def error_class(code: Column) -> Column:
+    """The name of the exception that stands for a result code; null for what is none."""
+    out = F.when(code.between(-17, -1), "ImageError")
+    for n, kind in ERRORS.items():
+        out = F.when(code == n, kind.__name__).otherwise(out)
+    return out

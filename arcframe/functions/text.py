@@ -86,6 +86,11 @@ def decode_url(text: bytes) -> bytes:
     return re.sub(rb"%([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), text)
 
 
+def nibbles(value: Column) -> Column:
+    """Bytes as text, two hexadecimal digits each, the lower four bits first."""
+    return F.regexp_replace(F.hex(value), "(.)(.)", "$2$1")
+
+
 def xxh32(data: bytes) -> int:
     """The 32-bit block checksum, seed 0. From 16 bytes on, the fourth lane starts at the first prime itself,
     not at its negative: values of longer inputs differ from those of the published hash."""

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text
-from .order import numbered
+from .order import join_counted, numbered
+
+#: Rules of a file that are tried on every entry.
+MOST_RULES = 100_000
+
+
+def broadcast_rules(rules: DataFrame) -> DataFrame:
+    """A table of rules for broadcast, after a look at how many there are."""
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"there are more than {MOST_RULES} rules")
+    return F.broadcast(rules)
+
 
 #: Values longer than this are stored once and referred to.
 INLINE = 8
@@ -34,13 +44,16 @@ def attribute_sets(pairs: DataFrame) -> DataFrame:
 def stored_pairs(pairs: DataFrame) -> DataFrame:
     """xattr_index, key, value, out_of_line: each different set once.
 
-    A value longer than INLINE bytes that an earlier stored pair has (by set, then key) is out of line.
+    A value longer than INLINE bytes that an earlier stored pair has (by set, then key) is out of line. The first
+    pair of a value is a minimum, combined before the shuffle, so that a value that most sets have doesn't meet
+    in one task.
     """
     sets = attribute_sets(pairs)
     one = sets.groupBy("xattr_index").agg(F.min("owner").alias("owner"))
     rows = last_wins(pairs).join(one, "owner").select("xattr_index", "key", "value")
-    order = Window.partitionBy("value").orderBy("xattr_index", "key")
-    return rows.withColumn("out_of_line", (F.row_number().over(order) > 1) & (F.octet_length("value") > INLINE))
+    firsts = rows.where(F.octet_length("value") > INLINE).groupBy("value").agg(F.min(F.struct("xattr_index", "key")).alias("first"), F.count("*").alias("uses")).where("uses > 1")
+    later = F.coalesce(F.struct("xattr_index", "key") != F.col("first"), F.lit(False))
+    return join_counted(rows, firsts, ["value"], "uses", "left").select("xattr_index", "key", "value", later.alias("out_of_line"))
 
 
 def apply_map(entries: DataFrame, rules: DataFrame) -> DataFrame:
@@ -81,9 +94,9 @@ def labels(entries: DataFrame, rules: DataFrame, default: str | None = None) ->
     """path and label, from rules (rule, pattern, type, label) whose pattern matches the whole path with a leading slash.
 
     type is a mode's type bits or null for any. Of several matches the last rule counts; without one it is default.
-    The rules are a file read on the driver, thousands at most, so that they are broadcast.
+    The rules are a file's; MOST_RULES of them at most are broadcast, more are refused.
     """
     full = F.concat(F.lit("/"), F.col("path"))
     fits = F.rlike(full, F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$"))) & (F.col("type").isNull() | (F.col("mode").bitwiseAND(0o170000) == F.col("type")))
-    hit = entries.select("path", "mode").join(F.broadcast(rules), fits, "left")
+    hit = entries.select("path", "mode").join(broadcast_rules(rules), fits, "left")
     return hit.groupBy("path").agg(F.coalesce(F.max_by("label", "rule"), F.lit(default)).alias("label"))

@@ -27,11 +27,18 @@ def id_dictionary(entries: DataFrame) -> DataFrame:
     return ids.withColumn("idx", F.when(F.col("idx") >= MOST_IDS, F.raise_error(F.lit("too many different ids")).cast("long")).otherwise(F.col("idx")))
 
 
+def _checked(ids: DataFrame) -> DataFrame:
+    """A dictionary for broadcast: of 65536 rows at most, as an image's is."""
+    if ids.limit(MOST_IDS + 1).count() > MOST_IDS:
+        raise ValueError("too many different ids")
+    return F.broadcast(ids)
+
+
 def encode_ids(entries: DataFrame, ids: DataFrame) -> DataFrame:
-    """entries with uid_index and gid_index. The dictionary has 65536 rows at most, so that it can be broadcast."""
+    """entries with uid_index and gid_index."""
     out = entries
     for c in ("uid", "gid"):
-        out = out.join(F.broadcast(ids.select(F.col("id").alias(c), F.col("idx").alias(f"{c}_index"))), c, "left")
+        out = out.join(_checked(ids.select(F.col("id").alias(c), F.col("idx").alias(f"{c}_index"))), c, "left")
     return out
 
 
@@ -39,5 +46,5 @@ def decode_ids(inodes: DataFrame, ids: DataFrame) -> DataFrame:
     """inodes with uid and gid for their indices; an index beyond the table gives null."""
     out = inodes
     for c in ("uid", "gid"):
-        out = out.join(F.broadcast(ids.select(F.col("idx").alias(f"{c}_index"), F.col("id").alias(c))), f"{c}_index", "left")
+        out = out.join(_checked(ids.select(F.col("idx").alias(f"{c}_index"), F.col("id").alias(c))), f"{c}_index", "left")
     return out

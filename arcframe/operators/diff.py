@@ -88,10 +88,20 @@ def contents(old: DataFrame, new: DataFrame, block_size: int = 1 << 17) -> DataF
     return uneven.unionByName(even)
 
 
+#: The flags of a super block, as a difference names them.
 FLAGS = {
-    0x0001: "inodes uncompressed", 0x0002: "data uncompressed", 0x0008: "fragments uncompressed", 0x0010: "no fragments", 0x0020: "always fragments", 0x0040: "duplicates removed", 0x0080: "exportable",
-    0x0100: "attributes uncompressed", 0x0200: "no attributes", 0x0400: "compressor options", 0x0800: "ids uncompressed",
-}
+    0x0001: "uncompressed inodes",
+    0x0002: "uncompressed data",
+    0x0008: "uncompressed fragments",
+    0x0010: "no fragments",
+    0x0020: "always fragments",
+    0x0040: "no duplicates",
+    0x0080: "exportable",
+    0x0100: "uncompressed xattrs",
+    0x0200: "no xattrs",
+    0x0400: "compressor options",
+    0x0800: "uncompressed ids",
+}
 
 
 def super_blocks(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import modes
-from .order import checkpointed
+from .order import checkpointed, join_counted
 
 
 def detect(entries: DataFrame) -> DataFrame:
@@ -16,8 +16,8 @@ def detect(entries: DataFrame) -> DataFrame:
     that a file with very many names doesn't meet in one task.
     """
     directory = modes.is_type(F.col("mode"), modes.DIRECTORY)
-    first = entries.where(~directory).groupBy("dev", "inode").agg(F.min(F.struct("seq", "path")).alias("first"), F.count("*").alias("names")).where("names > 1").select("dev", "inode", "first")
-    rows = entries.join(first, ["dev", "inode"], "left")
+    first = entries.where(~directory).groupBy("dev", "inode").agg(F.min(F.struct("seq", "path")).alias("first"), F.count("*").alias("names")).where("names > 1")
+    rows = join_counted(entries, first, ["dev", "inode"], "names", "left").drop("names")
     later = ~directory & F.col("first").isNotNull() & (F.col("seq") > F.col("first.seq"))
     target = F.when(later, F.col("first.path"))
     target = F.coalesce(target, F.col("target")) if "target" in entries.columns else target

@@ -32,6 +32,38 @@ def numbered(rows: DataFrame, order: Sequence[Column], column: str, start: int =
     return joined.withColumn(column, F.col("before") + local + start).drop("part", "before", "place")
 
 
+def running_total(rows: DataFrame, order: str, value: str, column: str) -> DataFrame:
+    """rows with column: the sum of value over the rows before, in the order of a column.
+
+    Range-partitioned and sorted once, like ``numbered``: each range adds up its own rows, and starts from the
+    sums of the ranges before it, a table of as many rows as there are partitions.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = checkpointed(rows.repartitionByRange(parts, order).withColumn("its range", F.spark_partition_id()))
+    sums = placed.groupBy("its range").agg(F.sum(value).alias("all"))
+    earlier = F.coalesce(F.sum("all").over(Window.orderBy("its range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("its range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = placed.join(F.broadcast(sums.select("its range", earlier.alias("ranges before"))), "its range")
+    return joined.withColumn(column, (F.col("ranges before") + inside).cast("long")).drop("its range", "ranges before")
+
+
+#: A key with more rows than this is hot. Rows of up to so many hot keys, some MB, are broadcast.
+HOT_ROWS, BROADCAST_ROWS = 1 << 17, 100_000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined with table (keys, count and more), a row for each key with the number of its rows.
+
+    The rows of a hot key don't meet in one task: its row of the table is broadcast, behind a check of how many
+    such keys there are. With more of them, none is a large share of all rows.
+    """
+    hot = table.where(F.col(count) > HOT_ROWS)
+    if not 0 < hot.count() <= BROADCAST_ROWS:
+        return rows.join(table, keys, how)
+    few = F.broadcast(hot)
+    return rows.join(few, keys).unionByName(rows.join(few, keys, "left_anti").join(table.where(F.col(count) <= HOT_ROWS), keys, how))
+
+
 def scan(rows: DataFrame, group: str, order: Sequence[str], step: Callable[[], Callable[[dict], list[dict]]], schema: str) -> DataFrame:
     """A sequential rule over each group's rows in order.
 

@@ -170,6 +170,7 @@ def expand_glob(line: GlobLine, scanned: DataFrame, tree: DataFrame) -> DataFram
 
 # --- sort rules -----------------------------------------------------------------------------------------------
 
+#: Flags of a sort rule.
 FLAGS = ("dont_fragment", "dont_compress", "dont_deduplicate", "nosparse")
 RULES = "rule int, priority long, flags array<string>, is_glob boolean, path_glob boolean, pattern string, regex string, error string"
 
@@ -223,11 +224,14 @@ def parse_sort_rules(rows: DataFrame) -> DataFrame:
 def sort_files(files: DataFrame, rules: DataFrame) -> DataFrame:
     """files (path, seq) with priority, flags and rule, the first rule that fits each: 0 and none without one.
 
-    Rules are the lines of a file read on the driver, thousands at most, so that they are broadcast.
+    Rules with a literal path are joined by it. Globs are tried on every file: they are broadcast, after a look
+    at how many there are.
     """
+    from .attributes import broadcast_rules
+
     good = rules.where("error is null").drop("error")
-    literal = files.select("path").join(F.broadcast(good.where("not is_glob")), F.col("path") == F.col("pattern")).select("path", "rule", "priority", "flags")
-    globbed = files.select("path").join(F.broadcast(good.where("is_glob")), F.rlike(F.col("path"), F.col("regex"))).select("path", "rule", "priority", "flags")
+    literal = files.select("path").join(good.where("not is_glob"), F.col("path") == F.col("pattern")).select("path", "rule", "priority", "flags")
+    globbed = files.select("path").join(broadcast_rules(good.where("is_glob")), F.rlike(F.col("path"), F.col("regex"))).select("path", "rule", "priority", "flags")
     first = literal.unionByName(globbed).groupBy("path").agg(F.min(F.struct("rule", "priority", "flags")).alias("r"))
     none = F.array().cast("array<string>")
     return files.join(first, "path", "left").withColumns({"priority": F.coalesce("r.priority", F.lit(0).cast("long")), "flags": F.coalesce("r.flags", none), "rule": F.col("r.rule")}).drop("r")

@@ -148,11 +148,15 @@ def subtree_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {views.TREE}, left_over AS (SELECT * FROM tree WHERE (mode & 61440) = 16384 OR key % 97 = 0) SELECT path FROM left_over d WHERE (mode & 61440) <> 16384 OR path = '' OR EXISTS (SELECT 1 FROM left_over f WHERE (f.mode & 61440) <> 16384 AND starts_with(f.path, d.path || '/'))"
+    f"WITH {views.TREE}, more AS (SELECT path, mode, parts FROM parted UNION ALL SELECT ltrim(path || '/empty', '/'), 16877, list_append(CASE WHEN path = '' THEN [] ELSE parts END, 'empty') FROM parted WHERE key IS NULL UNION ALL SELECT ltrim(path || '/empty/deeper', '/'), 16877, list_append(list_append(CASE WHEN path = '' THEN [] ELSE parts END, 'empty'), 'deeper') FROM parted WHERE key IS NULL), "
+    "held AS (SELECT DISTINCT array_to_string(list_slice(parts, 1, n), '/') AS path FROM more, range(1, 6) r(n) WHERE (mode & 61440) <> 16384 AND n < len(parts)) SELECT path FROM more WHERE (mode & 61440) <> 16384 OR path = '' OR path IN (SELECT path FROM held)"
 )
 def prune_empty_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.tree(spark, sf_dir).where("key is null or key % 97 = 0")
-    return E.prune_empty(rows).select("path")
+    """The whole tree, with empty folders, one in the other, put into each of its folders."""
+    rows = views.tree(spark, sf_dir).select("path", "mode", "key")
+    empty = lambda name: rows.where("key is null").select(F.ltrim(F.concat("path", F.lit(name)), F.lit("/")).alias("path"), F.lit(0o040755).alias("mode"))
+    rows = rows.select("path", "mode")
+    return E.prune_empty(rows.unionByName(empty("/empty")).unionByName(empty("/empty/deeper"))).select("path")
 
 
 @query(f"WITH {views.URLS}, there AS (SELECT DISTINCT string_split(path, '/')[1] AS host FROM canonical WHERE page_id % 3 = 0) SELECT DISTINCT path FROM canonical WHERE string_split(path, '/')[1] IN (SELECT host FROM there) AND (len(string_split(path, '/')) <= 2 OR string_split(path, '/')[2] = 'en') AND contains(path, '/')")
@@ -395,7 +399,7 @@ def sparse_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.sparse_bytes(rows)
 
 
-@query(f"WITH {_B} SELECT md5(unhex(h)) AS digest, CAST(size AS BIGINT) AS size, CAST(min(seq) AS BIGINT) AS first_seq, CAST(arg_min(idx, seq * 100000 + idx) AS BIGINT) AS first_idx, CAST(count(*) AS BIGINT) AS uses FROM pieces GROUP BY h, size")
+@query(f"WITH {_B} SELECT sha256(unhex(h)) AS digest, CAST(size AS BIGINT) AS size, CAST(min(seq) AS BIGINT) AS first_seq, CAST(arg_min(idx, seq * 100000 + idx) AS BIGINT) AS first_idx, CAST(count(*) AS BIGINT) AS uses FROM pieces GROUP BY h, size")
 def block_digest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.distinct_blocks(_pieces(spark, sf_dir))
 
@@ -623,14 +627,14 @@ def xattr_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", "prefix", "suffix", text.full_key(F.col("prefix"), F.col("suffix")).alias("whole"))
 
 
-@query(f"WITH {views.CONTENTS} SELECT path, hex(encode(substr(text, 1, 40))) AS hexed, hex(encode(substr(text, 1, 40))) AS based FROM contents")
+@query(f"WITH {views.CONTENTS} SELECT path, md5(text) AS hexed, md5(text) AS based FROM contents")
 def decode_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values in hex and in base64, with and without padding, as a map file has them."""
-    rows = views.contents(spark, sf_dir).select("path", "seq", F.substring(F.col("content").cast("string"), 1, 40).cast("binary").alias("v"))
-    base = F.base64("v")
+    """Whole contents as values in hex and in base64, with and without padding, as a map file has them."""
+    rows = views.contents(spark, sf_dir).select("path", "seq", F.col("content").alias("v"))
+    base = F.translate(F.base64("v"), "\r\n", "")  # it comes in lines
     base = F.when(F.col("seq") % 2 == 0, F.regexp_replace(base, "=+$", "")).otherwise(base)
     decoded = rows.select("path", text.decode_value_column(F.concat(F.lit("0x"), F.hex("v"))).alias("a"), text.decode_value_column(F.concat(F.lit("0s"), base)).alias("b"))
-    return decoded.select("path", F.hex("a").alias("hexed"), F.hex("b").alias("based"))
+    return decoded.select("path", F.md5("a").alias("hexed"), F.md5("b").alias("based"))
 
 
 @query(f"WITH {views.CONTENTS} SELECT CAST(sum(octet_length(content)) AS BIGINT) AS bytes, 'zstd' AS kind FROM contents")

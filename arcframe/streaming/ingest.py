@@ -55,13 +55,33 @@ def cut_stream(chunks: DataFrame, block_size: int) -> DataFrame:
     return chunks.groupBy("path").applyInPandasWithState(cut, "path string, idx long, data binary, last boolean", "rest binary, idx long", "append", GroupStateTimeout.NoTimeout)
 
 
-def first_seen(blocks: DataFrame) -> DataFrame:
-    """Blocks of a stream whose bytes weren't seen before, for the life of the query."""
-    return blocks.withColumn("digest", F.sha2("data", 256)).dropDuplicates(["digest"])
+def first_seen(blocks: DataFrame, time: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """Blocks of a stream whose bytes weren't seen before.
+
+    For the life of the query, its state growing with the blocks that differ; or, where a column of event times is
+    named, within the delay that its watermark allows, so that digests older than that are forgotten.
+    """
+    rows = blocks.withColumn("digest", F.sha2("data", 256))
+    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(["digest"]) if time else rows.dropDuplicates(["digest"])
 
 
 def splice(chunks: DataFrame, limit: int) -> DataFrame:
-    """The first limit bytes of each path's chunks (path, seq, data), cut where they end."""
+    """The first limit bytes of each path's chunks (path, seq, data), cut where they end.
+
+    On a stream, the chunks of a path must arrive in the order of seq, and what they have given so far is kept as state.
+    """
+    if chunks.isStreaming:
+
+        def take(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            given, out = state.get[0] if state.exists else 0, []
+            for r in pd.concat(list(frames)).sort_values("seq").itertuples():
+                if given < limit:
+                    out.append((key[0], r.seq, bytes(r.data)[: limit - given]))
+                    given += len(r.data)
+            state.update((given,))
+            yield pd.DataFrame(out, columns=["path", "seq", "data"])
+
+        return chunks.select("path", "seq", "data").groupBy("path").applyInPandasWithState(take, "path string, seq long, data binary", "given long", "append", GroupStateTimeout.NoTimeout)
     from pyspark.sql.window import Window
 
     before = F.coalesce(F.sum(F.octet_length("data")).over(Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

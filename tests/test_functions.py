@@ -91,7 +91,7 @@ def test_numbers(spark):
     assert column(spark, ["-12", "12", "--1", "9223372036854775807", "-9223372036854775806"], numbers.parse_signed) == [-12, 12, None, None, -9223372036854775806]
     assert column(spark, [-1, 0, 2**32, 5], numbers.clamp_time, "long") == [0, 0, 2**32 - 1, 5]
     assert column(spark, [0, 9, 10, 11, 99, 100, 110, 111, 1000, 4294967295], numbers.printed_width, "long") == [1, 1, 1, 2, 2, 2, 3, 3, 3, 10]
-    assert column(spark, [-9, -12, 5], numbers.error_text, "int") == ["the magic number is wrong", "this isn't a directory", "unknown error code"]
+    assert column(spark, [-9, -12, 5, 0, -18], numbers.error_class, "int") == ["ImageError", "NotADirectoryError", None, None, None]
 
 
 def test_split_lines(spark):

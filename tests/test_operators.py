@@ -349,3 +349,56 @@ def test_partitions_dont_matter(spark, partitions):
     packed = sorted(map(tuple, blocks.pack_tails(blocks.split(files, 16), 16).collect()))
     again = sorted(map(tuple, blocks.pack_tails(blocks.split(files.repartition(3), 16), 16).collect()))
     assert packed == again
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_of_ranges_is_that_of_one_order(spark, seed):
+    """Tails placed range by range, against one after another; runs of blocks against the rule as it is told."""
+    rng = random.Random(seed)
+    size = [16, 64, 256, 5][seed]
+    rows = [(f"f{i}", i, bytes(rng.choices(b"abc", k=rng.randrange(0, 3 * size)))) for i in range(300)]
+    cut = blocks.split(spark.createDataFrame([(p, s, bytearray(c)) for p, s, c in rows], "path string, seq long, content binary").repartition(5), size)
+    fragment, used, places, want = -1, size, {}, {}
+    for path, _, content in rows:
+        tail = content[len(content) // size * size :]
+        if tail and tail not in places:
+            if used + len(tail) > size:
+                fragment, used = fragment + 1, 0
+            places[tail] = fragment, used
+            used += len(tail)
+        if tail:
+            want[path] = places[tail]
+    assert {r.path: (r.fragment, r.fragment_offset) for r in blocks.pack_tails(cut, size).collect()} == want
+
+    small = [(f"f{i}", i, bytes(rng.choices(b"ab", k=rng.randrange(1, 5))) if i % 3 else f"unique{i}".encode()) for i in range(150)]
+    frame = spark.createDataFrame([(p, s, bytearray(c)) for p, s, c in small], "path string, seq long, content binary")
+    stored, starts = "", {}
+    for path, _, content in small:
+        run = content.decode()
+        at = (stored + run).find(run)
+        starts[path] = at
+        stored += run[len(run) - max(0, at + len(run) - len(stored)) :] if at < len(stored) else run
+    assert {r.path: r.start for r in blocks.duplicate_runs(blocks.split(frame, 1)).collect()} == starts
+
+
+def test_hot_keys_are_joined_another_way(spark, monkeypatch):
+    from arcframe.operators import order
+
+    rows = spark.createDataFrame([(f"p{i}", i, bytearray(b"same" if i % 2 else b"x%d" % i)) for i in range(60)], "path string, seq long, content binary")
+    want = sorted(map(tuple, blocks.duplicate_files(rows).collect()), key=str)
+    monkeypatch.setattr(order, "HOT_ROWS", 5)
+    assert sorted(map(tuple, blocks.duplicate_files(rows).collect()), key=str) == want
+    assert sorted(map(tuple, links.detect(rows.selectExpr("path", "seq", "33188 as mode", "1 as dev", "content as inode")).select("path", "target").collect()))[0] == ("p0", None)
+
+
+def test_equal_requests_have_a_row_each(spark):
+    cut = blocks.offsets(blocks.split(spark.createDataFrame([("a", 0, bytearray(b"0123456789"))], "path string, seq long, content binary"), 4).withColumn("stored", F.col("size")))
+    wanted = spark.createDataFrame([("a", 2, 5), ("a", 2, 5), ("a", 9, 5)], "path string, offset long, length long")
+    assert sorted(bytes(r.data) for r in blocks.read_ranges(cut, wanted).collect()) == [b"23456", b"23456", b"9"]
+
+
+def test_too_many_rules_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(attributes, "MOST_RULES", 2)
+    rules_table = spark.createDataFrame([(i, ".*", None, "x") for i in range(3)], "rule int, pattern string, type int, label string")
+    with pytest.raises(ValueError):
+        attributes.labels(spark.createDataFrame([("a", 33188)], "path string, mode int"), rules_table)
