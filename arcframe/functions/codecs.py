@@ -291,6 +291,19 @@ def transform_blocks(blocks: DataFrame, codec: Codec, tails_alone: bool = True)
     return blocks.mapInArrow(run, schema)
 
 
+def restore_blocks(blocks: DataFrame, codec: Codec) -> DataFrame:
+    """blocks with restored: the bytes that the codec gives back for stored, by size, sparse and compressed."""
+    schema = StructType([*blocks.schema.fields, *_parse_datatype_string("restored binary").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("stored", "size", "sparse", "compressed"))
+            out = [bytes(size) if sparse else codec.decompress(stored, size) if packed else stored for stored, size, sparse, packed in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "restored"])
+
+    return blocks.mapInArrow(run, schema)
+
+
 def block_function(work: Callable[[bytes], bytes]):
     """A function of binary columns from one of bytes, in Arrow batches."""
     @F.pandas_udf(BinaryType())

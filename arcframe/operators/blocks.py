@@ -233,6 +233,22 @@ def offsets(blocks: DataFrame, stored: str = "stored") -> DataFrame:
     return blocks.withColumn("at", F.coalesce(F.sum(stored).over(before), F.lit(0)).cast("long"))
 
 
+def submit(blocks: DataFrame, extra: DataFrame) -> DataFrame:
+    """blocks and those of a caller's own (path, seq, idx, data and any of dont_compress, dont_fragment, user), which go
+    through the same steps; columns that one side lacks are null."""
+    sized = extra.withColumn("size", F.octet_length("data").cast("long")) if "size" not in extra.columns else extra
+    return blocks.unionByName(sized, allowMissingColumns=True)
+
+
+def sequenced(blocks: DataFrame, stored: str = "stored", start: int = 0) -> DataFrame:
+    """blocks with written_at: where each lies in the output if they leave in the order of files and blocks.
+
+    However the tasks that made them finished: places are running totals of the stored sizes over one order.
+    """
+    ordered = blocks.withColumn("io order", F.struct("seq", "idx"))
+    return running_total(ordered, "io order", stored, "written_at").withColumn("written_at", F.col("written_at") + start).drop("io order")
+
+
 def size_word(stored: Column, compressed: Column) -> Column:
     """The size word of a block: 0 if it is sparse, with the raw bit unless it is compressed."""
     return F.when(stored == 0, 0).when(compressed, stored).otherwise(stored.bitwiseOR(RAW_BIT)).cast("long")

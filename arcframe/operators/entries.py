@@ -247,6 +247,14 @@ def unpack_order(files: DataFrame) -> DataFrame:
     return files.orderBy(F.col("fragment").asc_nulls_last(), F.col("block_start").asc_nulls_last(), "path")
 
 
+def unpack_positions(files: DataFrame) -> DataFrame:
+    """files with position, from 0, in the order of ``unpack_order``."""
+    from .order import numbered
+
+    last = [k for c in ("fragment", "block_start") for k in (F.col(c).isNull(), F.col(c))]
+    return numbered(files, [*last, F.col("path")], "position", 0)
+
+
 def by_name(entries: DataFrame) -> DataFrame:
     """Siblings by the bytes of their names."""
     return with_parts(entries).orderBy("parent_path", "name")

@@ -56,6 +56,25 @@ def entries(inodes: DataFrame, dirents: DataFrame, ids: DataFrame, root: int) ->
     return paths.join(owned, "inode").select("path", "inode", "mode", "uid", "gid", "mtime", "size", "rdev", "target", "nlink")
 
 
+#: Types of inodes by the type bits of a mode. The extended layout of a type has a number 7 larger.
+INODE_TYPES = {modes.DIRECTORY: 1, modes.FILE: 2, modes.LINK: 3, modes.BLOCK: 4, modes.CHARACTER: 5, modes.FIFO: 6, modes.SOCKET: 7}
+
+
+def from_entries(entries: DataFrame) -> DataFrame:
+    """path and the inode's own fields of entries other than files and directories, whose data decide on theirs: type,
+    mode, nlink, rdev (of devices) and target (of links). An attribute set or a second name asks for the extended layout."""
+    special = entries.where(~modes.is_type(F.col("mode"), modes.FILE, modes.DIRECTORY))
+    basic = F.lit(None).cast("int")
+    for bits, number in INODE_TYPES.items():
+        basic = F.when(modes.is_type(F.col("mode"), bits), number).otherwise(basic)
+    extended = F.col("xattr_index").isNotNull()
+    device = modes.is_type(F.col("mode"), modes.BLOCK, modes.CHARACTER)
+    link = modes.is_type(F.col("mode"), modes.LINK)
+    return special.select(
+        "path", (basic + F.when(extended, 7).otherwise(0)).alias("type"), "mode", F.coalesce("nlink", F.lit(1)).cast("long").alias("nlink"), F.when(device, F.col("rdev")).alias("rdev"), F.when(link, F.col("target")).alias("target")
+    )
+
+
 def resolve_numbers(inodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (inode) with ref, null where there is no such inode."""
     return wanted.join(inodes.select("inode", "ref"), "inode", "left")

@@ -160,6 +160,11 @@ def children_first(entries: DataFrame) -> DataFrame:
     return entries.orderBy(paths.depth(F.col("path")).desc(), "path")
 
 
+def attribute_order(entries: DataFrame) -> DataFrame:
+    """entries with position, from 0, in the order of ``children_first``."""
+    return numbered(entries, [-paths.depth(F.col("path")), F.col("path")], "position", 0)
+
+
 def path_of_nodes(nodes: DataFrame) -> DataFrame:
     """node and path from rows (node, parent, name), the root's parent being null; path is null in a loop or above an unknown node."""
     start = F.when(F.col("parent").isNull(), "").otherwise(F.col("name"))

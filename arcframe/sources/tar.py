@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, StringStartsWith, WriterCommitMessage
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructType, _parse_datatype_string
 
 from ..functions import modes
 from ..functions.codecs import open_stream, pack_stream
@@ -407,6 +407,10 @@ class Written(WriterCommitMessage):
     path: str | None
 
 
+def _record(r: dict) -> Record:
+    return Record(r["path"], r["mode"], r.get("uid") or 0, r.get("gid") or 0, r.get("mtime") or 0, r.get("size") or 0, r.get("rdev") or 0, r.get("target"), bool(r.get("hard_link")), None, dict(r.get("xattrs") or {}), r.get("content"))
+
+
 class TarWriter(DataSourceWriter):
     """One archive from one ordered partition; the file appears when the write commits."""
 
@@ -424,9 +428,8 @@ class TarWriter(DataSourceWriter):
         kind = self.options.get("compressor")
         with open(temporary, "wb") as file:
             for i, row in enumerate((r for part in ([first], rows) for r in part)):
-                r = row.asDict()
-                record = Record(r["path"], r["mode"], r.get("uid") or 0, r.get("gid") or 0, r.get("mtime") or 0, r.get("size") or 0, r.get("rdev") or 0, r.get("target"), bool(r.get("hard_link")), None, dict(r.get("xattrs") or {}), r.get("content"))
-                file.write(pack_stream(kind, write_record(record, i)))
+                # records that other tasks have formatted are only appended
+                file.write(bytes(row["records"]) if "records" in self.names else pack_stream(kind, write_record(_record(row.asDict()), i)))
             file.write(pack_stream(kind, END))
             file.flush()
             os.fsync(file.fileno())
@@ -502,8 +505,10 @@ def parse_tars(contents: DataFrame, content: str = "content") -> DataFrame:
 def write_tar(entries: DataFrame, path: str, compressor: str | None = None, overwrite: bool = True, skip_unsupported: bool = True) -> DataFrame:
     """Writes entries as one archive, in the order of seq where there is one, else of paths. Returns the rows left out.
 
-    An archive is one byte stream, so that its writer is one task; everything before it is distributed.
+    Headers, attributes, padding and compressed members are made by all tasks; as an archive is one byte stream,
+    one task puts their bytes one after another.
     """
+    import pyarrow as pa
     from pyspark.sql import functions as F
 
     from ..operators.entries import path_key
@@ -512,9 +517,23 @@ def write_tar(entries: DataFrame, path: str, compressor: str | None = None, over
     fits = F.coalesce(F.col("hard_link"), F.lit(False)) if "hard_link" in entries.columns else F.lit(False)
     fits = fits | modes.is_type(F.col("mode"), modes.FILE, modes.LINK, modes.CHARACTER, modes.BLOCK, modes.DIRECTORY, modes.FIFO)
     left_out = entries.where(~fits).select("path", "mode")
-    order = ["seq"] if "seq" in entries.columns else [path_key()]
-    rows = (entries.where(fits) if skip_unsupported else entries).repartition(1).sortWithinPartitions(*order)
-    known = [c for c in rows.columns if c in SCHEMA.names]
-    writer = rows.select(*known).write.format("arctar").mode("overwrite" if overwrite else "append").option("path", path)
+    kept = entries.where(fits) if skip_unsupported else entries
+    order = F.col("seq") if "seq" in entries.columns else path_key()
+    known = [c for c in kept.columns if c in SCHEMA.names]
+    # attribute records carry the number of their entry
+    number = (F.col("seq") if "seq" in entries.columns else F.lit(0)).cast("long")
+    rows = kept.withColumns({"place": F.struct(order, "path"), "number": number})
+    schema = StructType([rows.schema["place"], *_parse_datatype_string("records binary").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):  # few contents at a time
+                part = batch.slice(start, 64)
+                fields = part.select(known).to_pylist()
+                done = [pack_stream(compressor, write_record(_record(r), n)) for r, n in zip(fields, part.column("number").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("place"), pa.array(done, pa.binary())], ["place", "records"])
+
+    formatted = rows.select("place", "number", *known).mapInArrow(run, schema)
+    writer = formatted.repartition(1).sortWithinPartitions("place").select("records").write.format("arctar").mode("overwrite" if overwrite else "append").option("path", path)
     (writer.option("compressor", compressor) if compressor else writer).save()
     return left_out
