@@ -672,7 +672,12 @@ def compress_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_B}, runs AS (SELECT path, seq, string_agg('|' || md5(h || ':' || CAST(size AS VARCHAR)), '' ORDER BY idx) AS run, row_number() OVER (ORDER BY seq) AS r FROM pieces GROUP BY path, seq), "
+    "found AS (SELECT CAST(0 AS BIGINT) AS r, '' AS path, CAST(0 AS BIGINT) AS seq, '' AS stored, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS taken, false AS duplicate UNION ALL "
+    "SELECT k.r, k.path, k.seq, f.stored || substr(k.run, length(k.run) - greatest(0, instr(f.stored || k.run, k.run) - 1 + length(k.run) - length(f.stored)) + 1), instr(f.stored || k.run, k.run) - 1, length(k.run), instr(f.stored || k.run, k.run) - 1 < length(f.stored) FROM found f JOIN runs k ON k.r = f.r + 1) "
+    'SELECT path, CAST(seq AS BIGINT) AS seq, CAST(place // 33 AS BIGINT) AS "start", CAST(taken // 33 AS BIGINT) AS blocks, duplicate FROM found WHERE r > 0'
+)
 def file_dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each file's run of blocks is found in the list of stored ones."""
     return blocks.duplicate_runs(_pieces(spark, sf_dir))
@@ -713,3 +718,7 @@ def image_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     image.write_image(rows, path, "zstd", 4096, exportable=True)
     rows = image.read_image(spark, path, slices=4).where(modes.is_type(F.col("mode"), modes.FILE))
     return rows.select("path", "mode", "uid", "gid", "mtime", "size", F.md5("content").alias("digest"))
+
+
+# the queries of formats are registered beside these; that module takes its helpers from this one
+from . import formats as formats  # noqa: E402
