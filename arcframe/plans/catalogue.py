@@ -673,9 +673,9 @@ def compress_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH RECURSIVE {_B}, runs AS (SELECT path, seq, string_agg('|' || md5(h || ':' || CAST(size AS VARCHAR)), '' ORDER BY idx) AS run, row_number() OVER (ORDER BY seq) AS r FROM pieces GROUP BY path, seq), "
+    f"WITH RECURSIVE {_B}, runs AS MATERIALIZED (SELECT path, seq, string_agg('|' || md5(h || ':' || CAST(size AS VARCHAR)), '' ORDER BY idx) AS run, row_number() OVER (ORDER BY seq) AS r FROM pieces GROUP BY path, seq), "
     "found AS (SELECT CAST(0 AS BIGINT) AS r, '' AS path, CAST(0 AS BIGINT) AS seq, '' AS stored, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS taken, false AS duplicate UNION ALL "
-    "SELECT k.r, k.path, k.seq, f.stored || substr(k.run, length(k.run) - greatest(0, instr(f.stored || k.run, k.run) - 1 + length(k.run) - length(f.stored)) + 1), instr(f.stored || k.run, k.run) - 1, length(k.run), instr(f.stored || k.run, k.run) - 1 < length(f.stored) FROM found f JOIN runs k ON k.r = f.r + 1) "
+    "SELECT r, path, seq, stored || substr(run, length(run) - greatest(0, place + length(run) - length(stored)) + 1), place, length(run), place < length(stored) FROM (SELECT k.r, k.path, k.seq, k.run, f.stored, instr(f.stored || k.run, k.run) - 1 AS place FROM found f JOIN runs k ON k.r = f.r + 1)) "
     'SELECT path, CAST(seq AS BIGINT) AS seq, CAST(place // 33 AS BIGINT) AS "start", CAST(taken // 33 AS BIGINT) AS blocks, duplicate FROM found WHERE r > 0'
 )
 def file_dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

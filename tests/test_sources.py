@@ -346,7 +346,7 @@ def test_first_seen_forgets_what_is_old(spark, tmp_path):
     from datetime import datetime, timedelta
 
     start = datetime(2024, 1, 1)
-    for n, (minutes, data) in enumerate([(0, b"a"), (1, b"a"), (500, b"b"), (501, b"a")]):
+    for n, (minutes, data) in enumerate([(0, b"a"), (1, b"a"), (500, b"b"), (501, b"c"), (502, b"a")]):
         spark.createDataFrame([(start + timedelta(minutes=minutes), bytearray(data))], "time timestamp, data binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         for f in (tmp_path / "in").glob("*.parquet"):
             if f.stat().st_mtime > 1_600_000_000:
@@ -354,4 +354,4 @@ def test_first_seen_forgets_what_is_old(spark, tmp_path):
     stream = spark.readStream.schema("time timestamp, data binary").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     seen = ingest.first_seen(stream, "time", "10 minutes")
     seen.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(bytes(r.data) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [b"a", b"a", b"b"]
+    assert sorted(bytes(r.data) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [b"a", b"a", b"b", b"c"]
