@@ -7,6 +7,10 @@ many lines are enough, and how wide a window is, follow from the recall that is
 Not all pairs are counted: a few more lines, cut into cells, deal the vectors into blocks, several times
 over with other lines, and pairs are counted in the first block that they meet in. The number of lines that
 make a cell follows from the number of vectors, so that a cell holds a bounded number of unrelated ones.
+
+Collisions are counted on sketches, the places on the lines in a byte each: in a cell, sketches are sorted on
+one line, and windows are centred on each of them in turn. Vectors themselves go only to the cells where a
+sketch has a partner with enough collisions, which for most is none.
 """
 
 from __future__ import annotations
@@ -34,8 +38,13 @@ CELL, CROWD, SAMPLE = 1.5, 200, 1024
 #: Vectors of a block in verification: at least BLOCK, and GROWTH times the root of a cell's size, so that a
 #: crowded cell's rows grow with the power 1.5 of its size. Rows compared at a time.
 BLOCK, GROWTH, ROWS = 2048, 8, 256
-#: Lines are added to a cell while so many tables reach the recall asked for.
-MOST_TABLES = 64
+#: The same for vectors that have a partner: they are larger than sketches, and fewer.
+LINK_BLOCK = 256
+#: Lines are added to a cell while so many tables reach the recall asked for, and up to so many; beyond that cells
+#: grow with the vectors, and what gives way is not the recall but the time.
+MOST_TABLES, MOST_LINES = 64, 40
+#: Width of a step of a sketch, whose places go from -127 to 127; those beyond are put at the ends.
+STEP = 4.5 / 127
 #: A table of crowded cells up to this many rows, 3 MB, is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -84,6 +93,16 @@ class Plan:
     def projections(self, unit: np.ndarray) -> np.ndarray:
         return unit @ _directions(self.seed + 1, self.dimension, LINES)[0]
 
+    def sketches(self, unit: np.ndarray) -> np.ndarray:
+        return np.clip(np.rint(self.projections(unit) / STEP), -127, 127).astype(np.int8)
+
+    def recall(self) -> float:
+        """Share of the pairs at the threshold that are found, by the formulas that the plan comes from."""
+        near = math.sqrt(max(0.0, 2 - 2 * self.threshold))
+        inside = 2 * _phi(self.window / near) - 1 if near else 1.0
+        counted = sum(math.comb(LINES, k) * inside**k * (1 - inside) ** (LINES - k) for k in range(self.least, LINES + 1))
+        return (1 - (1 - same_cell(near, CELL) ** self.lines) ** self.tables) * counted
+
 
 def calibrate(n: int, dimension: int, threshold: float, distances: np.ndarray, recall: float = 0.998, seed: int = 17) -> Plan:
     """The plan for n vectors whose pairs lie at distances (a sample of them).
@@ -101,7 +120,7 @@ def calibrate(n: int, dimension: int, threshold: float, distances: np.ndarray, r
         return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet))) if meet < 1 else 1
 
     lines = 1
-    while lines < 40 and needed(lines + 1) <= MOST_TABLES and len(far) and n * np.mean([same_cell(d, CELL) ** lines for d in np.quantile(far, np.linspace(0, 1, 33))]) > CROWD:
+    while lines < MOST_LINES and needed(lines + 1) <= MOST_TABLES and len(far) and n * np.mean([same_cell(d, CELL) ** lines for d in np.quantile(far, np.linspace(0, 1, 33))]) > CROWD:
         lines += 1
     tables = needed(lines)
     window = near * next(z / 1000 for z in range(1, 5000) if 2 * _phi(z / 1000) - 1 >= WINDOW)
@@ -111,7 +130,10 @@ def calibrate(n: int, dimension: int, threshold: float, distances: np.ndarray, r
         if missed > (1 - recall) / 10:
             break
         least += 1
-    return Plan(dimension, threshold, seed, tables, lines, window, least)
+    plan = Plan(dimension, threshold, seed, tables, lines, window, least)
+    if plan.recall() < 1 - 1.25 * (1 - recall):  # a tenth of what is left of the recall goes to the count
+        raise ValueError(f"a recall of {recall} isn't reached: {plan}")
+    return plan
 
 
 def packed_vectors(column: pa.Array, form: str) -> list[bytes | None]:
@@ -159,8 +181,8 @@ def plans(vectors: DataFrame, form: str, threshold: float, recall: float) -> dic
     return out
 
 
-def _cells(vectors: DataFrame, form: str, plan_of: dict[int, Plan], with_vectors: bool) -> DataFrame:
-    """cell and tab of each vector in each table, with h1, h2, weight, dimension and vector if asked for."""
+def _cells(vectors: DataFrame, form: str, plan_of: dict[int, Plan], with_sketches: bool) -> DataFrame:
+    """cell and tab of each vector in each table, with h1, h2, dimension and sketch if asked for."""
 
     def make() -> Callable[[pa.RecordBatch], Iterator[dict]]:
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -168,24 +190,26 @@ def _cells(vectors: DataFrame, form: str, plan_of: dict[int, Plan], with_vectors
             for dimension in set(dimensions):
                 at = np.flatnonzero(np.array(dimensions) == dimension)
                 plan = plan_of[dimension]
-                cells = plan.cells(unit_vectors([packed[i] for i in at], form))
+                unit = unit_vectors([packed[i] for i in at], form)
+                cells = plan.cells(unit)
                 mine = batch.take(pa.array(at))
+                more = {c: mine.column(c) for c in ("h1", "h2", "dimension")} | {"sketch": [row.tobytes() for row in plan.sketches(unit)]} if with_sketches else {}
                 for table in range(plan.tables):
-                    out = {"cell": cells[:, table], "tab": [table] * len(at)}
-                    yield out | ({c: mine.column(c) for c in ("h1", "h2", "weight", "dimension", "vector")} if with_vectors else {})
+                    yield {"cell": cells[:, table], "tab": [table] * len(at)} | more
 
         return each
 
-    return map_batches(vectors.select("h1", "h2", "weight", "dimension", "vector"), make, "cell long, tab int" + ", h1 long, h2 long, weight long, dimension int, vector binary" * with_vectors)
+    return map_batches(vectors.select("h1", "h2", "dimension", "vector"), make, "cell long, tab int" + ", h1 long, h2 long, dimension int, sketch binary" * with_sketches)
 
 
-def block_links(plan: Plan, table: int, unit: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of links between left and right (or within, if same) that first meet in this table."""
-    place, cells = plan.projections(unit), None
-    reach = math.sqrt(max(0.0, 2 - 2 * plan.threshold)) * 4.5  # beyond what a pair is apart on any one line
+def colliding(place: np.ndarray, window: float, reach: float, least: int, left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of left and right (or within, if same) whose places are within window on at least so many lines.
+
+    place has a row for each vector. Both sides are sorted on the first line, so that a row is only held against
+    those within reach of it there.
+    """
     left, right = left[np.argsort(place[left, 0], kind="stable")], right[np.argsort(place[right, 0], kind="stable")]
     line = place[right, 0]
-    found = []
     for start in range(0, len(left), ROWS):
         rows = left[start : start + ROWS]
         lo, hi = np.searchsorted(line, place[rows[0], 0] - reach), np.searchsorted(line, place[rows[-1], 0] + reach, "right")
@@ -194,22 +218,43 @@ def block_links(plan: Plan, table: int, unit: np.ndarray, left: np.ndarray, righ
             continue
         count = np.zeros((len(rows), len(columns)), np.uint8)
         for i in range(FIRST_LINES):
-            count += np.abs(place[rows, i][:, None] - place[columns, i][None, :]) <= plan.window
+            count += np.abs(place[rows, i][:, None] - place[columns, i][None, :]) <= window
         # the other lines are looked at where they can still make up for what lacks
-        a, b = np.nonzero(count + (LINES - FIRST_LINES) >= plan.least)
-        total = count[a, b] + (np.abs(place[rows[a], FIRST_LINES:] - place[columns[b], FIRST_LINES:]) <= plan.window).sum(1)
-        a, b = rows[a[total >= plan.least]], columns[b[total >= plan.least]]
+        a, b = np.nonzero(count + (LINES - FIRST_LINES) >= least)
+        total = count[a, b] + (np.abs(place[rows[a], FIRST_LINES:] - place[columns[b], FIRST_LINES:]) <= window).sum(1)
+        a, b = rows[a[total >= least]], columns[b[total >= least]]
         if same:
             a, b = a[a < b], b[a < b]
         if len(a):
-            # exact check, in pieces: the same sum whichever block a pair meets in
-            close = np.concatenate([np.einsum("ij,ij->i", unit[a[k : k + 65536]], unit[b[k : k + 65536]]) >= plan.threshold for k in range(0, len(a), 65536)])
-            a, b = a[close], b[close]
-            cells = plan.cells(unit) if cells is None else cells
-            new = np.ones(len(a), bool)
-            for t in range(table):
-                new &= cells[a, t] != cells[b, t]
-            found.append((a[new], b[new]))
+            yield a, b
+
+
+def _reach(threshold: float) -> float:
+    """Beyond what a pair is apart on any one line."""
+    return math.sqrt(max(0.0, 2 - 2 * threshold)) * 4.5
+
+
+def with_partner(plan: Plan, sketches: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> np.ndarray:
+    """Which vectors have one with enough collisions on the other side, by their sketches: never fewer than by their places."""
+    place, out = sketches.astype(np.int16), np.zeros(len(sketches), bool)
+    # two places that are rounded each can be one step nearer or farther
+    for a, b in colliding(place, math.floor(plan.window / STEP) + 1, math.ceil(_reach(plan.threshold) / STEP) + 1, plan.least, left, right, same):
+        out[a] = out[b] = True
+    return out
+
+
+def block_links(plan: Plan, table: int, unit: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of links between left and right (or within, if same) that first meet in this table."""
+    cells, found = None, []
+    for a, b in colliding(plan.projections(unit), plan.window, _reach(plan.threshold), plan.least, left, right, same):
+        # exact check, in pieces: the same sum whichever block a pair meets in
+        close = np.concatenate([np.einsum("ij,ij->i", unit[a[k : k + 65536]], unit[b[k : k + 65536]]) >= plan.threshold for k in range(0, len(a), 65536)])
+        a, b = a[close], b[close]
+        cells = plan.cells(unit) if cells is None else cells
+        new = np.ones(len(a), bool)
+        for t in range(table):
+            new &= cells[a, t] != cells[b, t]
+        found.append((a[new], b[new]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
@@ -229,40 +274,79 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link_counts(blocks: DataFrame, form: str, plan_of: dict[int, Plan]) -> DataFrame:
-    """h1, h2, n (weight of the vectors linked with it, in this block), other (h1 of one it is connected with here)."""
-    struct = _parse_datatype_string("h1 long, h2 long, n long, other long")
+def _by_block(blocks: DataFrame, each: Callable[[tuple, list], list | None], schema: str) -> DataFrame:
+    """each((cell, tab, i, j), its other columns) of every block, whose rows come one after another."""
+    struct = _parse_datatype_string(schema)
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def finish() -> Iterator[pa.RecordBatch]:
-            (_, table, i, j), n = now, len(held)
-            if n < 2:
-                return
-            side, h1, h2, weights = (np.array(c) for c in list(zip(*held, strict=True))[:4])
-            plan = plan_of[held[0][4]]  # vectors of other dimensions have other cells
-            every = np.arange(n)
-            a, b = block_links(plan, table, unit_vectors([h[5] for h in held], form), every[side == i], every[side == j], i == j)
-            if len(a):
-                total = np.bincount(a, weights[b], n) + np.bincount(b, weights[a], n)
-                label = _labels(n, a, b)
-                some = np.flatnonzero(total)
-                columns = [h1[some], h2[some], total[some].astype(np.int64), h1[label[some]]]
+            if len(held) > 1 and (columns := each(now, list(zip(*held, strict=True)))):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
             for cell, table, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (cell, table, i, j) != now:
-                    if now is not None:
-                        yield from finish()
+                    yield from finish()
                     now, held = (cell, table, i, j), []
                 held.append(row)
-        if now is not None:
-            yield from finish()
+        yield from finish()
+
+    keys = ["cell", "tab", "i", "j"]
+    others = [c for c in blocks.columns if c not in keys]
+    dealt = blocks.select(*keys, *others).repartition(shuffle_partitions(blocks.sparkSession), *keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, struct)
 
-    return blocks.mapInArrow(run, struct)
+
+def marked(blocks: DataFrame, plan_of: dict[int, Plan]) -> DataFrame:
+    """cell, tab, h1, h2 of the vectors that have a partner in their cell, by sketches."""
+
+    def each(key: tuple, columns: list) -> list | None:
+        cell, table, i, j = key
+        side, h1, h2, dimension, sketches = columns
+        side, every = np.array(side), np.arange(len(side))
+        place = np.frombuffer(b"".join(sketches), np.int8).reshape(len(side), LINES)
+        some = np.flatnonzero(with_partner(plan_of[dimension[0]], place, every[side == i], every[side == j], i == j))
+        return [[cell] * len(some), [table] * len(some), np.array(h1)[some], np.array(h2)[some]] if len(some) else None
+
+    return _by_block(blocks.select("cell", "tab", "i", "j", "block", "h1", "h2", "dimension", "sketch"), each, "cell long, tab int, h1 long, h2 long")
+
+
+def link_counts(blocks: DataFrame, form: str, plan_of: dict[int, Plan]) -> DataFrame:
+    """h1, h2, n (weight of the vectors linked with it, in this block), other (h1 of one it is connected with here)."""
+
+    def each(key: tuple, columns: list) -> list | None:
+        _, table, i, j = key
+        side, h1, h2, weights, dimension, vectors = columns
+        side, h1, h2, weights = (np.array(c) for c in (side, h1, h2, weights))
+        n, every = len(side), np.arange(len(side))
+        # vectors of other dimensions have other cells
+        a, b = block_links(plan_of[dimension[0]], table, unit_vectors(list(vectors), form), every[side == i], every[side == j], i == j)
+        if not len(a):
+            return None
+        total = np.bincount(a, weights[b], n) + np.bincount(b, weights[a], n)
+        label = _labels(n, a, b)
+        some = np.flatnonzero(total)
+        return [h1[some], h2[some], total[some].astype(np.int64), h1[label[some]]]
+
+    return _by_block(blocks.select("cell", "tab", "i", "j", "block", "h1", "h2", "weight", "dimension", "vector"), each, "h1 long, h2 long, n long, other long")
+
+
+def _in_blocks(rows: DataFrame, counted: DataFrame, least: int) -> DataFrame:
+    """rows (cell, tab, h1 and more) with block, and the pairs of blocks i, j of its cell that each meets in.
+
+    A cell of at most so many rows, as counted (cell, tab) says, is one block; each block of a crowded one meets itself and all others.
+    """
+    crowded = checkpointed(counted.groupBy("cell", "tab").agg(F.count("*").alias("size")).where(F.col("size") > least))
+    # sent to all tasks if it is small; else joined by shuffles
+    sizes = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded
+    blocks = F.coalesce(F.ceil(F.col("size") / F.greatest(F.lit(least), F.ceil(GROWTH * F.sqrt("size")))), F.lit(1)).cast("int")
+    cut = rows.join(sizes, ["cell", "tab"], "left").withColumn("blocks", blocks)
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
+    met = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}).drop("with", "blocks", "size")
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.95, recall: float = 0.998, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -275,8 +359,6 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, recall: float = 0.998
     vectors of different lengths among each other and rows without an id, whose component is null and which
     are kept. Repeated ids are rows of their own. An empty table gives no rows; other columns are left out.
     """
-    spark = rows.sparkSession
-    partitions = shuffle_partitions(spark)
     single = rows.schema[vector_col].dataType.simpleString() == "array<float>"
     form = "<f4" if single else "<f8"
     column = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
@@ -285,19 +367,10 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, recall: float = 0.998
     # equal vectors are one from here on, with a weight
     vectors = checkpointed(linkable.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector"), F.first("dimension").alias("dimension")))
     plan_of = plans(vectors, form, threshold, recall)
-    crowded = checkpointed(_cells(vectors, form, plan_of, False).groupBy("cell", "tab").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK))
-    # sent to all tasks if it is small; else joined by shuffles
-    sizes = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded
-    cells = _cells(vectors, form, plan_of, True).join(sizes, ["cell", "tab"], "left")
-    blocks = F.coalesce(F.ceil(F.col("size") / F.greatest(F.lit(BLOCK), F.ceil(GROWTH * F.sqrt("size")))), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("h1"), blocks).cast("int").alias("block")
-    cut = cells.select("cell", "tab", "h1", "h2", "weight", "dimension", "vector", own, blocks.alias("blocks"))
-    # a block meets itself and each other one of its cell
-    met = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cell", "tab", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "h1", "h2", "weight", "dimension", "vector"
-    )
-    keys = ["cell", "tab", "i", "j"]
-    found = checkpointed(link_counts(met.repartition(partitions, *keys).sortWithinPartitions(*keys), form, plan_of))
+    cells = _in_blocks(_cells(vectors, form, plan_of, True), _cells(vectors, form, plan_of, False), BLOCK)
+    some = checkpointed(marked(cells, plan_of).distinct())
+    meeting = some.join(vectors.select("h1", "h2", "weight", "dimension", "vector"), ["h1", "h2"])
+    found = checkpointed(link_counts(_in_blocks(meeting, some, LINK_BLOCK), form, plan_of))
 
     counts = found.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
     reached = components(found.select(F.col("h1").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "h1")

@@ -44,6 +44,7 @@ def lowest(near):
 @pytest.mark.parametrize(("seed", "threshold", "block"), [(1, 0.95, 2048), (2, 0.95, 16), (3, 0.9, 2048), (4, 0.99, 7)])
 def test_against_all_pairs(spark, monkeypatch, seed, threshold, block):
     monkeypatch.setattr(nv, "BLOCK", block)
+    monkeypatch.setattr(nv, "LINK_BLOCK", block)
     monkeypatch.setattr(nv, "GROWTH", 0)
     vectors = clusters(seed)
     rows = {r.vec_id: r for r in nv.near_vectors(table(spark, vectors), threshold).collect()}
@@ -119,3 +120,44 @@ def test_pairs_meet_where_unrelated_vectors_are_alike():
     y = 0.95 * x + math.sqrt(1 - 0.95**2) * across
     plan = nv.calibrate(10**7, 64, 0.95, np.sqrt(np.maximum(0, 2 - 2 * (x[:500] @ x[:500].T)))[np.triu_indices(500, 1)])
     assert (plan.cells(x) == plan.cells(y)).any(1).mean() > 0.99
+
+
+def test_sketches_lose_no_pair_that_places_have():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((600, 24))
+    x = np.concatenate([x, x[:300] + 0.08 * rng.standard_normal((300, 24))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    plan = nv.calibrate(1000, 24, 0.95, np.full(10, 1.41))
+    every = np.arange(len(x))
+    half = (every[::2], every[1::2])
+    for left, right, same in ((every, every, True), (*half, False)):
+        pairs = [(i, j) for a, b in nv.colliding(plan.projections(x), plan.window, nv._reach(0.95), plan.least, left, right, same) for i, j in zip(a, b, strict=True)]
+        partner = nv.with_partner(plan, plan.sketches(x), left, right, same)
+        assert pairs and all(partner[i] and partner[j] for i, j in pairs) and partner.mean() < 0.9
+
+
+@pytest.mark.parametrize("offset", [5.5, 16.0])
+def test_measured_recall_where_unrelated_vectors_are_alike(spark, offset):
+    """Ids divisible by 50 against all rows; a pair of unrelated vectors has a cosine of about 0.3 and 0.8."""
+    rng = np.random.default_rng(int(offset))
+    base = rng.standard_normal((20_000, 64)) + np.eye(64)[0] * offset
+    near = base[:10_000] + 0.2 * np.linalg.norm(base[:10_000], axis=1)[:, None] / 8 * rng.standard_normal((10_000, 64)) * rng.uniform(0.5, 1.5, (10_000, 1))
+    x = np.concatenate([base, near]).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in nv.near_vectors(frame).collect()}
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    asked = np.arange(0, len(x), 50)
+    want = (unit[asked] @ unit.T >= 0.95).sum(1) - 1
+    found = np.array([got[i] for i in asked.tolist()])
+    assert want.sum() > 100 and (found <= want).all() and found.sum() >= 0.99 * want.sum()
+
+
+def test_a_recall_that_is_not_reached_is_an_error(monkeypatch):
+    plan = nv.calibrate(10**9, 64, 0.95, np.full(100, 1.41))
+    assert plan.recall() > 0.997
+    weak = nv.Plan(64, 0.95, 17, 3, plan.lines, plan.window, plan.least)
+    assert weak.recall() < 0.7
+    monkeypatch.setattr(nv.Plan, "recall", lambda _: 0.9)
+    with pytest.raises(ValueError):
+        nv.calibrate(10**6, 64, 0.95, np.full(100, 1.41))
