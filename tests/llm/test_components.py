@@ -1,4 +1,5 @@
 import random
+import sys
 
 import pytest
 
@@ -30,3 +31,17 @@ def test_components(spark, shape):
     assert len(got) == len({r.node for r in got})
     linked = {x for e in edges for x in e if e[0] != e[1]}
     assert {r.node: r.component for r in got} == {i: root(i) for i in linked}
+
+
+def test_hubs(spark, monkeypatch):
+    module = sys.modules[components.__module__]
+    monkeypatch.setattr(module, "FEW", 3)
+    monkeypatch.setattr(module, "HUBS", 4)
+    rng = random.Random(8)
+    edges = [(rng.choice([0, 50]), rng.randrange(1, 50)) for _ in range(30)] + [(60 + i, 61 + i) for i in range(20)] + [(90, 90 + i) for i in range(1, 9)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    label = {n: n for e in edges for n in e}
+    for _ in range(60):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {n: c for n, c in got.items()} == {n: c for n, c in label.items() if n in got} and len(got) == len({n for a, b in edges if a != b for n in (a, b)})
