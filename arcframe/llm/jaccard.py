@@ -145,12 +145,12 @@ def _batch(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * rows), f.type) for f in schema], schema=schema)
 
 
-def _in_parts(df: DataFrame, kinds: dict[str, list[str]], work: Callable[[dict[str, np.ndarray]], Iterator[dict]], schema: str, passing: str | None = None, filled: bool = True) -> DataFrame:
+def _in_parts(df: DataFrame, kinds: dict[str, list[str]], work: Callable[[dict[str, np.ndarray]], Iterator[dict]], schema: str, small: bool, passing: str | None = None, filled: bool = True) -> DataFrame:
     """work on the packed rows of each partition, joined column by column. Rows whose column passing is filled, or isn't, go on as they are.
 
-    kinds names the columns of each kind of packed row under the one that says where an entry belongs. A
-    partition that HOLD bytes don't hold is cut into parts by a hash of that column, sorted by part, which
-    spills, and worked on part by part.
+    kinds names the columns of each kind of packed row under the one that says where an entry belongs. Unless
+    partitions are known to be small, one that HOLD bytes don't hold is cut into parts by a hash of that column,
+    sorted by part, which spills, and worked on part by part. That takes a second Python worker a task.
     """
     out, packed = _parsed(schema), [c for columns in kinds.values() for c in columns]
     kept = [f for f in df.schema if f.name not in packed and f.name in out.names] if passing else []
@@ -158,6 +158,28 @@ def _in_parts(df: DataFrame, kinds: dict[str, list[str]], work: Callable[[dict[s
     cut = StructType([*kept, *[StructField(c, BinaryType()) for c in packed], StructField("part", IntegerType())])
     arrow, arrow_cut = to_arrow_schema(out), to_arrow_schema(cut)
 
+    def whole_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {c: [] for c in packed}
+        for batch in batches:
+            if passing:
+                plain = pc.equal(batch.column(passing).is_valid(), filled)
+                if (through := batch.filter(plain)).num_rows:
+                    yield through.select(arrow.names).cast(arrow)
+                batch = batch.filter(pc.invert(plain))
+            for c in packed:
+                held[c] += [v for v in batch.column(c).to_pylist() if v]
+        if any(held.values()):
+            joined = {c: unpack(c, b"".join(values)) for c, values in held.items()}
+            held.clear()
+            for columns in work(joined):
+                yield _batch(columns, arrow)
+            del joined
+        release()
+
+    if small:
+        names = dict.fromkeys([*(c for c in out.names if c in df.columns), *packed, *([passing] if passing else [])])
+        return df.select(*names).mapInArrow(whole_partition, out)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {c: [] for c in packed}
         size, whole = 0, True
@@ -313,7 +335,7 @@ def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
 SHARED = 255
 
 
-def shared_entries(signed: DataFrame, buckets: int) -> DataFrame:
+def shared_entries(signed: DataFrame, buckets: int, small: bool) -> DataFrame:
     """By bucket of n-grams to by bucket of keys: key and trial of each entry whose n-gram another set's
     prefix has too. Rows without n-grams pass through: those with an id, and entries that are known to be shared."""
 
@@ -334,10 +356,10 @@ def shared_entries(signed: DataFrame, buckets: int) -> DataFrame:
             yield parts
 
     kind = signed.schema["id"].dataType.simpleString()
-    return _in_parts(signed, {"tokens": ["tokens", "keys", "trials"]}, work, f"id {kind}, n long, key long, bucket int, keys binary, trials binary", "tokens", False)
+    return _in_parts(signed, {"tokens": ["tokens", "keys", "trials"]}, work, f"id {kind}, n long, key long, bucket int, keys binary, trials binary", small, "tokens", False)
 
 
-def screen(entries: DataFrame, percent: int) -> DataFrame:
+def screen(entries: DataFrame, percent: int, small: bool) -> DataFrame:
     """key of each set that may have a partner: for every k tried, k n-grams of its prefix are shared."""
 
     def work(got: dict[str, np.ndarray]) -> Iterator[dict]:
@@ -353,10 +375,10 @@ def screen(entries: DataFrame, percent: int) -> DataFrame:
         alive = [all(matches[i, j] >= k for j, k in enumerate(trials(n[i], percent))) for i in range(len(names))]
         yield {"key": names[alive].astype(np.int64)}
 
-    return _in_parts(entries, {"keys": ["keys", "trials"], "known": ["known", "sizes"]}, work, "key long")
+    return _in_parts(entries, {"keys": ["keys", "trials"], "known": ["known", "sizes"]}, work, "key long", small)
 
 
-def frequencies(entries: DataFrame, buckets: int) -> DataFrame:
+def frequencies(entries: DataFrame, buckets: int, small: bool) -> DataFrame:
     """By bucket of n-grams to by bucket of keys: each entry whose n-gram more than one set has, with how many.
     Entries that have their frequency already pass through."""
 
@@ -374,10 +396,10 @@ def frequencies(entries: DataFrame, buckets: int) -> DataFrame:
         order = np.argsort(key, kind="stable")  # runs of a key shrink well
         yield _split(_bucket(key[order], buckets), {"tokens": token[order], "keys": key[order], "dfs": df[order]})
 
-    return _in_parts(entries, {"tokens": ["tokens", "keys"]}, work, "bucket int, tokens binary, keys binary, dfs binary", "dfs")
+    return _in_parts(entries, {"tokens": ["tokens", "keys"]}, work, "bucket int, tokens binary, keys binary, dfs binary", small, "dfs")
 
 
-def choose(entries: DataFrame, percent: int, buckets: int) -> DataFrame:
+def choose(entries: DataFrame, percent: int, buckets: int, small: bool) -> DataFrame:
     """By bucket of keys: each set picks its k, in the order of document frequency.
 
     Rows with a key: a set that may still have a partner, its size and its group. The others: postings of groups,
@@ -428,7 +450,7 @@ def choose(entries: DataFrame, percent: int, buckets: int) -> DataFrame:
             spot, at, side = spots(token[once], leads[once], df[once])
             yield _split(_bucket(spot, buckets), {"spots": spot, "leads": leads[once][at], "ks": ks[at], "least": least[at], "most": most[at], "sides": side})
 
-    return _in_parts(entries, {"keys": ["tokens", "keys", "dfs"], "known": ["known", "sizes"]}, work, "key long, n long, lead long, bucket int, spots binary, leads binary, ks binary, least binary, most binary, sides binary")
+    return _in_parts(entries, {"keys": ["tokens", "keys", "dfs"], "known": ["known", "sizes"]}, work, "key long, n long, lead long, bucket int, spots binary, leads binary, ks binary, least binary, most binary, sides binary", small)
 
 
 def spots(token: np.ndarray, lead: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -444,7 +466,7 @@ def spots(token: np.ndarray, lead: np.ndarray, df: np.ndarray) -> tuple[np.ndarr
     return spot, at, np.where(i == j, 2, mine > other).astype(np.uint8)
 
 
-def group_pairs(postings: DataFrame, percent: int) -> DataFrame:
+def group_pairs(postings: DataFrame, percent: int, small: bool) -> DataFrame:
     """a, b, matches, k: groups with common n-grams in their prefixes, a < b, as counted in one partition.
 
     Only groups that have sets of sizes that can link are paired.
@@ -491,7 +513,7 @@ def group_pairs(postings: DataFrame, percent: int) -> DataFrame:
         if held:
             yield flush()
 
-    return _in_parts(postings, {"spots": ["spots", "leads", "ks", "least", "most", "sides"]}, work, "a long, b long, matches long, k long")
+    return _in_parts(postings, {"spots": ["spots", "leads", "ks", "least", "most", "sides"]}, work, "a long, b long, matches long, k long", small)
 
 
 class Members:
@@ -660,20 +682,22 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    signed = checkpointed(shared_entries(signatures(rows, words, percent, buckets).repartitionById(buckets, "bucket"), buckets))
+    # the entries of a text take about as many bytes as the text; what isn't known to be small counts as large
+    small = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= HOLD * buckets
+    signed = checkpointed(shared_entries(signatures(rows, words, percent, buckets).repartitionById(buckets, "bucket"), buckets, small))
     every = signed.where("n is not null").select("id", "n", "key")
     sets = checkpointed(every.where("id is not null and n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n")))
     sized = _packed_sizes(sets, buckets)
     passed = signed.where("n is null").select("bucket", "keys", "trials")
-    survivors = screen(_together(passed, sized).repartitionById(buckets, "bucket"), percent)
+    survivors = screen(_together(passed, sized).repartitionById(buckets, "bucket"), percent, small)
 
     whole = checkpointed(_sets(rows.where("id is not null").join(survivors.join(sets, "key").groupBy(F.col("rep").alias("id")).agg(F.collect_list("key").alias("wanted")), "id"), words))
     hot = spark.sparkContext.broadcast(_hot(whole))
-    counted = frequencies(_entries(whole, buckets, hot).repartitionById(buckets, "bucket"), buckets)
-    chosen = checkpointed(choose(_together(counted, _packed_sizes(whole, buckets)).repartitionById(buckets, "bucket"), percent, buckets))
+    counted = frequencies(_entries(whole, buckets, hot).repartitionById(buckets, "bucket"), buckets, small)
+    chosen = checkpointed(choose(_together(counted, _packed_sizes(whole, buckets)).repartitionById(buckets, "bucket"), percent, buckets, small))
     members = chosen.where("key is not null").select("key", "n", "lead")
     postings = chosen.where("key is null").select("bucket", *POSTINGS)
-    matched = group_pairs(postings.repartitionById(buckets, "bucket"), percent).groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.min("k").alias("k"))
+    matched = group_pairs(postings.repartitionById(buckets, "bucket"), percent, small).groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.min("k").alias("k"))
     pairs = matched.where("matches >= k").select("a", "b")
     reached = components(_links(members, pairs, whole.select("key", "id", "tokens"), percent))
     named = sets.join(reached, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
