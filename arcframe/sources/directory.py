@@ -20,35 +20,67 @@ from .files import local
 SCHEMA = StructType(list(ENTRIES.fields)).add("mount_point", "boolean")
 
 
+#: Partitions of a scan: a directory is looked into on the driver as long as there are fewer. Entries of a
+#: partition at least, where all of them are known by then.
+PARTS, LEAST = 128, 32
+
+
 @dataclass
 class Subtree(InputPartition):
+    """Names below top, each with whether what lies below it belongs to it, too."""
+
     top: str
-    names: list[str]
+    names: list[tuple[str, bool]]
     part: int
 
-    def __init__(self, top: str, names: list[str], part: int) -> None:
+    def __init__(self, top: str, names: list[tuple[str, bool]], part: int) -> None:
         super().__init__(top)
         self.top, self.names, self.part = top, names, part
 
 
 class DirectoryReader(DataSourceReader):
-    """A partition for each entry of the top directory: subtrees are walked by different tasks."""
+    """Up to PARTS partitions: subtrees, or runs of them, are walked by different tasks.
+
+    The first levels are listed on the driver, no more of them than it takes to find so many entries. Partitions
+    are in the order of one walk of the tree.
+    """
 
     def __init__(self, schema: StructType, options: dict) -> None:
         self.options = {k: str(v).lower() == "true" for k, v in options.items() if k != "path"}
         self.top = local(options["path"])
 
     def partitions(self) -> list[Subtree]:
-        names = sorted(os.listdir(os.fsencode(self.top)))
-        return [Subtree(self.top, [os.fsdecode(n)], i) for i, n in enumerate(names)] or [Subtree(self.top, [], 0)]
+        items = [(name, True) for name in self._listed("")]
+        open_ = True
+        while open_ and len(items) < PARTS:
+            open_, deeper = False, []
+            for path, below in items:
+                inside = self._listed(path) if below and self._enters(path) else []
+                deeper += [(path, not inside), *((f"{path}/{name}", True) for name in inside)] if inside else [(path, below)]
+                open_ |= bool(inside)
+            items = deeper
+        # what wasn't looked into may be of any size
+        size = max(-(-len(items) // PARTS), 1 if open_ else LEAST)
+        return [Subtree(self.top, items[at : at + size], at // size) for at in range(0, len(items), size)] or [Subtree(self.top, [], 0)]
+
+    def _listed(self, path: str) -> list[str]:
+        return [os.fsdecode(n) for n in sorted(os.listdir(os.path.join(os.fsencode(self.top), os.fsencode(path))))]
+
+    def _enters(self, path: str) -> bool:
+        full = os.path.join(self.top, path)
+        try:
+            s = os.lstat(full)
+            return stat.S_ISDIR(s.st_mode) and not (self.options.get("one_filesystem") and s.st_dev != os.lstat(os.path.dirname(full)).st_dev)
+        except FileNotFoundError:
+            return False
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
-        top_device = os.lstat(partition.top).st_dev
         n = 0
-        stack = [(name, top_device) for name in partition.names]
+        stack: list[tuple[str, int | None, bool]] = [(name, None, below) for name, below in reversed(partition.names)]
         while stack:
-            path, above = stack.pop()
+            path, above, below = stack.pop()
             full = os.path.join(partition.top, path)
+            above = os.lstat(os.path.dirname(full)).st_dev if above is None else above
             try:
                 s = os.lstat(full)
             except FileNotFoundError:  # gone meanwhile
@@ -67,9 +99,8 @@ class DirectoryReader(DataSourceReader):
             rdev = (major & 0xFFF) << 8 | minor & 0xFF | (minor & 0xFFF00) << 12
             yield path, s.st_mode, s.st_uid, s.st_gid, int(s.st_mtime), size, rdev, target, False, s.st_dev, s.st_ino, partition.part << 40 | n, content, xattrs, None, foreign
             n += 1
-            if stat.S_ISDIR(s.st_mode):
-                names = sorted(os.listdir(os.fsencode(full)), reverse=True)
-                stack += [(f"{path}/{os.fsdecode(x)}", s.st_dev) for x in names]
+            if below and stat.S_ISDIR(s.st_mode):
+                stack += [(f"{path}/{name}", s.st_dev, True) for name in reversed(self._listed(path))]
 
 
 def host_xattrs(path: str) -> dict[str, bytes]:
@@ -215,6 +246,9 @@ def unpack(entries: DataFrame, target: str, times: bool = False, permissions: bo
         dressing = [c for c in columns if c != "content"]
         plain = rows.where(~F.col("hard")).select(*dressing)
         checkpointed(plain.where(~directory).mapInArrow(each(dress), out))
-        # directories in one task, the deepest first
-        checkpointed(plain.where(directory).repartition(1).sortWithinPartitions(F.size(F.split("path", "/")).desc(), "path").mapInArrow(each(dress), out))
+        # directories level by level, the deepest first; those of a level on all tasks
+        depth = F.size(F.split("path", "/"))
+        levels = sorted((r.depth for r in plain.where(directory).select(depth.alias("depth")).distinct().collect()), reverse=True)
+        for level in levels:
+            checkpointed(plain.where(directory & (depth == level)).mapInArrow(each(dress), out))
     return made.union(rest).union(linked)

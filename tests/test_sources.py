@@ -355,3 +355,23 @@ def test_first_seen_forgets_what_is_old(spark, tmp_path):
     seen = ingest.first_seen(stream, "time", "10 minutes")
     seen.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(bytes(r.data) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [b"a", b"a", b"b", b"c"]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 256])
+def test_a_scan_is_dealt_over_parts(spark, tmp_path, monkeypatch, parts):
+    """A tree under one folder: every entry once, in the order of one walk, whatever the number of partitions."""
+    monkeypatch.setattr(directory, "PARTS", parts)
+    monkeypatch.setattr(directory, "LEAST", 2)
+    for i in range(4):
+        for j in range(5):
+            (tmp_path / "top" / f"d{i}" / f"e{j}").mkdir(parents=True)
+            (tmp_path / "top" / f"d{i}" / f"e{j}" / "f").write_text("x" * j)
+    (tmp_path / "top" / "link").symlink_to("d0")
+    want = []
+    for folder, folders, files in os.walk(tmp_path):
+        want += [os.path.relpath(os.path.join(folder, n), tmp_path) for n in (*folders, *files)]
+    reader = directory.DirectoryReader(directory.SCHEMA, {"path": str(tmp_path)})
+    assert len(reader.partitions()) <= parts
+    walked = [row for part in reader.partitions() for row in reader.read(part)]
+    assert [r[0] for r in walked] == sorted(want, key=lambda p: p.split("/")) and [r[11] for r in walked] == sorted(r[11] for r in walked)
+    assert directory.scan_directory(spark, str(tmp_path)).count() == len(want)
