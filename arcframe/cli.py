@@ -1,4 +1,4 @@
-"""Command line: pack, inspect, to-tar, from-tar and diff.
+"""Command line: pack, inspect, to-tar, from-tar, diff and browse.
 
 Exit status is 0 where all went well, 1 for an error or, from diff, for differences, 2 for an error of diff.
 """
@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import argparse
 import os
+import shlex
 import sys
 from collections.abc import Sequence
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import session
@@ -106,6 +107,8 @@ def parser() -> argparse.ArgumentParser:
     for flag, name in (("-O", "no-owner"), ("-P", "no-permissions"), ("-C", "no-contents"), ("-T", "timestamps"), ("-I", "inode-num"), ("-S", "super")):
         p.add_argument(flag, f"--{name}", action="store_true")
     p.add_argument("-e", "--extract", metavar="DIRECTORY")
+    p = command("browse", "look around in an image: ls, cd, pwd, stat, cat, tree")
+    p.add_argument("image")
     return top
 
 
@@ -222,7 +225,50 @@ def compare(engine: Engine, a: argparse.Namespace) -> int:
     return 1 if rows else 0
 
 
-COMMANDS = {"pack": pack, "inspect": inspect, "to-tar": to_tar, "from-tar": from_tar, "diff": compare}
+def browse(engine: Engine, a: argparse.Namespace) -> int:
+    """A shell over an image: reads commands line by line until the input or the user ends it."""
+    place = engine.browse(a.image)
+
+    def run(name: str, path: str) -> None:
+        if name == "ls":
+            for r in place.ls(path).orderBy("name").toLocalIterator():
+                print(r.line)
+        elif name == "cd":
+            place.cd(path or "/")
+        elif name == "pwd":
+            print(place.pwd())
+        elif name == "stat":
+            for key, value in (place.stat(path).first() or Row()).asDict().items():
+                print(f"{key}: {value}")
+        elif name == "cat":
+            sys.stdout.flush()
+            sys.stdout.buffer.write(place.cat(path))
+            sys.stdout.buffer.flush()
+        elif name == "tree":
+            below = tree.subtree(place.entries.drop("content"), place._resolve(path))
+            for r in E.tree_lines(below).orderBy(E.path_key()).toLocalIterator():
+                print(r.line)
+        else:
+            print("ls, cd, pwd, stat, cat, tree [path]; exit")
+
+    while True:
+        print(f"{place.pwd()}> ", end="", flush=True) if sys.stdin.isatty() else None
+        line = sys.stdin.readline()
+        try:
+            words = shlex.split(line)
+        except ValueError as e:
+            print(e, file=sys.stderr)
+            continue
+        if not line or words[:1] == ["exit"]:
+            return 0
+        if words:
+            try:
+                run(words[0], words[1] if len(words) > 1 else "")
+            except (OSError, ValueError) as e:
+                print(f"{type(e).__name__}: {e}", file=sys.stderr)
+
+
+COMMANDS = {"browse": browse, "pack": pack, "inspect": inspect, "to-tar": to_tar, "from-tar": from_tar, "diff": compare}
 
 
 def main(argv: Sequence[str] | None = None) -> int:

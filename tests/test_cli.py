@@ -1,5 +1,6 @@
 """The command line, from a listing to an unpacked tree."""
 
+import io
 import os
 import tarfile
 
@@ -51,6 +52,15 @@ def test_converting(packed, capfd):
     assert cli.main(["diff", "-a", img, "-b", str(packed / "none.img")]) == 2
 
 
+def test_browsing(packed, capfd, monkeypatch):
+    lines = ["pwd", "ls", "cd bin", "pwd", 'cat "my tool"', 'stat "my tool"', "cd none", "cat", "nonsense", "'open", "tree /", "exit", "ls"]
+    monkeypatch.setattr("sys.stdin", io.StringIO("\n".join(lines) + "\n"))
+    assert cli.main(["browse", str(packed / "l.img")]) == 0
+    out, err = capfd.readouterr()
+    assert out.index("/\n") < out.index("bin\n") < out.index("/bin\n") < out.index("hello") < out.index("permissions: 0755") < out.index("exit") < out.index("  my tool")
+    assert "NotADirectoryError" in err and "FileNotFoundError" in err and "closing quotation" in err
+
+
 def test_sizes():
     assert [cli.size(s) for s in ("5", "8k", "1M", "2g")] == [5, 8192, 1 << 20, 2 << 30]
     for wrong in ("", "k", "x", "50%"):
