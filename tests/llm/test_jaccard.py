@@ -157,3 +157,28 @@ def test_spanning_links_connect_what_links_connect():
 
         every = [(a, b) for a in range(14) for b in range(count) if a != b and jaccard.linked(len(set(sets[a].tolist()) & set(sets[b].tolist())), len(sets[a]), len(sets[b]), 80)]
         assert set(links) <= set(every) and parts(links) == parts(every)
+
+
+def test_a_crowd_of_near_copies_and_a_common_line(spark, monkeypatch):
+    """With the constants as they are: 8000 near copies, and 20000 other documents that share a line. No task gets many of either."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for k in range(8000):
+        words = list(base)
+        words[rng.randrange(120)] = f"x{k}"
+        texts.append(" ".join(words))
+    line = " ".join(f"common{i}" for i in range(7))
+    texts += [f"{rng.randrange(10**9)} {rng.randrange(10**9)} {line} {rng.randrange(10**9)} {rng.randrange(10**9)}" for _ in range(20_000)]
+    most = []
+    verify = jaccard.verify
+
+    def watched(rows, *args, **options):
+        most.append(rows.groupBy("lead", "block", "chunk").count().agg({"count": "max"}).first()[0] or 0)
+        return verify(rows, *args, **options)
+
+    monkeypatch.setattr(jaccard, "verify", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(docs, 4, 85).collect()}
+    assert {got[i] for i in range(8000)} == {0} and all(got[i] == i for i in range(8000, 28_000))
+    assert max(most) < 1500

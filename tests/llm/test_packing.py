@@ -159,6 +159,14 @@ def test_encoder_matches_the_library(text):
 ENCODE = packing.encoder(PATH)
 
 
+def test_encoder_matches_the_library_for_every_character():
+    """All code points up to U+3FFFF, between letters, digits, blanks and line ends."""
+    codes = [c for c in range(0x40000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(codes), 128):
+        text = "".join(f"a{chr(c)} {chr(c)}1{chr(c)}{chr(c)}\n{chr(c)}'s" for c in codes[start : start + 128])
+        assert ENCODE(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, hex(codes[start])
+
+
 def test_other_vocabularies_go_through_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     assert packing.encoder(path)("Some words").tolist() == Tokenizer.from_file(path).encode("Some words", add_special_tokens=False).ids
