@@ -16,11 +16,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_batches
 
 #: Hashed n-gram features, orders of the n-grams, and the labelled rows that the model is fitted on at most (about).
 FEATURES, ORDERS, TRAIN_ROWS, TRAIN_PER_LANGUAGE = 4096, 4, 2400, 400
+#: Rows of a language that are always taken if they are drawn.
+SPARE = 50
 #: Weight decay of the classifiers, sharpness of the score, and the score below which a text is ambiguous.
 DECAY, SHARPNESS, AMBIGUOUS = 0.05, 4.0, 0.5
 UNKNOWN = "und"
@@ -122,7 +125,8 @@ def train(rows: DataFrame, seed: int = 3, total: int = TRAIN_ROWS, each: int = T
     """A model from a bounded sample of rows (id, text, lang): about min(each, total / languages) of each language.
 
     Which rows are drawn is a seeded hash of the id. Executors turn texts into features; the driver gets
-    a vector of fixed length for each sampled row.
+    a vector of fixed length for each sampled row, of no language more than twice as many as meant and SPARE: an
+    id that very many rows have may be drawn with all of them.
     """
     rows = rows.where("lang is not null and text is not null")
     per_language = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -139,7 +143,9 @@ def train(rows: DataFrame, seed: int = 3, total: int = TRAIN_ROWS, each: int = T
 
         return each_batch
 
-    got = map_batches(rows.where(draw).select("text", "lang"), make, "lang string, x binary").collect()
+    drawn = map_batches(rows.where(draw).select("text", "lang"), make, "lang string, x binary")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("x")))  # cut on the map side first
+    got = drawn.withColumn("place", place).where(F.col("place") <= 2 * quota + SPARE).select("lang", "x").collect()
     got.sort(key=lambda r: (r.lang, bytes(r.x)))  # the same model in any order of partitions
     x = np.array([np.frombuffer(r.x, np.float16) for r in got], np.float64).reshape(len(got), FEATURES)
     return fit(x, [r.lang for r in got])

@@ -81,3 +81,15 @@ def test_pieces_count_as_the_whole(monkeypatch):
     whole = langid.features(text)
     monkeypatch.setattr(langid, "PIECE", 97)
     assert np.allclose(langid.features(text), whole)
+
+
+def test_the_sample_is_bounded_where_one_id_has_very_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SPARE", 3)
+    sizes = []
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda x, labels: sizes.append(len(labels)) or fit(x, labels))
+    # an id that the seed draws
+    hot = spark.range(5000).where("pmod(xxhash64(3, id), 1048576) < 1048576 * 10 / 1500").first().id
+    rows = [(hot if i % 3 else 10_000 + i, f"word{i} and text number {i}", "en" if i % 2 else "de") for i in range(3000)]
+    langid.train(spark.createDataFrame(rows, "id long, text string, lang string"), 3, total=20, each=10)
+    assert sizes == [2 * (2 * 10 + 3)]
