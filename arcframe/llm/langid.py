@@ -27,6 +27,8 @@ SPARE = 50
 #: Weight decay of the classifiers, sharpness of the score, and the score below which a text is ambiguous.
 DECAY, SHARPNESS, AMBIGUOUS = 0.05, 4.0, 0.5
 UNKNOWN = "und"
+#: Features that the fit turns into double precision at a time.
+BLOCK = 256
 #: Longer texts are counted piece by piece, the pieces overlapping by an n-gram.
 PIECE = 1 << 20
 
@@ -100,7 +102,10 @@ class Model:
 
 
 def fit(x: np.ndarray, labels: list[str]) -> Model:
-    """Ridge regression of each bit, the bias apart; a bit's trust for a language is the share it gets right there."""
+    """Ridge regression of each bit, the bias apart; a bit's trust for a language is the share it gets right there.
+
+    x stays as it is, in half precision or more; only a block of its columns at a time is centred and weighted.
+    """
     languages = sorted(set(labels))
     code = codewords(len(languages))
     index = np.array([languages.index(v) for v in labels], int)
@@ -109,14 +114,33 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
     # languages count alike, however many rows each has
     weight = 1 / np.bincount(index)[index]
     weight = weight / weight.mean()
-    mean = (weight[:, None] * x).sum(0) / weight.sum()
     root = np.sqrt(weight)[:, None]
-    centred, y = (x - mean) * root, code[index]
+    y = code[index]
     offset = (weight[:, None] * y).sum(0) / weight.sum()
-    gram = centred @ centred.T
-    w = centred.T @ np.linalg.solve(gram + DECAY * np.eye(len(x)), (y - offset) * root)
+    mean = np.zeros(x.shape[1])
+
+    def centred() -> Iterator[tuple[slice, np.ndarray]]:
+        for start in range(0, x.shape[1], BLOCK):
+            at = slice(start, start + BLOCK)
+            part = x[:, at].astype(np.float64)
+            mean[at] = weight @ part / weight.sum()
+            part -= mean[at]
+            part *= root
+            yield at, part
+
+    gram = np.zeros((len(x), len(x)))
+    for _, part in centred():
+        gram += part @ part.T
+    gram[np.diag_indices(len(x))] += DECAY
+    dual = np.linalg.solve(gram, (y - offset) * root)
+    margins = gram @ dual  # of the centred rows, with what decay adds
+    margins -= DECAY * dual
+    del gram
+    w = np.zeros((x.shape[1], code.shape[1]))
+    for at, part in centred():
+        w[at] = part.T @ dual
     bias = offset - mean @ w
-    right = (x @ w + bias) * y > 0
+    right = (margins / root + offset) * y > 0
     trust = np.stack([right[index == k].mean(0) for k in range(len(languages))]) + 1e-6
     return Model(languages, code, w.astype(np.float32), bias, trust / trust.sum(1, keepdims=True))
 
@@ -147,8 +171,11 @@ def train(rows: DataFrame, seed: int = 3, total: int = TRAIN_ROWS, each: int = T
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("x")))  # cut on the map side first
     got = drawn.withColumn("place", place).where(F.col("place") <= 2 * quota + SPARE).select("lang", "x").collect()
     got.sort(key=lambda r: (r.lang, bytes(r.x)))  # the same model in any order of partitions
-    x = np.array([np.frombuffer(r.x, np.float16) for r in got], np.float64).reshape(len(got), FEATURES)
-    return fit(x, [r.lang for r in got])
+    labels, x = [r.lang for r in got], np.empty((len(got), FEATURES), np.float16)
+    for k, r in enumerate(got):
+        x[k] = np.frombuffer(r.x, np.float16)
+    del got
+    return fit(x, labels)
 
 
 def held_out(id_col: str) -> Column:

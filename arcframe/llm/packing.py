@@ -28,6 +28,8 @@ from .tokencount import PATTERN, is_byte_level
 CAPACITY, SEPARATOR = 2048, 0
 #: Nodes that the search looks at unless told otherwise; with None it goes on until the result is proven least.
 NODES = 1000
+#: Branches of the search, the deepest ones, whose tables of sums are held; those of others are made again when it is back.
+HELD = 16
 
 Plan = list[tuple[tuple[int, ...], int]]  # lengths of a sequence, in descending order, and how many sequences have them
 
@@ -118,18 +120,20 @@ def fillings(left: dict[int, int], first: int, capacity: int, waste: int, after:
             k *= 2
         reach.append(sums)
 
-    def made(i: int, target: int, chosen: Filling) -> Iterator[Filling]:
-        """Fillings of exactly target from the i smallest lengths, the largest first."""
+    def made(i: int, target: int, chosen: Filling, before: Filling | None) -> Iterator[Filling]:
+        """Fillings of exactly target from the i smallest lengths, the largest first; of them those that come after before."""
         if not target:
-            yield chosen
+            if before is None:
+                yield chosen
             return
-        i = min(i, bisect_right(sizes, target))
+        i = min(i, bisect_right(sizes, min(target, before[0]) if before else target))
         while i and reach[i] >> target & 1:
             i -= 1
             s = sizes[i]
-            for k in range(min(have[s], target // s), 0, -1):
+            same = before.count(s) if before and before[0] == s else 0
+            for k in range(min(have[s], target // s, same or target), 0, -1):
                 if reach[i] >> target - k * s & 1:
-                    yield from made(i, target - k * s, chosen + (s,) * k)
+                    yield from made(i, target - k * s, chosen + (s,) * k, before[k:] if before and k == same else None)
 
     def dominated(filling: Filling, slack: int) -> bool:
         spare = lambda low, high: any(have[s] > filling.count(s) for s in sizes[bisect_right(sizes, low) : bisect_right(sizes, high)])
@@ -138,9 +142,7 @@ def fillings(left: dict[int, int], first: int, capacity: int, waste: int, after:
 
     for wasted in range(after[0] if after else 0, min(room, waste) + 1):
         if reach[-1] >> room - wasted & 1:
-            for filling in made(len(sizes), room - wasted, ()):
-                if after and wasted == after[0] and filling >= after[1]:
-                    continue
+            for filling in made(len(sizes), room - wasted, (), after[1] if after and wasted == after[0] else None):
                 if not dominated(filling, wasted):
                     yield filling
 
@@ -162,19 +164,29 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     left, weight, used, spent = dict(counts), sum(s * n for s, n in counts.items()), 0, 0
     stack: list[tuple[Filling, int]] = []
 
-    def options(after: tuple[int, Filling] | None) -> Iterator[tuple[Filling, int, tuple[int, Filling]]]:
-        """Sequences for the largest length left, how many of them, and the filling in the order."""
+    def options(after: tuple[int, Filling] | None, last: tuple[Filling, int] | None = None) -> Iterator[tuple[Filling, int]]:
+        """Sequences for the largest length left and how many of them, in order; with last, those that follow it."""
         largest = max(left)
-        # what a packing with one sequence less than the incumbent can still waste
-        for filling in fillings(dict(left), largest, capacity, (best - 1 - used) * capacity - weight, after):
-            lengths = (largest, *filling)
-            needs = Counter(lengths).items()
+
+        def times(lengths: Filling, most: int) -> Iterator[tuple[Filling, int]]:
             wasted = capacity - sum(lengths)
-            for n in range(min(left[s] // k for s, k in needs), 0, -1):
+            for n in range(most, 0, -1):
+                # what a packing with one sequence less than the incumbent can still waste
                 if n * wasted <= (best - 1 - used) * capacity - weight:
-                    yield lengths, n, (wasted, filling)
+                    yield lengths, n
+
+        if last:
+            lengths, n = last
+            yield from times(lengths, n - 1)
+            after = place(lengths)
+        for filling in fillings(left, largest, capacity, (best - 1 - used) * capacity - weight, after):
+            lengths = (largest, *filling)
+            yield from times(lengths, min(left[s] // k for s, k in Counter(lengths).items()))
+
+    def place(lengths: Filling) -> tuple[int, Filling]:
+        return capacity - sum(lengths), lengths[1:]
 
-    frames = [options(None)]
+    frames: list[Iterator[tuple[Filling, int]] | None] = [options(None)]
     while frames and best > bound and (nodes is None or spent < nodes):
         option = next(frames[-1], None)
         if option is None:
@@ -185,9 +197,11 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
                     left[s] = left.get(s, 0) + n
                 weight += n * sum(lengths)
                 used -= n
+                if frames[-1] is None:
+                    frames[-1] = options(None, (lengths, n))
             continue
         spent += 1
-        lengths, n, place = option
+        lengths, n = option
         for s in lengths:
             left[s] -= n
             if not left[s]:
@@ -201,7 +215,9 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
         if not left or used + lower_bound(left, capacity) >= best:
             frames.append(iter(()))  # the next turn takes it back
         else:
-            frames.append(options(place if lengths[0] in left else None))
+            frames.append(options(place(lengths) if lengths[0] in left else None))
+        if len(frames) > HELD:
+            frames[-1 - HELD] = None  # stack has the option that it gave last
     merged: Counter = Counter()
     for lengths, n in incumbent:
         merged[tuple(sorted(lengths, reverse=True))] += n

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -31,6 +32,27 @@ def test_held_out_accuracy(spark, n):
     assert np.mean([got[i].lang_pred == truth[i] for i in held]) > 0.97 and held
 
 
+def test_the_fit_is_ridge_regression_in_little_memory():
+    rng = np.random.default_rng(2)
+    labels = [["aa", "bb", "cc"][k] for k in rng.choice(3, 800, p=[0.6, 0.3, 0.1])]
+    x = rng.random((800, langid.FEATURES)) + 0.1 * np.array([ord(v[0]) - 97 for v in labels])[:, None] * (np.arange(langid.FEATURES) % 7 == 0)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float16)
+    tracemalloc.start()
+    model = langid.fit(x, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
+    # rows weighted so that languages count alike, centred; a point where the gradient is zero
+    weight = np.array([800 / 3 / labels.count(v) for v in labels])
+    y = model.code[[model.languages.index(v) for v in labels]]
+    wide = x.astype(float)
+    error = weight[:, None] * (y - wide @ model.weights - model.bias)
+    assert np.abs(error.sum(0)).max() < 1e-2 and np.abs((wide - np.average(wide, 0, weight)).T @ error - langid.DECAY * model.weights).max() < 1e-3
+    right = (wide @ model.weights + model.bias) * y > 0
+    share = np.stack([right[[v == k for v in labels]].mean(0) for k in model.languages]) + 1e-6
+    assert np.allclose(model.trust, share / share.sum(1, keepdims=True))
+
+
 def test_predictions_depend_on_text_alone(spark):
     docs = labelled(spark, ["aa", "bb", "ee"])
     first = {r.doc_id: r.lang_pred for r in langid.identify_languages(docs).collect()}

@@ -1,5 +1,6 @@
 import functools
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import accumulate
@@ -111,6 +112,37 @@ def test_large_histograms_take_as_long_as_small_ones():
     assert sum(n for _, n in plan) <= bound * 1.01 and len(plan) < 50_000
 
 
+def test_a_deep_search_holds_few_tables():
+    rng = random.Random(7)
+    counts = {rng.randrange(400, 2049): rng.randrange(1, 30) for _ in range(1500)}
+    tracemalloc.start()
+    plan, bound = packing.bin_completion(counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for _, n in plan) > bound and peak < 6 << 20  # it went on to its limit
+
+
+def test_branches_made_again_are_the_same(monkeypatch):
+    rng = random.Random(8)
+    for _ in range(60):
+        counts, nodes = {rng.randrange(1, 101): rng.randrange(1, 6) for _ in range(rng.randrange(5, 30))}, rng.choice([20, 300])
+        found = []
+        for held in (1, 2, 1 << 30):
+            monkeypatch.setattr(packing, "HELD", held)
+            found.append(packing.bin_completion(counts, 100, nodes))
+        assert found[0] == found[1] == found[2]
+
+
+def test_fillings_after_one():
+    rng = random.Random(9)
+    for _ in range(100):
+        left = {rng.randrange(1, 20): rng.randrange(1, 4) for _ in range(8)}
+        room = 40 - (first := max(left))
+        every = list(packing.fillings(left, first, 40, room))
+        for i, one in enumerate(every):
+            assert list(packing.fillings(left, first, 40, room, (room - sum(one), one))) == every[i + 1 :]
+
+
 def check_rows(rows, texts):
     ids = [np.array([*LIBRARY.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for t in texts]
     by_doc, by_sequence = {}, {}
