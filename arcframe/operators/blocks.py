@@ -157,7 +157,11 @@ def pack_tails(blocks: DataFrame, block_size: int) -> DataFrame:
     bytes used in the open block: each range says how it ends for every such number, a few steps, the steps
     of all ranges are put together, and each range then places its own tails.
     """
-    all_tails = checkpointed(distinct_tails(blocks))
+    return place_tails(checkpointed(distinct_tails(blocks)), block_size)
+
+
+def place_tails(all_tails: DataFrame, block_size: int) -> DataFrame:
+    """As ``pack_tails``, from tails (path, seq, size, first_seq) that are already told apart."""
     kept = all_tails.where(F.col("seq") == F.col("first_seq")).select("seq", "size")
     parts = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = checkpointed(kept.repartitionByRange(parts, "seq").sortWithinPartitions("seq").select("seq", "size", F.spark_partition_id().alias("part")))

@@ -13,6 +13,8 @@ import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
+from heapq import heappop, heappush
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +23,15 @@ from pyspark.sql.types import LongType, StringType, StructType
 
 from .. import schemas
 from ..functions import modes
-from ..functions.codecs import IDS, NAMES, Codec, codec, unpack_options
+from ..functions.codecs import IDS, NAMES, Codec, codec, few_at_a_time, unpack_options
 from ..functions.text import PREFIXES
 from .files import expand, local
 
 # The super block, metadata blocks, sentinels and flags.
 MAGIC, SUPER, META, NONE32, NONE64, RAW_META, RAW_BLOCK = 0x73717368, struct.Struct("<IIIIIHHHHHHQQQQQQQQ"), 8192, 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF, 0x8000, 1 << 24
 NO_FRAGMENTS, ALWAYS_FRAGMENTS, DUPLICATES, EXPORTABLE, NO_XATTRS, OPTIONS, RAW_FRAGMENTS = 0x0010, 0x0020, 0x0040, 0x0080, 0x0200, 0x0400, 0x0008
+#: A row of the tables of fragments and of attribute sets.
+ROW = struct.Struct("<QII")
 DIR, REG, LNK, BLK, CHR, FIFO, SOCK = range(1, 8)
 TYPE_BITS = {DIR: modes.DIRECTORY, REG: modes.FILE, LNK: modes.LINK, BLK: modes.BLOCK, CHR: modes.CHARACTER, FIFO: modes.FIFO, SOCK: modes.SOCKET}
 BITS_TYPE = {v: k for k, v in TYPE_BITS.items()}
@@ -87,6 +91,19 @@ class Inode:
         return False
 
 
+@dataclass
+class Unit:
+    """A part of a walk: entries of some runs of a directory ("list"), or all that is in the directories among them ("below")."""
+
+    what: str
+    path: str
+    ref: int
+    at: tuple[int, int, int]
+    runs: int
+    above: tuple[int, ...]
+    weight: int
+
+
 # --- reading --------------------------------------------------------------------------------------------------------
 
 
@@ -149,13 +166,19 @@ class Image:
     def table(self, location: int, size: int) -> bytes:
         """A lookup table of size bytes whose list of blocks stands at location."""
         count = -(-size // META)
-        out = b""
-        for at in struct.unpack(f"<{count}Q", self._at(location, 8 * count)):
-            out += self._meta(at)[0]
+        out = b"".join(self._meta(at)[0] for at in struct.unpack(f"<{count}Q", self._at(location, 8 * count)))
         if len(out) < size:
             raise ImageError("a lookup table is too short")
         return out[:size]
 
+    def _looked_up(self, location: int, index: int, form: struct.Struct) -> tuple:
+        """One row of a lookup table, the others left where they are."""
+        block, at = divmod(index * form.size, META)
+        data = self._meta(struct.unpack("<Q", self._at(location + 8 * block, 8))[0])[0]
+        if at + form.size > len(data):
+            raise ImageError("a lookup table is too short")
+        return form.unpack_from(data, at)
+
     @cached_property
     def ids(self) -> list[int]:
         n = self.super["id_count"]
@@ -174,21 +197,21 @@ class Image:
         return [] if self.super["export_table"] == NONE64 else list(struct.unpack(f"<{n}Q", self.table(self.super["export_table"], 8 * n)))
 
     @cached_property
-    def _xattr_sets(self) -> tuple[int, list[tuple[int, int, int]]]:
+    def _xattr_sets(self) -> tuple[int, int]:
+        """Where the pairs of attribute sets start, and the number of sets."""
         at = self.super["xattr_table"]
         if at == NONE64 or self.super["flags"] & NO_XATTRS:
-            return 0, []
-        start, count, _ = struct.unpack("<QII", self._at(at, 16))
-        return start, list(struct.iter_unpack("<QII", self.table(at + 16, 16 * count)))
+            return 0, 0
+        return struct.unpack("<QI", self._at(at, 12))
 
     def xattrs(self, index: int) -> list[tuple[str, bytes]]:
         """The pairs of a set."""
         if index == NONE32:
             return []
         start, sets = self._xattr_sets
-        if index >= len(sets):
+        if index >= sets:
             raise ImageError("there is no such attribute set", -8)
-        ref, count, _ = sets[index]
+        ref, count, _ = self._looked_up(self.super["xattr_table"] + 16, index, ROW)
         cursor, out = self.cursor(start, ref >> 16, ref & 0xFFFF), []
         for _ in range(count):
             kind, size = struct.unpack("<HH", cursor.read(4))
@@ -240,36 +263,72 @@ class Image:
             i.xattr = struct.unpack("<I", c.read(4))[0] if extended else NONE32
         return i
 
-    def inodes(self) -> Iterator[Inode]:
-        """All inodes in the order of the table."""
+    def inodes(self, ref: int = 0, count: int | None = None) -> Iterator[Inode]:
+        """All inodes in the order of the table, or count of them from one on."""
         base = self.super["inode_table"]
-        c = self.cursor(base, 0, 0)
-        for _ in range(self.super["inode_count"]):
+        c = self.cursor(base, ref >> 16, ref & 0xFFFF)
+        for _ in range(self.super["inode_count"] if count is None else count):
             yield self._inode(c, c.position())
 
-    def directory(self, inode: Inode) -> Iterator[tuple[bytes, int, int, int]]:
-        """(name, inode number, inode reference, type) of the entries of a directory."""
-        left = inode.size - 3
+    def marks(self, every: int) -> Iterator[tuple[int, int]]:
+        """(reference, number of inodes) of parts of the inode table, of every inodes each. Only lengths are looked at."""
+        c, n, size = self.cursor(self.super["inode_table"], 0, 0), self.super["inode_count"], self.super["block_size"]
+        for at in range(n):
+            if at % every == 0:
+                yield c.position(), min(every, n - at)
+            kind = struct.unpack_from("<H", c.read(16))[0]
+            if kind == 2:
+                _, fragment, _, length = struct.unpack("<IIII", c.read(16))
+            elif kind == 9:
+                _, length, _, _, fragment = struct.unpack_from("<QQQII", c.read(40))
+            elif kind in (3, 10):
+                c.skip(struct.unpack("<II", c.read(8))[1] + 4 * (kind == 10))
+                continue
+            elif kind == 8:
+                for _ in range(struct.unpack_from("<H", c.read(24), 16)[0]):
+                    c.skip(struct.unpack_from("<I", c.read(12), 8)[0] + 1)
+                continue
+            else:
+                if not 1 <= kind <= 14:
+                    raise ImageError("an inode's type is unknown")
+                c.skip({1: 16, 4: 8, 5: 8, 6: 4, 7: 4, 11: 12, 12: 12, 13: 8, 14: 8}[kind])
+                continue
+            c.skip(4 * (length // size if fragment != NONE32 else -(-length // size)))
+
+    def runs(self, inode: Inode, at: tuple[int, int, int] | None = None) -> Iterator[tuple[tuple[int, int, int], list[tuple[bytes, int, int, int]]]]:
+        """The runs of a directory, each with its place, from which another reader may go on: (block, offset, bytes left)."""
+        left = inode.size - 3 if at is None else at[2]
         if left <= 0:
             return
-        c = self.cursor(self.super["directory_table"], inode.dir_start, inode.dir_offset)
+        base = self.super["directory_table"]
+        c = self.cursor(base, inode.dir_start, inode.dir_offset) if at is None else self.cursor(base, at[0], at[1])
         while left > 0:
+            ref = c.position()
+            place = ref >> 16, ref & 0xFFFF, left
             count, start, number = struct.unpack("<III", c.read(12))
             if count >= RUN_ENTRIES:
                 raise ImageError("a directory run is too long")
             left -= 12
+            run = []
             for _ in range(count + 1):
                 offset, delta, kind, size = struct.unpack("<HhHH", c.read(8))
                 name = c.read(size + 1)
                 left -= 9 + size
-                yield name, number + delta, start << 16 | offset, kind
+                run.append((name, number + delta, start << 16 | offset, kind))
+            yield place, run
         if left < 0:
             raise ImageError("a directory run leaves its listing")
 
+    def directory(self, inode: Inode) -> Iterator[tuple[bytes, int, int, int]]:
+        """(name, inode number, inode reference, type) of the entries of a directory."""
+        for _, run in self.runs(inode):
+            yield from run
+
     def _read_fragment(self, index: int) -> bytes:
-        if index >= len(self.fragments):
+        n, at = self.super["fragment_count"], self.super["fragment_table"]
+        if index >= n or at == NONE64 or self.super["flags"] & NO_FRAGMENTS:
             raise ImageError("there is no such fragment", -8)
-        start, word = self.fragments[index]
+        start, word, _ = self._looked_up(at, index, ROW)
         data = self._at(start, word & (RAW_BLOCK - 1))
         return data if word & RAW_BLOCK else self.codec.decompress(data, self.super["block_size"])
 
@@ -305,23 +364,80 @@ class Image:
         """(path, inode, inode number of the directory) of the tree, names in order; loops are refused."""
         root = self.inode(self.super["root_ref"])
         yield "", root, 0
-        stack = [("", root, frozenset([root.number]))]
+        yield from self._below([("", root, frozenset([root.number]))])
+
+    def _below(self, stack: list[tuple[str, Inode, frozenset[int]]]) -> Iterator[tuple[str, Inode, int]]:
+        """What is in directories (path, inode, numbers on the way), the last of them first."""
         while stack:
             path, directory, above = stack.pop()
             inner = []
-            for name, number, ref, kind in self.directory(directory):
-                text = name.decode("utf-8", "surrogateescape")
-                if text in ("", ".", "..") or "/" in text:
-                    raise ImageError(f"{text!r} isn't a name")
-                full = f"{path}/{text}" if path else text
+            for full, number, ref, kind in self._named(path, self.directory(directory)):
                 child = self.inode(ref)
                 yield full, child, directory.number
                 if kind == DIR:
-                    if number in above:
-                        raise ImageError(f"{full!r} leads back to a directory above it", -14)
-                    inner.append((full, child, above | {number}))
+                    inner.append(self._inner(full, child, number, above))
             stack += reversed(inner)
 
+    def _named(self, path: str, entries: Iterable[tuple[bytes, int, int, int]]) -> Iterator[tuple[str, int, int, int]]:
+        for name, number, ref, kind in entries:
+            text = name.decode("utf-8", "surrogateescape")
+            if text in ("", ".", "..") or "/" in text:
+                raise ImageError(f"{text!r} isn't a name")
+            yield f"{path}/{text}" if path else text, number, ref, kind
+
+    def _inner(self, full: str, child: Inode, number: int, above: frozenset[int]) -> tuple[str, Inode, frozenset[int]]:
+        if number in above:
+            raise ImageError(f"{full!r} leads back to a directory above it", -14)
+        return full, child, above | {number}
+
+    def plan(self, most: int) -> list[Unit]:
+        """The walk in units that follow one another, some times most of them: pieces of listings, and what is below them.
+
+        Directories are opened level by level until there are enough; where a listing is long it is cut at its runs.
+        """
+        root = self.inode(self.super["root_ref"])
+        out: list[Unit | tuple[str, Inode, frozenset[int]]] = [("", root, frozenset([root.number]))]
+        while True:
+            opened, grown, more = [], 0, False
+            for one in out:
+                if isinstance(one, Unit):
+                    opened.append(one)
+                    continue
+                path, directory, above = one
+                places: list[tuple[tuple[int, int, int], int, int]] = []  # of a run, its entries, its directories
+                for place, run in self.runs(directory):
+                    places.append((place, len(run), sum(kind == DIR for *_, kind in run)))
+                entries, inside = sum(n for _, n, _ in places), sum(d for *_, d in places)
+                opened += self._pieces("list", path, directory, above, places, max(2048, entries // most))
+                if inside and grown + inside <= most:
+                    opened += [self._inner(full, self.inode(ref), number, above) for full, number, ref, kind in self._named(path, self.directory(directory)) if kind == DIR]
+                    more = True
+                elif inside:
+                    opened += self._pieces("below", path, directory, above, [(p, d, d) for p, _, d in places], max(1, inside // most))
+                grown += inside
+            out = opened
+            if not more:
+                return out
+
+    def _pieces(self, what: str, path: str, directory: Inode, above: frozenset[int], places: list[tuple[tuple[int, int, int], int, int]], size: int) -> list[Unit]:
+        out, first, runs, weight = [], None, 0, 0
+        for place, n, _ in places:
+            first = first or place
+            runs, weight = runs + 1, weight + n
+            if weight >= size:
+                out.append(Unit(what, path, directory.ref, first, runs, tuple(above), weight))
+                first, runs, weight = None, 0, 0
+        return out + [Unit(what, path, directory.ref, first, runs, tuple(above), weight)] * bool(weight)
+
+    def walk_unit(self, unit: Unit) -> Iterator[tuple[str, Inode, int]]:
+        directory, above = self.inode(unit.ref), frozenset(unit.above)
+        found = (e for _, run in islice(self.runs(directory, unit.at), unit.runs) for e in run)
+        for full, number, ref, kind in self._named(unit.path, found):
+            if unit.what == "list":
+                yield full, self.inode(ref), directory.number
+            elif kind == DIR:
+                yield from self._below([self._inner(full, self.inode(ref), number, above)])
+
     def find(self, path: str) -> Inode:
         """The inode at a path, component by component."""
         inode = self.inode(self.super["root_ref"])
@@ -354,6 +470,10 @@ class Cursor:
                 self.at, self.offset = following, 0
         return out
 
+    def skip(self, n: int) -> None:
+        while n > 0:
+            n -= len(self.read(min(n, META)))
+
     def position(self) -> int:
         """Reference of what is read next."""
         data, following = self.image._meta(self.at)
@@ -391,8 +511,8 @@ class MetaWriter:
         return bytes(self.out)
 
 
-def encode_inode(i: Inode) -> bytes:
-    extended = i.needs_extended()
+def encode_inode(i: Inode, extended: bool = False) -> bytes:
+    extended = extended or i.needs_extended()
     out = struct.pack("<HHHHII", i.basic + 7 * extended, i.mode & modes.PERMISSIONS, i.uid_index, i.gid_index, i.mtime, i.number)
     if i.basic == DIR:
         if extended:
@@ -444,6 +564,20 @@ class Packed:
     blocks: list[tuple[bytes, bool, int]]
     tail: bytes = b""
 
+    @property
+    def words(self) -> list[int]:
+        return [0 if not data else len(data) | (0 if compressed else RAW_BLOCK) for data, compressed, _ in self.blocks]
+
+    @classmethod
+    def of(cls, stored: bytes, words: list[int], size: int, tail: bytes, block_size: int) -> Packed:
+        """The same from the stored bytes one after another, their words, and the size of the file."""
+        out, at, left = [], 0, size - len(tail)
+        for word in words:
+            n = word & (RAW_BLOCK - 1)
+            out.append((stored[at : at + n], bool(n) and not word & RAW_BLOCK, min(left, block_size)))
+            at, left = at + n, left - block_size
+        return cls(out, tail)
+
 
 def cut(content: bytes, codec: Codec, block_size: int, tails: bool) -> Packed:
     whole = len(content) // block_size * block_size if tails else len(content)
@@ -458,11 +592,66 @@ def cut(content: bytes, codec: Codec, block_size: int, tails: bool) -> Packed:
     return Packed(out, content[whole:])
 
 
-class ImageBuilder:
+class TableWriter:
+    """Writes lookup tables and attribute sets at a file's place."""
+
+    def __init__(self, file, codec: Codec) -> None:
+        self.file, self.codec = file, codec
+
+    def _table(self, data: bytes) -> int:
+        blocks = []
+        for at in range(0, len(data), META):
+            one = MetaWriter(self.codec)
+            one.write(data[at : at + META])
+            blocks.append(self.file.tell())
+            self.file.write(one.finish())
+        here = self.file.tell()
+        self.file.write(struct.pack(f"<{len(blocks)}Q", *blocks))
+        return here
+
+    def _xattrs(self, sets: list[tuple]) -> int:
+        start = self.file.tell()
+        pairs, table, places = MetaWriter(self.codec), b"", {}
+        uses: dict[bytes, int] = {}
+        for one in sets:
+            for _, value in one:
+                uses[value] = uses.get(value, 0) + 1
+        for one in sets:
+            block, offset = pairs.position()
+            size = 0
+            for key, value in one:
+                prefix = next((n for n, p in enumerate(PREFIXES) if key.startswith(p) and len(key) > len(p)), None)
+                if prefix is None:
+                    raise ImageError(f"an image can't hold the attribute {key!r}", -6)
+                name = key[len(PREFIXES[prefix]) :].encode("utf-8", "surrogateescape")
+                refer = value in places
+                data = struct.pack("<HH", prefix | (OUT_OF_LINE if refer else 0), len(name)) + name
+                pairs.write(data)
+                if len(value) > INLINE and uses[value] > 1 and not refer:
+                    b, o = pairs.position()
+                    places[value] = b << 16 | o
+                held = struct.pack("<IQ", 8, places[value]) if refer else struct.pack("<I", len(value)) + value
+                pairs.write(held)
+                size += len(data) + len(held)
+            table += struct.pack("<QII", block << 16 | offset, len(one), size)
+        self.file.write(pairs.finish())
+        blocks = []
+        for at in range(0, len(table), META):
+            one = MetaWriter(self.codec)
+            one.write(table[at : at + META])
+            blocks.append(self.file.tell())
+            self.file.write(one.finish())
+        here = self.file.tell()
+        self.file.write(struct.pack("<QII", start, len(sets), 0) + struct.pack(f"<{len(blocks)}Q", *blocks))
+        return here
+
+
+class ImageBuilder(TableWriter):
     """Builds an image from entries that come in any order; nothing but the tables and the open fragment stays in memory."""
 
     def __init__(self, file, codec: Codec, mtime: int = 0, exportable: bool = False, tails: bool = True, device_block: int = 4096) -> None:
-        self.file, self.codec, self.size, self.mtime, self.exportable, self.tails, self.device_block = file, codec, codec.block_size, mtime, exportable, tails, device_block
+        super().__init__(file, codec)
+        self.size, self.mtime, self.exportable, self.tails, self.device_block = codec.block_size, mtime, exportable, tails, device_block
         self.file.write(bytes(SUPER.size))
         self.options = codec.pack_options()
         if self.options is not None:
@@ -486,7 +675,7 @@ class ImageBuilder:
     def _store(self, packed: Packed) -> dict:
         from hashlib import sha256
 
-        words = [0 if not data else len(data) | (0 if compressed else RAW_BLOCK) for data, compressed, _ in packed.blocks]
+        words = packed.words
         out = {"size": sum(n for *_, n in packed.blocks) + len(packed.tail), "sparse": sum(n for data, _, n in packed.blocks if not data), "words": words, "start": 0, "fragment": NONE32, "offset": 0}
         key = tuple(sha256(data).digest() for data, *_ in packed.blocks if data)
         if key and key in self.stored:
@@ -641,53 +830,6 @@ class ImageBuilder:
         if len(entries) >= INDEXED_ENTRIES:
             i.index = runs
 
-    def _table(self, data: bytes) -> int:
-        blocks = []
-        for at in range(0, len(data), META):
-            one = MetaWriter(self.codec)
-            one.write(data[at : at + META])
-            blocks.append(self.file.tell())
-            self.file.write(one.finish())
-        here = self.file.tell()
-        self.file.write(struct.pack(f"<{len(blocks)}Q", *blocks))
-        return here
-
-    def _xattrs(self, sets: list[tuple]) -> int:
-        start = self.file.tell()
-        pairs, table, places = MetaWriter(self.codec), b"", {}
-        uses: dict[bytes, int] = {}
-        for one in sets:
-            for _, value in one:
-                uses[value] = uses.get(value, 0) + 1
-        for one in sets:
-            block, offset = pairs.position()
-            size = 0
-            for key, value in one:
-                prefix = next((n for n, p in enumerate(PREFIXES) if key.startswith(p) and len(key) > len(p)), None)
-                if prefix is None:
-                    raise ImageError(f"an image can't hold the attribute {key!r}", -6)
-                name = key[len(PREFIXES[prefix]) :].encode("utf-8", "surrogateescape")
-                refer = value in places
-                data = struct.pack("<HH", prefix | (OUT_OF_LINE if refer else 0), len(name)) + name
-                pairs.write(data)
-                if len(value) > INLINE and uses[value] > 1 and not refer:
-                    b, o = pairs.position()
-                    places[value] = b << 16 | o
-                held = struct.pack("<IQ", 8, places[value]) if refer else struct.pack("<I", len(value)) + value
-                pairs.write(held)
-                size += len(data) + len(held)
-            table += struct.pack("<QII", block << 16 | offset, len(one), size)
-        self.file.write(pairs.finish())
-        blocks = []
-        for at in range(0, len(table), META):
-            one = MetaWriter(self.codec)
-            one.write(table[at : at + META])
-            blocks.append(self.file.tell())
-            self.file.write(one.finish())
-        here = self.file.tell()
-        self.file.write(struct.pack("<QII", start, len(sets), 0) + struct.pack(f"<{len(blocks)}Q", *blocks))
-        return here
-
 
 # --- tables as rows ---------------------------------------------------------------------------------------------------
 
@@ -710,15 +852,15 @@ def _inode_row(i: Inode, name: str) -> tuple:
     )
 
 
-def _dirent_rows(image: Image, name: str) -> Iterator[tuple]:
-    for i in image.inodes():
+def _dirent_rows(image: Image, name: str, part: tuple = ()) -> Iterator[tuple]:
+    for i in image.inodes(*part):
         if i.basic == DIR:
             for at, (entry, number, ref, kind) in enumerate(image.directory(i)):
                 yield name, i.number, entry.decode("utf-8", "surrogateescape"), number, ref, kind, at
 
 
-def _block_rows(image: Image, name: str) -> Iterator[tuple]:
-    for i in image.inodes():
+def _block_rows(image: Image, name: str, part: tuple = ()) -> Iterator[tuple]:
+    for i in image.inodes(*part):
         if i.basic == REG:
             at = i.block_start
             for n, (word, data) in enumerate(zip(i.block_sizes, image.blocks(i, 0, len(i.block_sizes)), strict=True)):
@@ -740,40 +882,51 @@ ENTRIES = StructType(list(schemas.ENTRIES.fields)).add("image", StringType()).ad
 TABLES = {"super": schemas.SUPER, "inodes": schemas.INODES, "dirents": schemas.DIRENTS, "fragments": schemas.FRAGMENTS, "ids": schemas.IDS, "xattrs": schemas.XATTRS, "export": schemas.EXPORT, "blocks": schemas.BLOCKS, "entries": ENTRIES}
 
 
-def table_rows(image: Image, name: str, table: str) -> Iterator[tuple]:
+def table_rows(image: Image, name: str, table: str, part: tuple = ()) -> Iterator[tuple]:
+    """Rows of a table; of those that follow the inodes, a part (reference of the first inode, number of them) may be asked for."""
     if table == "super":
         yield from _super_rows(image, name)
     elif table == "inodes":
-        yield from (_inode_row(i, name) for i in image.inodes())
+        yield from (_inode_row(i, name) for i in image.inodes(*part))
     elif table == "dirents":
-        yield from _dirent_rows(image, name)
+        yield from _dirent_rows(image, name, part)
     elif table == "fragments":
         yield from ((name, n, start, word & (RAW_BLOCK - 1), not word & RAW_BLOCK) for n, (start, word) in enumerate(image.fragments))
     elif table == "ids":
         yield from ((name, n, value) for n, value in enumerate(image.ids))
     elif table == "xattrs":
-        yield from ((name, n, at, key, value) for n in range(len(image._xattr_sets[1])) for at, (key, value) in enumerate(image.xattrs(n)))
+        yield from ((name, n, at, key, value) for n in range(image._xattr_sets[1]) for at, (key, value) in enumerate(image.xattrs(n)))
     elif table == "export":
         yield from ((name, n, _null(ref, NONE64)) for n, ref in enumerate(image.export, 1))
     elif table == "blocks":
-        yield from _block_rows(image, name)
+        yield from _block_rows(image, name, part)
     else:
         raise ValueError(f"no table {table!r}")
 
 
+#: Images of more bytes or inodes than this are read by a task for each so many of them.
+SLICE_BYTES, SLICE_INODES = 32 << 20, 50_000
+
+
 @dataclass
 class Slice(InputPartition):
+    """A whole image; or a part of its inodes, or some units of its walk, each with its number."""
+
     path: str
-    part: int
-    of: int
+    part: tuple
+    units: list[tuple[int, Unit]] | None
 
-    def __init__(self, path: str, part: int = 0, of: int = 1) -> None:
+    def __init__(self, path: str, part: tuple = (), units: list[tuple[int, Unit]] | None = None) -> None:
         super().__init__(path)
-        self.path, self.part, self.of = path, part, of
+        self.path, self.part, self.units = path, part, units
 
 
 class ImageReader(DataSourceReader):
-    """A partition for each image; entries with contents are dealt over ``slices``. Filters on path are applied before contents are unpacked."""
+    """A partition for a small image. Entries of larger ones, and of all if ``slices`` asks for it, are dealt over some, as
+    are tables that follow the inodes. Filters on path are applied before contents are unpacked.
+
+    seq is the place in the walk; with several slices it leaves gaps, a number for each unit and the place within it.
+    """
 
     def __init__(self, schema: StructType, options: dict) -> None:
         self.options, self.names = options, set(schema.names)
@@ -783,20 +936,48 @@ class ImageReader(DataSourceReader):
         return self.options.get("table", "entries")
 
     def partitions(self) -> list[Slice]:
-        slices = int(self.options.get("slices", 1)) if self._table() == "entries" else 1
-        return [Slice(p, i, slices) for p in expand(self.options["path"]) for i in range(slices)]
+        return [s for p in expand(self.options["path"]) for s in self._slices(p)]
+
+    def _slices(self, path: str) -> list[Slice]:
+        asked = int(self.options.get("slices", 1)) if self._table() == "entries" else 1
+        if self._table() not in ("entries", "inodes", "dirents", "blocks"):
+            return [Slice(path)]
+        with open(path, "rb") as file:
+            image = Image(file)
+            n = max(asked, -(-image.super["bytes_used"] // SLICE_BYTES), -(-image.super["inode_count"] // SLICE_INODES))
+            if n == 1:
+                return [Slice(path)]
+            if self._table() != "entries":
+                return [Slice(path, mark) for mark in image.marks(-(-image.super["inode_count"] // n))]
+            dealt: list[list[tuple[int, Unit]]] = [[] for _ in range(n)]
+            load = [(0, i) for i in range(n)]
+            # the heaviest first, each to the slice that has least so far
+            for number, unit in sorted(enumerate(image.plan(8 * n), 1), key=lambda u: (u[1].what, -u[1].weight)):
+                weight, i = heappop(load)
+                dealt[i].append((number, unit))
+                heappush(load, (weight + unit.weight * (16 if unit.what == "below" else 1), i))
+            return [Slice(path, (), sorted(units, key=lambda u: u[0])) for i, units in enumerate(dealt) if units or not i]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
         names = self.names - ({"content"} if str(self.options.get("content", "true")).lower() != "true" else set())
         with open(partition.path, "rb") as file:
             image = Image(file)
             if self._table() != "entries":
-                yield from table_rows(image, partition.path, self._table())
+                yield from table_rows(image, partition.path, self._table(), partition.part)
                 return
-            for seq, (path, inode, _) in enumerate(image.walk()):
-                if seq % partition.of == partition.part and all(path == v if how == "is" else path.startswith(v) for how, v in self.wanted):
+            for seq, path, inode in self._walked(image, partition.units):
+                if all(path == v if how == "is" else path.startswith(v) for how, v in self.wanted):
                     yield entry_row(image, partition.path, seq, path, inode, names)
 
+    def _walked(self, image: Image, units: list[tuple[int, Unit]] | None) -> Iterator[tuple[int, str, Inode]]:
+        if units is None:
+            yield from ((seq, path, inode) for seq, (path, inode, _) in enumerate(image.walk()))
+            return
+        if not units or units[0][0] == 1:
+            yield 0, "", image.inode(image.super["root_ref"])
+        for number, unit in units:
+            yield from ((number << 36 | n, path, inode) for n, (path, inode, _) in enumerate(image.walk_unit(unit)))
+
 
 class PushingImageReader(ImageReader):
     """The same, taking filters from the plan where the session allows it."""
@@ -834,8 +1015,8 @@ class ImageWriter(DataSourceWriter):
             builder = ImageBuilder(file, self._codec(), int(self.options.get("mtime", 0)), flag("exportable", "false"), flag("tails", "true"), int(self.options.get("device_block_size", 4096)))
             for row in (r for part in ([first], rows) for r in part):
                 r = row.asDict(recursive=True)
-                packed = Packed([(bytes(b["stored"]), b["compressed"], b["size"]) for b in r.get("blocks") or []], bytes(r.get("tail") or b""))
-                builder.add({k: v for k, v in r.items() if k not in ("blocks", "tail")}, packed)
+                packed = Packed.of(bytes(r["stored"] or b""), r["words"] or [], r["size"] or 0, bytes(r["tail"] or b""), builder.size)
+                builder.add({k: v for k, v in r.items() if k not in ("stored", "words", "size", "tail", "digest", "tail_digest")}, packed)
             builder.finish()
             file.flush()
             os.fsync(file.fileno())
@@ -881,42 +1062,67 @@ def read_image(spark: SparkSession, path: str, table: str = "entries", content:
     return spark.read.format("arcimage").option("table", table).option("content", str(content).lower()).option("slices", slices).option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).load(path)
 
 
+#: What ``prepare`` puts in place of a content: stored blocks one after another, their words, and digests of what is stored.
+PREPARED = "stored binary, words array<long>, size long, digest binary, tail binary, tail_digest binary"
+
+
 def prepare(entries: DataFrame, codec: Codec, tails: bool = True) -> DataFrame:
-    """entries with blocks and tail in place of content: files cut and compressed, each task its own rows."""
+    """entries with PREPARED in place of content: files cut and compressed, each task its own rows."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    kept = [c for c in entries.columns if c != "content"]
-    added = _parse_datatype_string("blocks array<struct<stored:binary, compressed:boolean, size:long>>, tail binary")
+    added = _parse_datatype_string(PREPARED)
+    kept = [c for c in entries.columns if c != "content" and c not in added.names]
     schema = StructType([entries.schema[c] for c in kept] + list(added.fields))
     arrow = to_arrow_schema(schema)
 
+    def one(content: bytes) -> tuple:
+        from hashlib import sha256
+
+        p = cut(content, codec, codec.block_size, tails)
+        digests = [sha256(data).digest() for data, *_ in p.blocks if data]
+        tail = p.tail if p.tail.strip(b"\0") else b""
+        return b"".join(data for data, *_ in p.blocks), p.words, len(content), sha256(b"".join(digests)).digest() if digests else None, p.tail, sha256(tail).digest() if tail else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):  # few contents at a time
-                part = batch.slice(start, 64)
-                done = [cut(c or b"", codec, codec.block_size, tails) for c in part.column("content").to_pylist()]
-                blocks = [[{"stored": d, "compressed": z, "size": n} for d, z, n in p.blocks] for p in done]
-                columns = [part.column(c).cast(arrow.field(c).type) for c in kept] + [pa.array(blocks, arrow.field("blocks").type), pa.array([p.tail for p in done], pa.binary())]
+            contents = batch.column("content")
+            for part, done in few_at_a_time(contents, lambda c: one(c or b"")):
+                held = batch.slice(part, len(done))
+                columns = [held.column(c).cast(arrow.field(c).type) for c in kept] + [pa.array(c, arrow.field(f.name).type) for c, f in zip(zip(*done, strict=True), added.fields, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return entries.mapInArrow(run, schema)
+    return entries.select(*kept, "content").mapInArrow(run, schema)
+
+
+#: Images of up to so many entries and stored bytes are put together by one task, larger ones by all.
+SMALL_ENTRIES, SMALL_BYTES = 20_000, 32 << 20
 
 
 def write_image(entries: DataFrame, path: str, compressor: str = "gzip", block_size: int = 1 << 17, options: str = "", mtime: int = 0, exportable: bool = False, tails: bool = True, overwrite: bool = True, device_block_size: int = 4096) -> None:
     """Writes entries as one image, files in the order of position, seq or path, whichever there is.
 
-    Missing directories are put in. Equal input gives equal bytes, on any number of partitions.
+    Missing directories are put in. Equal input gives equal bytes, on any number of partitions. A small image is
+    put together by one task; the bytes and tables of a larger one are placed and written by all.
     """
     from ..operators.entries import path_key
+    from ..session import checkpointed
 
     entries.sparkSession.dataSource.register(ImageDataSource)
     order = next(([F.col(c)] for c in ("position", "seq") if c in entries.columns), [path_key()])
     if "content" not in entries.columns:
         entries = entries.withColumn("content", F.lit(None).cast("binary"))
-    ready = prepare(entries, codec(compressor, block_size, options), tails)
-    known = [c for c in ("path", "mode", "uid", "gid", "mtime", "rdev", "target", "hard_link", "xattrs", "blocks", "tail") if c in ready.columns]
+    packer = codec(compressor, block_size, options)
+    ready = checkpointed(prepare(entries, packer, tails).withColumn("row id", F.monotonically_increasing_id()))
+    n, stored = ready.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("stored") + F.octet_length("tail")), F.lit(0))).first()
+    if n > SMALL_ENTRIES or stored > SMALL_BYTES:
+        from .image_spread import write_spread
+
+        if os.path.exists(local(path)) and not overwrite:
+            raise ImageError(f"{local(path)} exists", -16)
+        return write_spread(ready, [*order, F.col("path")], local(path), packer, mtime, exportable, device_block_size)
+    known = [c for c in ("path", "mode", "uid", "gid", "mtime", "rdev", "target", "hard_link", "xattrs", "stored", "words", "size", "tail") if c in ready.columns]
     rows = ready.repartition(1).sortWithinPartitions(*order, "path").select(*known)
     writer = rows.write.format("arcimage").mode("overwrite" if overwrite else "append").option("path", path).option("compressor", compressor).option("block_size", block_size).option("compressor_options", options)
     writer.option("mtime", mtime).option("exportable", str(exportable).lower()).option("tails", str(tails).lower()).option("device_block_size", device_block_size).save()
