@@ -47,6 +47,20 @@ def running_total(rows: DataFrame, order: str, value: str, column: str) -> DataF
     return joined.withColumn(column, (F.col("ranges before") + inside).cast("long")).drop("its range", "ranges before")
 
 
+def last_so_far(rows: DataFrame, order: str, value: str, column: str) -> DataFrame:
+    """rows with column: the last value up to each row that isn't null, in the order of a column.
+
+    Range-partitioned like ``running_total``: what a range starts from is the last value of those before it.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = checkpointed(rows.repartitionByRange(parts, order).withColumn("its range", F.spark_partition_id()))
+    ends = placed.groupBy("its range").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("end"))
+    earlier = F.last("end", ignorenulls=True).over(Window.orderBy("its range").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.last(value, ignorenulls=True).over(Window.partitionBy("its range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = placed.join(F.broadcast(ends.select("its range", earlier.alias("from before"))), "its range")
+    return joined.withColumn(column, F.coalesce(inside, F.col("from before"))).drop("its range", "from before")
+
+
 #: A key with more rows than this is hot. Rows of up to so many hot keys, some MB, are broadcast.
 HOT_ROWS, BROADCAST_ROWS = 1 << 17, 100_000
 

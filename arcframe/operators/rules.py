@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import modes, numbers, paths, text
 from . import entries as E
-from .order import numbered
+from .order import last_so_far, numbered
 
 U32 = 0xFFFFFFFF
 
@@ -262,9 +262,8 @@ def parse_attribute_map(rows: DataFrame) -> DataFrame:
     pairs = good.where(~F.col("line").startswith("#") & F.col("line").contains("="))
     # a block's lines are those up to the next header: the headers of a file stay few beside its lines
     marked = headers.selectExpr("block line_no", "block", "path").withColumn("line", F.lit(None).cast("string")).unionByName(pairs.select("line_no", F.lit(None).cast("int").alias("block"), F.lit(None).cast("string").alias("path"), "line"))
-    from pyspark.sql.window import Window
-
-    held = marked.withColumn("head", F.last(F.when(F.col("block").isNotNull(), F.struct("block", "path")), ignorenulls=True).over(Window.orderBy("line_no")))
+    marked = marked.withColumn("header", F.when(F.col("block").isNotNull(), F.struct("block", "path")))
+    held = last_so_far(marked, "line_no", "header", "head")
     out = held.where(F.col("line").isNotNull())
     key, value = F.substring_index("line", "=", 1), F.expr("substring(line, instr(line, '=') + 1)")
     decoded = text.decode_value_column(value)
