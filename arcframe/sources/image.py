@@ -23,7 +23,7 @@ from pyspark.sql.types import LongType, StringType, StructType
 
 from .. import schemas
 from ..functions import modes
-from ..functions.codecs import IDS, NAMES, Codec, codec, few_at_a_time, unpack_options
+from ..functions.codecs import IDS, NAMES, Codec, codec, few_rows, unpack_options
 from ..functions.text import PREFIXES
 from .files import expand, local
 
@@ -1086,12 +1086,10 @@ def prepare(entries: DataFrame, codec: Codec, tails: bool = True) -> DataFrame:
         return b"".join(data for data, *_ in p.blocks), p.words, len(content), sha256(b"".join(digests)).digest() if digests else None, p.tail, sha256(tail).digest() if tail else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            contents = batch.column("content")
-            for part, done in few_at_a_time(contents, lambda c: one(c or b"")):
-                held = batch.slice(part, len(done))
-                columns = [held.column(c).cast(arrow.field(c).type) for c in kept] + [pa.array(c, arrow.field(f.name).type) for c, f in zip(zip(*done, strict=True), added.fields, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        for held in few_rows(batches):
+            done = [one(c or b"") for c in held.column("content").to_pylist()]
+            columns = [held.column(c).cast(arrow.field(c).type) for c in kept] + [pa.array(c, arrow.field(f.name).type) for c, f in zip(zip(*done, strict=True), added.fields, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return entries.select(*kept, "content").mapInArrow(run, schema)
 
