@@ -23,6 +23,7 @@ from ..operators import attributes, blocks, links, tree
 from ..operators.order import join_counted, numbered, running_total
 from ..session import checkpointed
 from . import image as im
+from .files import pour
 
 PIECES = "at long, data binary"
 
@@ -55,24 +56,6 @@ def _total(rows: DataFrame, value: Column) -> int:
     return rows.agg(F.coalesce(F.sum(value), F.lit(0)).cast("long")).first()[0]
 
 
-def _pour(pieces: DataFrame, path: str) -> None:
-    """Writes pieces (at, data) of a file that is there, each task its own. A task that is run again writes the same."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        with open(path, "r+b") as file:
-            for batch in batches:
-                at, data = batch.column("at"), batch.column("data")
-                for i in range(batch.num_rows):
-                    file.seek(at[i].as_py())
-                    n += file.write(data[i].as_buffer())
-            file.flush()
-            os.fsync(file.fileno())
-        yield pa.RecordBatch.from_pydict({"n": [n]}, schema=pa.schema([("n", pa.int64())]))
-
-    pieces.select("at", "data").mapInArrow(run, "n long").agg(F.sum("n")).collect()
-
-
 def _cut(pieces: DataFrame, size: int = im.META) -> DataFrame:
     """block and parts (off, data): pieces (at, data) of a stream of bytes, by the metadata blocks that they lie in."""
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -118,7 +101,7 @@ def _table(pieces: DataFrame, codec: Codec, path: str, at: int) -> tuple[int, in
     """Writes a lookup table at a place; where its list stands, and its end."""
     packed = _compressed(_cut(pieces), codec)
     starts = _started(packed.select("block", F.octet_length("data").cast("long").alias("n")))
-    _pour(packed.join(starts, "block").select((F.col("start") + at).alias("at"), "data"), path)
+    pour(packed.join(starts, "block").select((F.col("start") + at).alias("at"), "data"), path)
     rows = starts.orderBy("block").collect()  # 8 bytes for each 8192 of the table
     here = at + sum(r.n for r in rows)
     with open(path, "r+b") as file:
@@ -149,7 +132,7 @@ def _place_data(ready: DataFrame, order: list[Column], path: str, codec: Codec,
     kept = checkpointed(running_total(first, "spot", "n", "start"))
     end = begin + _total(kept, F.col("n"))
     starts = join_counted(stored.select("row id", "digest"), kept.select("digest", "uses", (F.col("start") + begin).alias("start")), ["digest"], "uses").select("row id", "start")
-    _pour(files.select("row id", F.col("stored").alias("data")).join(kept.select(F.col("first id").alias("row id"), (F.col("start") + begin).alias("at")), "row id"), path)
+    pour(files.select("row id", F.col("stored").alias("data")).join(kept.select(F.col("first id").alias("row id"), (F.col("start") + begin).alias("at")), "row id"), path)
 
     tails = placed.where("tail_digest is not null").select("row id", "path", F.col("spot").alias("seq"), F.col("tail_size").alias("size"), "tail_digest")
     firsts = tails.groupBy("size", "tail_digest").agg(F.min("seq").alias("first_seq"), F.count("*").alias("uses"))
@@ -167,7 +150,7 @@ def _place_data(ready: DataFrame, order: list[Column], path: str, codec: Codec,
     packed = checkpointed(_map(grouped, pack, "fragment long, data binary, raw boolean"))
     sized = packed.select("fragment", F.octet_length("data").cast("long").alias("n"), "raw")
     fragments = checkpointed(running_total(sized, "fragment", "n", "start").withColumn("start", F.col("start") + end))
-    _pour(packed.join(fragments.select("fragment", F.col("start").alias("at")), "fragment"), path)
+    pour(packed.join(fragments.select("fragment", F.col("start").alias("at")), "fragment"), path)
     located = spots.select("row id", "fragment", "fragment_offset")
     return placed.select("row id").join(starts, "row id", "left").join(located, "row id", "left"), fragments, end + _total(fragments, F.col("n"))
 
@@ -371,11 +354,11 @@ def _fill(spark, ready: DataFrame, order: list[Column], path: str, codec: Codec,
     packed = _compressed(grouped.join(raw.select("block"), "block", "left_anti"), codec)
     starts = _started(packed.select("block", F.octet_length("data").cast("long").alias("n")).unionByName(raw))
     inode_table, inode_bytes = end, _total(starts, F.col("n"))
-    _pour(packed.join(starts, "block").select((F.col("start") + inode_table).alias("at"), "data"), path)
+    pour(packed.join(starts, "block").select((F.col("start") + inode_table).alias("at"), "data"), path)
     heads = _map(raw, lambda rows: ((r["block"], struct.pack("<H", r["n"] - 2 | im.RAW_META)) for r in rows), "block long, data binary")
-    _pour(heads.join(starts, "block").select((F.col("start") + inode_table).alias("at"), "data"), path)
+    pour(heads.join(starts, "block").select((F.col("start") + inode_table).alias("at"), "data"), path)
     beside = grouped.join(raw.select("block"), "block", "left_semi").select("block", F.explode("parts").alias("p")).join(starts, "block")
-    _pour(beside.select((F.col("start") + 2 + F.col("p.off") + inode_table).alias("at"), F.col("p.data").alias("data")), path)
+    pour(beside.select((F.col("start") + 2 + F.col("p.off") + inode_table).alias("at"), F.col("p.data").alias("data")), path)
 
     # the directory table
     spots = layout.select("inode", "kind", "at", F.floor(F.col("at") / im.META).alias("block")).join(starts.select("block", "start"), "block")
@@ -384,7 +367,7 @@ def _fill(spark, ready: DataFrame, order: list[Column], path: str, codec: Codec,
     listing_blocks = _compressed(_cut(parts), codec)
     listing_starts = _started(listing_blocks.select("block", F.octet_length("data").cast("long").alias("n")))
     directory_table = inode_table + inode_bytes
-    _pour(listing_blocks.join(listing_starts, "block").select((F.col("start") + directory_table).alias("at"), "data"), path)
+    pour(listing_blocks.join(listing_starts, "block").select((F.col("start") + directory_table).alias("at"), "data"), path)
     at = directory_table + _total(listing_starts, F.col("n"))
 
     # directories, now that their listings have places
@@ -416,7 +399,7 @@ def _fill(spark, ready: DataFrame, order: list[Column], path: str, codec: Codec,
                 begin += len(part)
 
     cut = _map(dirs.join(answers, "inode", "left"), encode_directory, "block long, off int, data binary")
-    _pour(cut.join(starts, "block").select((F.col("start") + 2 + F.col("off") + inode_table).alias("at"), "data"), path)
+    pour(cut.join(starts, "block").select((F.col("start") + 2 + F.col("off") + inode_table).alias("at"), "data"), path)
     root_at, root_start = spots.where(F.col("inode") == count).select("at", "start").first()  # the root is the last
 
     # lookup tables

@@ -6,6 +6,7 @@ unpacked by their first bytes. An archive is one stream, so that it is one task;
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -14,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StringType, StructType, _parse_datatype_string
 
 from ..functions import modes
-from ..functions.codecs import open_stream, pack_stream
+from ..functions.codecs import few_rows, open_stream, pack_stream, stream_kind
 from ..functions.text import decode_base64, decode_url
 from ..schemas import ENTRIES
 
@@ -157,7 +158,22 @@ def _exactly(file, n: int) -> bytes:
     return data
 
 
+class Plain:
+    """A file on disk whose bytes may be passed over unread."""
+
+    def __init__(self, file) -> None:
+        self.file, self.read, self.tell = file, file.read, file.tell
+        self.size = os.fstat(file.fileno()).st_size
+
+    def skip(self, n: int) -> None:
+        if self.file.seek(n, 1) > self.size:
+            raise TarError("the archive is cut off")
+
+
 def _skip(file, n: int) -> None:
+    if isinstance(file, Plain):
+        file.skip(n)
+        return
     while n > 0:
         n -= len(_exactly(file, min(n, 1 << 20)))
 
@@ -354,17 +370,54 @@ END = bytes(2 * RECORD)
 # --- DataSource ---------------------------------------------------------------------------------------------------
 
 
+#: An archive that isn't compressed is read by a task for each so many of its bytes.
+PART_BYTES = 32 << 20
+
+
+def parts_of(path: str) -> Iterator[tuple[int, int | None, int]]:
+    """(first byte, end, number of the first entry) of the parts of an archive that can be read alone, end being null for
+    the last. A large archive's headers are read one after another, and nothing else; a compressed one has one part."""
+    with open(path, "rb") as file:
+        if stream_kind(file.read(8)) or os.fstat(file.fileno()).st_size <= PART_BYTES:
+            yield 0, None, 0
+            return
+        file.seek(0)
+        plain, begin, first, n = Plain(file), 0, 0, 0
+        for n, _ in enumerate(read_records(plain, False), 1):
+            if plain.tell() - begin >= PART_BYTES:
+                yield begin, plain.tell(), first
+                begin, first = plain.tell(), n
+        yield begin, None, first
+
+
+def read_part(path: str, begin: int, end: int | None, first: int, content: bool = True) -> Iterator[tuple[int, Record]]:
+    """Entries of a part of an archive with their numbers."""
+    with open(path, "rb") as file:
+        kind = stream_kind(file.read(8))
+        file.seek(begin)
+        source = open_stream(file) if kind else Plain(file)
+        if end is not None and begin == end:
+            return
+        for seq, r in enumerate(read_records(source, content), first):
+            yield seq, r
+            if end is not None and source.tell() >= end:
+                return
+
+
 @dataclass
 class Archive(InputPartition):
     path: str
+    begin: int
+    end: int | None
+    first: int
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, begin: int = 0, end: int | None = None, first: int = 0) -> None:
         super().__init__(path)
-        self.path = path
+        self.path, self.begin, self.end, self.first = path, begin, end, first
 
 
 class TarReader(DataSourceReader):
-    """A partition for each archive. Filters on path and its prefix are applied while reading; contents are read only if asked for."""
+    """A partition for each part of an archive. Filters on path and its prefix are applied while reading; contents are read only if asked for."""
 
     def __init__(self, schema: StructType, options: dict) -> None:
         self.options, self.names = options, schema.names
@@ -373,14 +426,13 @@ class TarReader(DataSourceReader):
     def partitions(self) -> list[Archive]:
         from .files import expand
 
-        return [Archive(p) for p in expand(self.options["path"])]
+        return [Archive(p, *part) for p in expand(self.options["path"]) for part in parts_of(p)]
 
     def read(self, partition: Archive) -> Iterator[tuple]:
         content = str(self.options.get("content", "true")).lower() == "true"
-        with open(partition.path, "rb") as file:
-            for seq, r in enumerate(read_records(open_stream(file), content)):
-                if all(r.path == v if how == "is" else r.path.startswith(v) for how, v in self.wanted):
-                    yield row_of(r, seq, partition.path)
+        for seq, r in read_part(partition.path, partition.begin, partition.end, partition.first, content):
+            if all(r.path == v if how == "is" else r.path.startswith(v) for how, v in self.wanted):
+                yield row_of(r, seq, partition.path)
 
 
 def row_of(r: Record, seq: int, archive: str) -> tuple:
@@ -481,37 +533,85 @@ def read_tar(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
     return spark.read.format("arctar").option("content", str(content).lower()).option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).load(path)
 
 
+def _batches(rows: Iterator[tuple]):
+    """Rows of SCHEMA as Arrow batches, fewer rows where contents are long."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from ..functions.codecs import FEW_BYTES, FEW_ROWS
+
+    arrow = to_arrow_schema(SCHEMA)
+    at = SCHEMA.names.index("content")
+    pack = lambda held: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[at] or b"")
+        if size >= FEW_BYTES or len(held) >= FEW_ROWS:
+            yield pack(held)
+            held, size = [], 0
+    if held:
+        yield pack(held)
+
+
 def parse_tars(contents: DataFrame, content: str = "content") -> DataFrame:
     """Entries of archives that are values of a binary column, such as those of the binaryFile source."""
     import io
 
+    def rows(batches: Iterator) -> Iterator[tuple]:
+        for batch in few_rows(batches):
+            for name, data in zip(batch.column(0), batch.column(1), strict=True):
+                if data.is_valid:
+                    path = name.as_py()
+                    # of a value that is itself in memory, entries are copies
+                    yield from (row_of(r, i, path) for i, r in enumerate(read_records(open_stream(io.BytesIO(data.as_buffer())))))
+
+    return contents.select("path", content).mapInArrow(lambda batches: _batches(rows(batches)), SCHEMA)
+
+
+def parse_tar_files(files: DataFrame) -> DataFrame:
+    """Entries of the archives at paths that workers can open. The headers of a large one are looked at by one task, its
+    parts are read by all."""
     import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(SCHEMA)
+    from .files import local
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = pa.schema([("path", pa.string()), ("begin", pa.int64()), ("end", pa.int64()), ("first", pa.int64())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                for part in parts_of(local(path)):
+                    yield pa.RecordBatch.from_pylist([dict(zip(parts.names, (path, *part), strict=True))], schema=parts)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if data is None:
-                    continue
-                rows = [row_of(r, i, name) for i, r in enumerate(read_records(open_stream(io.BytesIO(data))))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+            for part in batch.to_pylist():
+                for seq, r in read_part(local(part["path"]), part["begin"], part["end"], part["first"]):
+                    yield row_of(r, seq, part["path"])
 
-    return contents.select("path", content).mapInArrow(run, SCHEMA)
+    tasks = files.sparkSession.sparkContext.defaultParallelism
+    dealt = files.select("path").mapInArrow(cut, "path string, begin long, end long, first long").repartition(4 * tasks)
+    return dealt.mapInArrow(lambda batches: _batches(rows(batches)), SCHEMA)
+
+
+#: Archives of up to so many bytes are written by one task, longer ones by all.
+SMALL_BYTES = 32 << 20
 
 
 def write_tar(entries: DataFrame, path: str, compressor: str | None = None, overwrite: bool = True, skip_unsupported: bool = True) -> DataFrame:
     """Writes entries as one archive, in the order of seq where there is one, else of paths. Returns the rows left out.
 
-    Headers, attributes, padding and compressed members are made by all tasks; as an archive is one byte stream,
-    one task puts their bytes one after another.
+    Headers, attributes, padding and compressed members are made by all tasks. Of a small archive one task puts them
+    one after another; those of a longer one get their places from a running total and are written by all.
     """
     import pyarrow as pa
     from pyspark.sql import functions as F
 
     from ..operators.entries import path_key
+    from ..session import checkpointed
+    from .files import local
 
     entries.sparkSession.dataSource.register(TarDataSource)
     fits = F.coalesce(F.col("hard_link"), F.lit(False)) if "hard_link" in entries.columns else F.lit(False)
@@ -526,14 +626,40 @@ def write_tar(entries: DataFrame, path: str, compressor: str | None = None, over
     schema = StructType([rows.schema["place"], *_parse_datatype_string("records binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 64):  # few contents at a time
-                part = batch.slice(start, 64)
-                fields = part.select(known).to_pylist()
-                done = [pack_stream(compressor, write_record(_record(r), n)) for r, n in zip(fields, part.column("number").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("place"), pa.array(done, pa.binary())], ["place", "records"])
-
-    formatted = rows.select("place", "number", *known).mapInArrow(run, schema)
+        for part in few_rows(batches):
+            fields = part.select(known).to_pylist()
+            done = [pack_stream(compressor, write_record(_record(r), n)) for r, n in zip(fields, part.column("number").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("place"), pa.array(done, pa.binary())], ["place", "records"])
+
+    formatted = checkpointed(rows.select("place", "number", *known).mapInArrow(run, schema).withColumn("row id", F.monotonically_increasing_id()))
+    length = F.octet_length("records").cast("long")
+    total = formatted.agg(F.coalesce(F.sum(length), F.lit(0))).first()[0]
+    if total > SMALL_BYTES:
+        _write_spread(formatted, total, local(path), compressor, overwrite)
+        return left_out
     writer = formatted.repartition(1).sortWithinPartitions("place").select("records").write.format("arctar").mode("overwrite" if overwrite else "append").option("path", path)
     (writer.option("compressor", compressor) if compressor else writer).save()
     return left_out
+
+
+def _write_spread(formatted: DataFrame, total: int, path: str, compressor: str | None, overwrite: bool) -> None:
+    """Writes records (place, records, row id), each task its own; the file appears when it is whole."""
+    from pyspark.sql import functions as F
+
+    from ..operators.order import running_total
+    from .files import pour
+
+    if os.path.exists(path) and not overwrite:
+        raise TarError(f"{path} exists")
+    temporary = f"{path}.part"
+    with open(temporary, "wb") as file:
+        file.seek(total)
+        file.write(pack_stream(compressor, END))
+    try:
+        lengths = formatted.select("place", "row id", F.octet_length("records").cast("long").alias("n"))
+        places = running_total(lengths, "place", "n", "at").select("row id", "at")
+        pour(formatted.select("row id", F.col("records").alias("data")).join(places, "row id"), temporary)
+        os.replace(temporary, path)
+    except BaseException:
+        os.remove(temporary)
+        raise
