@@ -10,14 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.tar import parse_tars
+from ..sources.tar import parse_tar_files, parse_tars
 
 
 def archives(spark: SparkSession, folder: str, pattern: str = "*.tar*", files_at_a_time: int = 16) -> DataFrame:
-    """A stream of the entries of archives as they arrive in a folder; files_at_a_time holds it back."""
+    """A stream of the entries of archives as they arrive in a folder; files_at_a_time holds it back.
+
+    In a folder of a file system that workers share, only names go through Spark, and large archives are read by all tasks.
+    An archive in another store is a value, 2 GB at most.
+    """
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_at_a_time).load(folder)
-    return parse_tars(files)
+    return parse_tar_files(files) if _opened_by_workers(spark, folder) else parse_tars(files)
+
+
+def _opened_by_workers(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
 
 
 def ingest(entries: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -30,6 +39,12 @@ def ingest(entries: DataFrame, target: str, checkpoint: str, available_now: bool
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _in_order(frames: Iterable[pd.DataFrame], *columns: str) -> list[tuple]:
+    """(seq, columns) of a key's rows by seq. Most keys have few rows: their frames are taken apart, not put together."""
+    rows = [row for f in frames for row in zip(f["seq"].tolist(), *(f[c].tolist() for c in columns), strict=True)]
+    return sorted(rows, key=lambda r: r[0])
+
+
 def cut_stream(chunks: DataFrame, block_size: int) -> DataFrame:
     """Blocks from a stream of chunks (path, seq, data, last): path, idx, data, last.
 
@@ -38,9 +53,9 @@ def cut_stream(chunks: DataFrame, block_size: int) -> DataFrame:
 
     def cut(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rest, idx = state.get if state.exists else (b"", 0)
-        parts = pd.concat(list(frames)).sort_values("seq")
-        data, out = bytes(rest) + b"".join(map(bytes, parts["data"])), []
-        ended = bool(parts["last"].any())
+        parts = _in_order(frames, "data", "last")
+        data, out = bytes(rest) + b"".join(d for _, d, _ in parts), []
+        ended = any(last for *_, last in parts)
         while len(data) >= block_size:
             out.append((key[0], idx, data[:block_size], ended and len(data) == block_size))
             data, idx = data[block_size:], idx + 1
@@ -74,10 +89,10 @@ def splice(chunks: DataFrame, limit: int) -> DataFrame:
 
         def take(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
             given, out = state.get[0] if state.exists else 0, []
-            for r in pd.concat(list(frames)).sort_values("seq").itertuples():
+            for seq, data in _in_order(frames, "data"):
                 if given < limit:
-                    out.append((key[0], r.seq, bytes(r.data)[: limit - given]))
-                    given += len(r.data)
+                    out.append((key[0], seq, bytes(data)[: limit - given]))
+                    given += len(data)
             state.update((given,))
             yield pd.DataFrame(out, columns=["path", "seq", "data"])
 
