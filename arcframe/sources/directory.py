@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions import modes
+from ..functions.codecs import few_rows
 from ..schemas import ENTRIES
 from .files import local
 
@@ -167,20 +168,23 @@ def unpack(entries: DataFrame, target: str, times: bool = False, permissions: bo
     from ..operators.order import checkpointed
 
     target = local(target)
-    bad = entries.where(F.exists(F.split("path", "/"), lambda x: x.isin(".", "..")) | F.col("path").rlike("^/|//|/$"))
-    twice = entries.groupBy("path").count().where("count > 1").select("path")
+    hard = F.coalesce(F.col("hard_link"), F.lit(False)) if "hard_link" in entries.columns else F.lit(False)
+    directory = modes.is_type(F.col("mode"), modes.DIRECTORY)
+    # entries may be read from an image or an archive: twice, once for what they are and once for what they hold
+    columns = [c for c in ("path", "mode", "uid", "gid", "mtime", "rdev", "target", "content", "xattrs") if c in entries.columns]
+
+    rows = entries.select(*columns, hard.alias("hard"))
+    known = checkpointed(rows.drop("content"))
+    bad = known.where(F.exists(F.split("path", "/"), lambda x: x.isin(".", "..")) | F.col("path").rlike("^/|//|/$"))
+    twice = known.groupBy("path").count().where("count > 1").select("path")
     wrong = bad.select("path").union(twice).limit(1).collect()
     if wrong:
         raise UnsafeName(wrong[0].path)
     os.makedirs(target, exist_ok=True)
 
-    hard = F.coalesce(F.col("hard_link"), F.lit(False)) if "hard_link" in entries.columns else F.lit(False)
-    directory = modes.is_type(F.col("mode"), modes.DIRECTORY)
-    columns = [c for c in ("path", "mode", "uid", "gid", "mtime", "rdev", "target", "content", "xattrs") if c in entries.columns]
-
     def each(work):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in few_rows(batches):
                 rows = batch.to_pylist()
                 yield pa.RecordBatch.from_pydict({"path": [r["path"] for r in rows], "done": [work(r) for r in rows]}, schema=pa.schema([("path", pa.string()), ("done", pa.string())]))
 
@@ -238,13 +242,12 @@ def unpack(entries: DataFrame, target: str, times: bool = False, permissions: bo
         return "dressed"
 
     out = "path string, done string"
-    rows = entries.select(*columns, hard.alias("hard"))
-    made = checkpointed(rows.where(directory & ~F.col("hard")).drop("hard").mapInArrow(each(make), out))
+    made = checkpointed(known.where(directory & ~F.col("hard")).drop("hard").mapInArrow(each(make), out))
     rest = checkpointed(rows.where(~directory & ~F.col("hard")).drop("hard").mapInArrow(each(make), out))
-    linked = checkpointed(rows.where("hard").drop("hard").mapInArrow(each(link), out))
+    linked = checkpointed(known.where("hard").drop("hard").mapInArrow(each(link), out))
     if times or permissions or owners or xattrs:
         dressing = [c for c in columns if c != "content"]
-        plain = rows.where(~F.col("hard")).select(*dressing)
+        plain = known.where(~F.col("hard")).select(*dressing)
         checkpointed(plain.where(~directory).mapInArrow(each(dress), out))
         # directories level by level, the deepest first; those of a level on all tasks
         depth = F.size(F.split("path", "/"))
